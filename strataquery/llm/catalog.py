@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquery.llm import chat_format, exact_dedup, mixing, oracles, secrets, sharding
+from strataquery.llm import byte_bpe, chat_format, exact_dedup, mixing, oracles, secrets, sharding, simhash
 from strataquery.session import table
 
 
@@ -12,6 +12,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 #: The conversation that the contract adds: both texts hold control strings.
 CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -22,6 +26,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.expand(rows.unionByName(added)))
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file and the splitting pattern of the public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,7 +50,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_chat_format, op7_exact_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op7_exact_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict:
