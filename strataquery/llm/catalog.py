@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquery.llm import byte_bpe, chat_format, exact_dedup, mixing, oracles, secrets, sharding, simhash
+from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, oracles, secrets, sharding, simhash
 from strataquery.session import table
 
 
@@ -37,6 +37,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op7_exact_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict:
