@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, oracles, secrets, sharding, simhash
+from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, oracles, secrets, sharding, simhash, topk
 from strataquery.session import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -54,7 +58,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_topk, op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict:
