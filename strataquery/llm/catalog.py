@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, oracles, secrets, sharding, simhash, topk
+from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, oracles, secrets, sharding, simhash, topk
 from strataquery.session import table
 
 
@@ -57,8 +57,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_repeated_runs(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_topk, op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan, op10_line_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -33,3 +33,20 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) A
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+SQL["op10_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, n, lines[n] AS line, len(regexp_extract_all(lines[n], '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM d)),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM l),
+w AS (SELECT a.doc_id, a.n AS f, min(b.n) AS t FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.words + 50 GROUP BY a.doc_id, a.n
+  UNION SELECT a.doc_id, max(b.n) AS f, a.n AS t FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.upto - b.words <= a.upto - 50 GROUP BY a.doc_id, a.n),
+s AS (SELECT w.*, row_number() OVER (PARTITION BY array_to_string(lines[f:t], chr(10)) ORDER BY w.doc_id, f) AS copy FROM w JOIN d USING (doc_id)),
+gone AS (SELECT DISTINCT l.doc_id, l.n FROM s JOIN l ON l.doc_id = s.doc_id AND l.n BETWEEN s.f AND s.t WHERE s.copy > 1),
+runs AS (SELECT doc_id, min(n) - 1 AS f, max(n) - 1 AS t FROM (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g FROM gone) GROUP BY doc_id, g),
+told AS (SELECT doc_id, string_agg(f || '-' || t, ',' ORDER BY f) AS removed, sum(t - f + 1) AS n_removed FROM runs GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.n) AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.n = l.n WHERE gone.n IS NULL GROUP BY l.doc_id)
+SELECT x.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(told.n_removed, 0) AS BIGINT) AS n_removed, coalesce(told.removed, '') AS removed,
+  CAST(length(coalesce(kept.text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
