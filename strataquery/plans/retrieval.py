@@ -65,18 +65,18 @@ def pairwise_semantic_links(spark, d):
 
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 _MATCH_SQL = f"""
-p AS (SELECT doc_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len({_TOK.format('text')}) AS length, unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY doc_id, token),
-q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY query_id, token),
-m AS (SELECT q.query_id, p.doc_id, p.token, tf, length, times FROM p JOIN q USING (token)),
+p AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len({_TOK.format('text')}) AS length, unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY doc_id, token),
+q AS MATERIALIZED (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY query_id, token),
+m AS MATERIALIZED (SELECT q.query_id, p.doc_id, p.token, tf, length, times FROM p JOIN q USING (token)),
 o AS (SELECT query_id, doc_id, count(*) AS overlap FROM m GROUP BY query_id, doc_id),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS r FROM o) WHERE r <= 300)"""
+c AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS r FROM o) WHERE r <= 300)"""
 _BM25_SQL = f"""{_MATCH_SQL},
-w AS (SELECT m.* FROM m JOIN c USING (query_id, doc_id)),
+w AS MATERIALIZED (SELECT m.* FROM m JOIN c USING (query_id, doc_id)),
 st AS (SELECT query_id, CAST(count(*) AS DOUBLE) AS n, avg(length) AS avgdl FROM (SELECT DISTINCT query_id, doc_id, length FROM w) GROUP BY query_id),
 fq AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS df FROM w GROUP BY query_id, token),
-k AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / avgdl))) AS score
+k AS MATERIALIZED (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / avgdl))) AS score
   FROM w JOIN fq USING (query_id, token) JOIN st USING (query_id) GROUP BY query_id, doc_id),
-kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM k WHERE score > 0) WHERE rank <= 30)"""
+kr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM k WHERE score > 0) WHERE rank <= 30)"""
 
 
 @query("keyword_overlap_topk", f"WITH {_MATCH_SQL} SELECT query_id, doc_id, overlap FROM c")
@@ -91,14 +91,14 @@ def bm25_topk(spark, d):
 
 
 _SEM_SQL = f"""
-sr AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
+sr AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
   (SELECT a.doc_id AS query_id, b.doc_id, {_COS} AS score FROM v a JOIN benchmark ON item_id = a.doc_id JOIN v b ON TRUE)) WHERE rank <= 30)"""
 _FUSE_SQL = f"""
-arms AS (SELECT query_id, doc_id, 'semantic' AS arm, score, rank FROM sr UNION ALL SELECT query_id, doc_id, 'keyword', score, rank FROM kr),
-fu AS (SELECT query_id, doc_id, sum(CAST(1.0 AS DOUBLE) / (60 + rank)) AS rrf, max(CASE WHEN arm = 'semantic' THEN score END) AS semantic_score, max(CASE WHEN arm = 'keyword' THEN score END) AS keyword_score FROM arms GROUP BY query_id, doc_id),
-fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, doc_id) AS fused_rank FROM fu) WHERE fused_rank <= 40)"""
+arms AS MATERIALIZED (SELECT query_id, doc_id, 'semantic' AS arm, score, rank FROM sr UNION ALL SELECT query_id, doc_id, 'keyword', score, rank FROM kr),
+fu AS MATERIALIZED (SELECT query_id, doc_id, sum(CAST(1.0 AS DOUBLE) / (60 + rank)) AS rrf, max(CASE WHEN arm = 'semantic' THEN score END) AS semantic_score, max(CASE WHEN arm = 'keyword' THEN score END) AS keyword_score FROM arms GROUP BY query_id, doc_id),
+fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, doc_id) AS fused_rank FROM fu) WHERE fused_rank <= 40)"""
 _COVER_SQL = f"""
-cv AS (SELECT f.*, coalesce(len(list_intersect(list_distinct({_TOK.format('b.text')}), {_TOK.format("x.title || chr(10) || x.text")})), 0) AS matched, len(list_distinct({_TOK.format('b.text')})) AS n_terms
+cv AS MATERIALIZED (SELECT f.*, coalesce(len(list_intersect(list_distinct({_TOK.format('b.text')}), {_TOK.format("x.title || chr(10) || x.text")})), 0) AS matched, len(list_distinct({_TOK.format('b.text')})) AS n_terms
   FROM fused f JOIN benchmark b ON b.item_id = f.query_id LEFT JOIN d x ON x.doc_id = f.doc_id)"""
 _GATE_SQL = "(coalesce(keyword_score, 0) > 0 AND n_terms >= 2 AND matched >= 2 AND CAST(matched AS DOUBLE) / n_terms >= 0.5) OR coalesce(semantic_score, 0) >= 0.45"
 
@@ -216,7 +216,7 @@ def temporal_arm(spark, d):
 @query("graph_arm", """
 WITH m AS (SELECT l_orderkey AS doc_id, l_suppkey AS entity_id FROM lineitem),
 dr AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN supplier ON s_suppkey = entity_id WHERE lower(s_name) LIKE '%000000001%' GROUP BY doc_id),
-k AS (SELECT o_orderkey AS s, o_orderkey + 1 AS t, CAST((o_orderkey % 10) / 10.0 AS DOUBLE) AS w FROM orders),
+k AS MATERIALIZED (SELECT o_orderkey AS s, o_orderkey + 1 AS t, CAST((o_orderkey % 10) / 10.0 AS DOUBLE) AS w FROM orders),
 b AS (SELECT s, t, w FROM k UNION ALL SELECT t, s, w FROM k),
 n AS (SELECT t AS doc_id, max(0.8 * w) AS score FROM b JOIN dr ON dr.doc_id = b.s GROUP BY t)
 SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM dr UNION ALL SELECT * FROM n) GROUP BY doc_id ORDER BY max(score) DESC, doc_id LIMIT 30
