@@ -174,7 +174,7 @@ def evidence_links(observations: DataFrame) -> DataFrame:
 
 def dedup_links(links: DataFrame) -> DataFrame:
     """The last link of each (source, target, type). links: ..., ordinal."""
-    return links.groupBy("source_id", "target_id", "link_type").agg(F.max_by("weight", "ordinal").alias("weight"))
+    return links.groupBy("source_id", "target_id", "link_type").agg(F.max_by("weight", F.struct("ordinal", "weight")).alias("weight"))
 
 
 def valid_links(links: DataFrame, units: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def apply_upsert(stored: DataFrame, fresh: DataFrame, key: str, scope: DataFrame
 
 def entity_candidates(mentions: DataFrame, limit: int, evidence: int = 3) -> DataFrame:
     """Per entity: at most three evidence texts by id and its distinct aliases; the first ``limit`` entities by id."""
-    w = W.partitionBy("entity_id").orderBy("memory_id")
+    w = W.partitionBy("entity_id").orderBy("memory_id", "text")
     first = mentions.withColumn("r", F.row_number().over(w))
     rows = first.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= evidence, F.struct("r", "text")))).alias("e"), F.sort_array(F.collect_set("alias")).alias("aliases"))
     return rows.select("entity_id", F.transform("e", lambda x: x["text"]).alias("evidence"), "aliases").orderBy("entity_id").limit(limit)
