@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -243,16 +244,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if n_shards == 1 or not owner:
         return _top(lists, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     tops = _top(lists, k)
-    of = batches.select("batch", F.explode(_ids_udf("ids")).alias("query_id"))
-    floors = batches.groupBy("batch").cogroup(tops.join(of, "query_id").groupBy("batch")).applyInArrow(_floors(k), "batch long, n int, width int, ids binary, vectors binary, floor binary")
-    rest = batches.select("batch", every).join(first, ["batch", "shard"], "left_anti")
+    of = batches.select(F.col("batch").alias("of_batch"), F.explode(_ids_udf("ids")).alias("query_id"))
+    floors = batches.groupBy("batch").cogroup(tops.join(of, "query_id").groupBy("of_batch")).applyInArrow(_floors(k), "batch long, n int, width int, ids binary, vectors binary, floor binary")
+    rest = pin(batches.select("batch", every).join(first, ["batch", "shard"], "left_anti"))
     more = tiles(pin(floors), rest)
     return _top(lists.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _ids_udf(column: str):
-    import pandas as pd
-
     @F.pandas_udf("array<long>")
     def ids(raw: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(x, dtype=np.int64).tolist() for x in raw], dtype=object)
