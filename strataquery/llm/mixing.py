@@ -88,21 +88,13 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words:
 
 
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All classes of one source: picks per length and the class that holds the last pick."""
-    k, size, target = int(pdf["k"].iloc[0]), int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-    by = pdf.groupby("size", sort=True)["n"].sum()
-    passes = min(int(target // size), int(CAP)) if size else 0
-    budget = int(round(target)) - passes * size if size else 0
-    picks = fit_lengths(by.index.to_numpy(dtype=np.int64), by.to_numpy(dtype=np.int64), budget)
-    pick_of = dict(zip(by.index, picks))
-    pdf = pdf.sort_values(["size", "class"])
-    need = pdf["size"].map(pick_of)
-    upto = pdf.groupby("size")["n"].cumsum()
-    hit = (need > upto - pdf["n"]) & (need <= upto)
-    rows = pdf[hit]
-    out = pd.DataFrame({"k": k, "size": rows["size"], "passes": passes, "class": rows["class"], "place": (need - (upto - pdf["n"]))[hit]})
-    none = [s for s, p in pick_of.items() if p == 0]
-    return pd.concat([out, pd.DataFrame({"k": k, "size": none, "passes": passes, "class": -1, "place": 0})]).astype({"k": "int64", "size": "int64", "passes": "int64", "class": "int64", "place": "int64"})
+    """The lengths of one source with their counts: passes and picks of each length."""
+    size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+    passes = min(int(target // size), int(CAP))
+    pdf = pdf.sort_values("size")
+    pdf["picks"] = fit_lengths(pdf["size"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64), int(round(target)) - passes * size)
+    pdf["passes"] = passes
+    return pdf[["k", "size", "passes", "picks"]]
 
 
 def _hash(seed: int):
@@ -116,12 +108,16 @@ def plan(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str
     rows = pin(rows.withColumn("hash", _hash(seed)))
     hist = pin(rows.withColumn("class", F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 56)).groupBy("source", "size", "class").agg(F.count("*").alias("n")))
     goals = pin(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
-    per = hist.where("size > 0").join(sized(goals, 120), hist["source"].eqNullSafe(goals["source"])).select("k", "source_size", "target", "size", "class", "n")
-    picked = pin(per.groupBy("k").applyInPandas(_plan_source, "k long, size long, passes long, class long, place long"))
-    last = picked.where("class >= 0").select("k", "size", "class", "place")
-    named = last.join(sized(goals.select("k", "source"), 100), "k")
+    per = pin(hist.where("size > 0").join(sized(goals, 120), hist["source"].eqNullSafe(goals["source"])).select("k", "source_size", "target", "size", "class", "n"))
+    # one row per source and length; a source has as many as it has distinct lengths
+    lengths = per.groupBy("k", "source_size", "target", "size").agg(F.sum("n").alias("n"))
+    picked = pin(lengths.groupBy("k").applyInPandas(_plan_source, "k long, size long, passes long, picks long"))
+    upto = F.sum("n").over(W.partitionBy("k", "size").orderBy("class"))
+    edges = per.select("k", "size", "class", "n", upto.alias("upto")).join(picked.where("picks > 0"), ["k", "size"])
+    last = edges.where("picks > upto - n AND picks <= upto").select("k", "size", "class", (F.col("picks") - F.col("upto") + F.col("n")).alias("place"))
+    named = last.join(sized(goals.select("k", "source"), 100), "k").select(F.col("k").alias("e_k"), F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("class").alias("e_class"), "place")
     inside = rows.withColumn("class", F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 56))
-    edge = inside.join(sized(named, 100), inside["source"].eqNullSafe(named["source"]) & (inside["size"] == named["size"]) & (inside["class"] == named["class"])).select(named["k"], inside["size"], "doc_id", "hash", "place")
+    edge = inside.join(sized(pin(named), 100), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")) & (F.col("class") == F.col("e_class"))).select(F.col("e_k").alias("k"), "size", "doc_id", "hash", "place")
     # classes follow the signed order of the hash: its sign bit is flipped before the shift
     w = W.partitionBy("k", "size").orderBy("hash", "doc_id")
     cut = edge.withColumn("rank", F.row_number().over(w)).where("rank = place").select("k", "size", F.col("hash").alias("cut_hash"), F.col("doc_id").alias("cut_id"))
