@@ -198,8 +198,8 @@ def mmr_select(spark, d):
 
 
 @query("payload_bound", f"""
-WITH {_BM25_SQL}, p AS (SELECT query_id, doc_id, rank, sum(length('{{"doc_id":' || doc_id || ',"rank":' || rank || '}}') + 1) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM kr)
-SELECT query_id, doc_id FROM p WHERE chars + 1 <= 500
+WITH {_BM25_SQL}, pb AS (SELECT query_id, doc_id, rank, sum(length('{{"doc_id":' || doc_id || ',"rank":' || rank || '}}') + 1) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM kr)
+SELECT query_id, doc_id FROM pb WHERE chars + 1 <= 500
 """)
 def payload_bound(spark, d):
     rows = lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d))
