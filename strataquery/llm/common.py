@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in estimated bytes, that is broadcast; beyond it the same join shuffles.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
+
+#: Bytes that each row of a hashed relation needs besides its columns, as measured.
+HASHED_ROW_BYTES = 150
 
 #: The white space of the word and line rules: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -39,7 +42,7 @@ def pin(df: DataFrame) -> DataFrame:
 def sized(keys: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """keys with a broadcast hint if its counted rows are within BROADCAST_BYTES; otherwise as it is, for a shuffled join."""
     n = keys.count() if rows is None else rows
-    return F.broadcast(keys) if n * row_bytes <= BROADCAST_BYTES else keys
+    return F.broadcast(keys) if n * (row_bytes + HASHED_ROW_BYTES) <= BROADCAST_BYTES else keys
 
 
 def normal_space(text):

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import new_path, pin, sized, word_count
+from strataquery.llm.common import new_path, sized, word_count
 
 MIN_WORDS = 50
 DOC = ["k1", "k2"]
+#: Bytes that a document's runs are taken to need on the driver while they are broadcast.
+RUN_BYTES = 1000
 
 
 def _doc_key(id_col: str, text_col: str):
@@ -37,7 +39,7 @@ def _doc_key(id_col: str, text_col: str):
 
 
 def _store(df: DataFrame, name: str) -> DataFrame:
-    """Like pin(), as Parquet: for tables of all lines, of which later steps read few columns."""
+    """Like pin(), as Parquet: later steps read few columns, and sizes known to the planner are those of the files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -52,13 +54,13 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Distinct repeated pairs with ``rank``, which follows their sorted order."""
     kept = pairs.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1").select(*by)
-    return pin(kept.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
+    return _store(kept.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "rank-pairs")
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, n, words, rank) of the lines that occur more than once: rank of one line."""
     ranks = _ranked(lines, ["l1", "l2"])
-    return _store(lines.join(sized(ranks, 40), ["l1", "l2"]).select("doc_id", *DOC, "n", "words", "rank").dropDuplicates([*DOC, "n"]), "line-ranks")
+    return _store(lines.join(ranks, ["l1", "l2"]).select("doc_id", *DOC, "n", "words", "rank").dropDuplicates([*DOC, "n"]), "line-ranks")
 
 
 def doubled(level: DataFrame, k: int) -> DataFrame:
@@ -66,7 +68,7 @@ def doubled(level: DataFrame, k: int) -> DataFrame:
     step = W.partitionBy(*DOC).orderBy("n").rangeBetween(2**k, 2**k)
     pairs = level.select(*DOC, "n", F.col("rank").alias("old"), F.max("rank").over(step).alias("next")).where("next IS NOT NULL")
     ranks = _ranked(pairs, ["old", "next"])
-    return pin(pairs.join(sized(ranks, 48), ["old", "next"]).select(*DOC, "n", "rank"))
+    return _store(pairs.join(ranks, ["old", "next"]).select(*DOC, "n", "rank"), "line-ranks")
 
 
 def windows(active: DataFrame, min_words: int) -> DataFrame:
@@ -93,7 +95,7 @@ def windows(active: DataFrame, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, runs): runs of lines to delete in each document, sorted arrays of (first, last)."""
     active = repeated_lines(_store(lines_of(docs, id_col, text_col), "lines"))
-    spans = pin(windows(active, min_words).withColumn("m", F.col("last") - F.col("first") + 1).withColumn("level", F.floor(F.log2("m")).cast("int")))
+    spans = _store(windows(active, min_words).withColumn("m", F.col("last") - F.col("first") + 1).withColumn("level", F.floor(F.log2("m")).cast("int")), "spans")
     most = spans.agg(F.max("m")).first()[0] or 0
     level = active.select(*DOC, "n", "rank")
     ranks, k = level.withColumn("level", F.lit(0)), 0
@@ -106,11 +108,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     short = spans.where("m = 1").join(head.where("level = 0"), [*DOC, "level", "first"]).withColumn("tail", F.col("head"))
     long = spans.where("m > 1").withColumn("at", (F.col("last") + 1 - F.pow(F.lit(2.0), F.col("level"))).cast("long")).join(head, [*DOC, "level", "first"]).join(tail, [*DOC, "level", "at"])
     columns = ["doc_id", *DOC, "first", "last", "m", "head", "tail"]
-    named = pin(short.select(*columns).unionByName(long.select(*columns)))
+    named = _store(short.select(*columns).unionByName(long.select(*columns)), "named-spans")
     place = F.struct("doc_id", *DOC, "first")
     opening = named.groupBy("m", "head", "tail").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1").drop("times")
-    opening = pin(opening)
-    copies = named.join(sized(opening, 80), ["m", "head", "tail"]).where(place > F.col("origin")).select(*DOC, "first", "last")
+    opening = _store(opening, "openings")
+    copies = named.join(opening, ["m", "head", "tail"]).where(place > F.col("origin")).select(*DOC, "first", "last")
     # overlapping and touching windows become runs
     before = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
     up_to = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -121,9 +123,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the deleted runs, n_lines, runs (array of (first, last)) for every row."""
-    runs = pin(later_copies(docs, min_words, id_col, text_col))
+    runs = _store(later_copies(docs, min_words, id_col, text_col), "runs")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_doc_key(id_col, text_col))
-    joined = keyed.join(sized(runs, 100), DOC, "left")
+    joined = keyed.join(sized(runs, RUN_BYTES), DOC, "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
