@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import new_path, sized, word_count
+from strataquery.llm.common import new_path, word_count
 
 MIN_WORDS = 50
 DOC = ["k1", "k2"]
-#: Bytes that a document's runs are taken to need on the driver while they are broadcast.
-RUN_BYTES = 1000
 
 
 def _doc_key(id_col: str, text_col: str):
@@ -125,7 +123,7 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     """doc_id, text without the deleted runs, n_lines, runs (array of (first, last)) for every row."""
     runs = _store(later_copies(docs, min_words, id_col, text_col), "runs")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_doc_key(id_col, text_col))
-    joined = keyed.join(sized(runs, RUN_BYTES), DOC, "left")
+    joined = keyed.join(runs.hint("merge"), DOC, "left")  # runs grow with the documents: one shuffle of the texts at every size
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
