@@ -78,17 +78,10 @@ def entity_details(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return node.join(out.unionByName(into).distinct(), "name")
 
 
-def version_chain(versions: DataFrame, edges: DataFrame, seed, limit: int = 64) -> DataFrame:
-    """All versions linked to seed over NEXT_VERSION edges in either direction."""
-    start = versions.where(F.col("doc_id") == seed).select(F.col("doc_id").alias("node"))
-    both, seen = undirected(edges), start
-    for _ in range(limit):
-        more = seen.join(both, seen["node"] == both["src"]).select(F.col("dst").alias("node")).union(seen).distinct()
-        # the chain of one document is short; its length is checked once a step
-        if more.count() == seen.count():
-            break
-        seen = more.checkpoint() if more.sparkSession.sparkContext.getCheckpointDir() else more
-    return versions.join(seen.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+def version_chain(versions: DataFrame, seed) -> DataFrame:
+    """All versions of the seed's version_group. Each version but the first is linked to the one before it in its group, so these are the versions that NEXT_VERSION reaches in either direction, at any distance."""
+    group = versions.where(F.col("doc_id") == F.lit(seed)).select(F.col("version_group").alias("g")).distinct()
+    return versions.join(group, F.col("version_group").eqNullSafe(F.col("g")), "left_semi")
 
 
 def remove_document(nodes: DataFrame, doc_id) -> DataFrame:

@@ -111,8 +111,7 @@ def version_demote(spark, d):
 def version_chain(spark, d):
     v = versions(spark, d)
     seed = v.orderBy("version_group", "version").first()["doc_id"]
-    edges = v.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("doc_id").alias("dst"))
-    return graph.version_chain(v, edges, seed).select("doc_id", "version")
+    return graph.version_chain(v, seed).select("doc_id", "version")
 
 
 @query("latest_change", "SELECT * EXCLUDE r FROM (SELECT l_orderkey AS doc_id, l_linenumber AS to_version, l_partkey AS change_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey) AS r FROM lineitem) WHERE r = 1")

@@ -202,6 +202,15 @@ def test_graph_of_cycles(spark):
     assert graph.k_hop(empty, seeds, 2).count() == 0
 
 
+def test_version_chain_of_many_versions(spark, tmp_path):
+    from strataquery.plans import registry
+
+    orders = spark.range(1000).selectExpr("id AS o_orderkey", "IF(id < 300, 1L, 2 + id % 50) AS o_custkey", "TIMESTAMP_NTZ '1995-01-01' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["version_chain"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["version"]) for r in got} == {(i, i + 1) for i in range(300)}
+
+
 EVENTS = [
     ("s", "1", 1, "user.accepted", "q", None), ("s", "1", 2, "turn.running", None, None), ("s", "1", 3, "assistant.completed", "a", None), ("s", "1", 4, "turn.terminal", None, "failed"),
     ("s", "2", 5, "user.accepted", "q2", None), ("s", "2", 6, "turn.terminal", None, "cancelled"), ("s", "2", 7, "assistant.completed", "late", None),
