@@ -11,9 +11,13 @@ holds its highest bound; the k-th scores found there start the second round over
 bounds all stay below is left without scoring a vector. Nothing grows in one task: a tile holds QUERIES queries and
 SHARD blocks. Partial lists of k rows meet in a window per query.
 
-Defined results: vectors that are null or hold a null or non-finite component take no part, nor do those with
-a component of absolute value over 2^27 after scaling (their products need not fit a long); of rows that repeat a vec_id the least vector
-takes part; rows with a null vec_id take no part; missing dimensions count as 0; fewer candidates than k give fewer rows;
+Rows are held as 32-bit integers where a block fits, as doubles of whole numbers where it does not. Products are taken in
+doubles below 2^53, in longs below 2^62, and in Python integers beyond, so every score is exact; bounds that a double
+rounds are raised by the largest possible error.
+
+Defined results: vectors that are null or hold a null or non-finite component take no part; rows that repeat a vec_id
+take part with each of their different integer vectors, as queries under one id; rows with a null vec_id take no part; a score that does
+not fit a long stops the search with an OverflowError; missing dimensions count as 0; fewer candidates than k give fewer rows;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,26 +37,29 @@ from strataquery.llm.common import pin
 BLOCK = 512
 SHARD = 64
 QUERIES = 512
-LARGEST = 2**27
+#: Below these, products and sums are exact as doubles and as longs (2^62 leaves room for the rounding of the estimate).
+DOUBLES, LONGS = 2.0**53, 2.0**62
 #: Below every score, with a negative that fits; above every id.
 NONE, NOBODY = -(2**63 - 1), 2**63 - 1
 LISTS = "query_id long, vec_id long, score long"
 
 
 def quantise(vectors: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id and v (array of int) of the rows that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.lit(float(scale)) * x.cast("double")).alias("d"))
-    fine = F.forall("d", lambda x: F.coalesce((F.abs(x) <= LARGEST) & ~F.isnan(x), F.lit(False)))
-    kept = rows.where(F.col("vec_id").isNotNull() & F.col("d").isNotNull()).where(fine)
-    return kept.select("vec_id", F.transform("d", lambda x: F.floor(x).cast("int")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    """vec_id and v (array of whole doubles) of the rows that take part."""
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("d"))
+    fine = F.forall("d", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    kept = raw.where(F.col("vec_id").isNotNull() & F.col("d").isNotNull()).where(fine)
+    scaled = kept.select("vec_id", F.transform("d", lambda x: F.lit(float(scale)) * x).alias("d"))
+    # from 2^53 on every double is whole
+    return scaled.select("vec_id", F.transform("d", lambda x: F.when(F.abs(x) < DOUBLES, F.floor(x).cast("double")).otherwise(x)).alias("v")).distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an int list array as a matrix, short rows padded with 0."""
+    """Rows of a list array as a matrix, short rows padded with 0; of int32 where all of it fits."""
     n = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     width = int(n.max()) if len(n) else 0
-    out = np.zeros((len(n), width), dtype=np.int32)
+    out = np.zeros((len(n), width), dtype=np.int32 if not flat.size or np.abs(flat).max() < 2**31 else np.float64)
     out[np.arange(width) < n[:, None]] = flat
     return out
 
@@ -94,27 +101,50 @@ def build_blocks(rows: DataFrame, size: int, with_bounds: bool) -> DataFrame:
     return cut.join(starts, "part").withColumn("block", F.col("start") + F.col("no")).drop("start", "part", "no")
 
 
-def _array(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.int32).reshape(-1, width) if width else np.zeros((0, 0), dtype=np.int32)
+def _array(raw: bytes, n: int, width: int) -> np.ndarray:
+    """n rows of width whole numbers; their type is told by the number of bytes."""
+    return np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * n * width else np.float64).reshape(n, width)
 
 
 def _wide(m: np.ndarray, width: int) -> np.ndarray:
-    """As doubles of a given width: products and sums below 2^53 are exact."""
+    """As doubles of a given width."""
     out = np.zeros((m.shape[0], width))
     out[:, : m.shape[1]] = m
     return out
 
 
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """[query, block] summed term maxima."""
-    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    """[query, block] summed term maxima, never below the exact sum."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        ends = np.maximum(np.abs(high), np.abs(low))
+        if q.size and ends.size and not np.abs(q).max() * ends.max() * q.shape[1] < DOUBLES:
+            top = np.nan_to_num(top + (np.abs(q) @ ends.T) * ((2 * q.shape[1] + 4) * 2.0**-52), nan=np.inf, posinf=np.inf, neginf=np.inf)
+    return top
 
 
 def dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products."""
-    if q.size and v.size and np.abs(q).max() * np.abs(v).max() * q.shape[1] >= 2**53:
-        return q.astype(np.int64) @ v.astype(np.int64).T
-    return (q @ v.T).astype(np.int64)
+    """Exact products of whole numbers; OverflowError where one does not fit a long."""
+    if not q.size or not v.size:
+        return (q @ v.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = np.abs(q).max(axis=1), np.abs(v).max(axis=1)
+        largest = a.max() * b.max() * q.shape[1]
+        if largest < DOUBLES:
+            return (q @ v.T).astype(np.int64)
+        fits = a[:, None] * b[None, :] * q.shape[1] < LONGS
+    out = np.where(np.abs(q) < LONGS, q, 0).astype(np.int64) @ np.where(np.abs(v) < LONGS, v, 0).astype(np.int64).T
+    left, right = {}, {}
+    for i, j in np.argwhere(~fits).tolist():
+        if i not in left:
+            left[i] = [int(x) for x in q[i].tolist()]
+        if j not in right:
+            right[j] = [int(x) for x in v[j].tolist()]
+        score = sum(x * y for x, y in zip(left[i], right[j]))
+        if abs(score) >= -NONE:
+            raise OverflowError(f"a score does not fit a long: {score}")
+        out[i, j] = score
+    return out
 
 
 class Search:
@@ -173,11 +203,11 @@ def _tile(k: int):
         if not rows or not cut:
             return pa.table({n: pa.array([], type=pa.int64()) for n in ("query_id", "vec_id", "score")})
         width = max(x["width"] for x in rows + cut)
-        cut = [(np.frombuffer(b["ids"], dtype=np.int64), _wide(_array(b["vectors"], b["width"]) if b["width"] else np.zeros((b["n"], 0)), width), *(_wide(np.frombuffer(b[x], dtype=np.int32)[None, :], width)[0] for x in ("high", "low"))) for b in cut]
+        cut = [(np.frombuffer(b["ids"], dtype=np.int64), _wide(_array(b["vectors"], b["n"], b["width"]), width), *(_wide(_array(b[x], 1, b["width"]), width)[0] for x in ("high", "low"))) for b in cut]
         out = []
         for r in rows:
             ids = np.frombuffer(r["ids"], dtype=np.int64)
-            q = _wide(_array(r["vectors"], r["width"]) if r["width"] else np.zeros((r["n"], 0)), width)
+            q = _wide(_array(r["vectors"], r["n"], r["width"]), width)
             floor = np.frombuffer(r["floor"], dtype=np.int64) if r["floor"] is not None else np.full(len(ids), NONE)
             s = Search(ids, q, floor, k)
             s.run(cut)
@@ -188,13 +218,13 @@ def _tile(k: int):
 
 
 def _best_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (batch, shard, width, vectors, highs, lows): the mean over queries of the highest bound in the shard."""
+    """For rows (batch, shard, n, width, vectors, highs, lows): the mean over queries of the highest bound in the shard."""
     for b in batches:
         got = []
         for r in b.to_pylist():
             width = max([r["width"], *r["widths"]])
-            q = _wide(_array(r["vectors"], r["width"]) if r["width"] else np.zeros((1, 0)), width)
-            stack = lambda raws: np.concatenate([_wide(np.frombuffer(x, dtype=np.int32)[None, :], width) for x in raws])
+            q = _wide(_array(r["vectors"], r["n"], r["width"]), width)
+            stack = lambda raws: np.concatenate([_wide(_array(x, 1, w), width) for x, w in zip(raws, r["widths"])])
             got.append((r["batch"], r["shard"], float(bounds(q, stack(r["highs"]), stack(r["lows"])).max(axis=1).mean())))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64())], names=["batch", "shard", "bound"])
 
@@ -228,8 +258,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return blocks.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")
     # the stated query set against all shards, in tiles
-    pairs = batches.select("batch", "width", "vectors", every).join(shards, "shard")
-    best = pairs.select("batch", "shard", "width", "vectors", "highs", "lows", "widths").mapInArrow(_best_shard, "batch long, shard long, bound double")
+    pairs = batches.select("batch", "n", "width", "vectors", every).join(shards, "shard")
+    best = pairs.select("batch", "shard", "n", "width", "vectors", "highs", "lows", "widths").mapInArrow(_best_shard, "batch long, shard long, bound double")
     first = pin(best.groupBy("batch").agg(F.max_by("shard", F.struct("bound", -F.col("shard"))).alias("shard")))
 
     def tiles(q: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -372,3 +373,31 @@ def test_top_k_against_brute_force(spark, sizes, monkeypatch):
     assert {tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()} == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id < 2 AND vec_id IS NOT NULL")).count() == 1
+
+
+def test_top_k_keeps_large_and_repeated_vectors(spark, monkeypatch):
+    for name, v in zip(("BLOCK", "SHARD", "QUERIES"), (8, 2, 4)):
+        monkeypatch.setattr(topk, name, v)
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    vectors += [(100, [3e6, -3e6, 1.5, 0.0]), (101, [4e6 + 0.3, 1.0, 0.0, 0.0]), (102, [1.0, 2e7, -0.4]), (120, [2.5e7, 2.0, 1.0, -1e6]), (121, [0.0, 0.0, 0.0, 1e10]), (5, [2.0] * 4), (20, [-1.0] * 4)]
+    vectors += [(103, [0.0, 0.0, 0.0, 1e10])]
+    vectors = [(i, v[:3] + [0.0] if i % 20 == 0 else v) for i, v in vectors]  # so that scores with 1e10 fit
+    rows = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    pairs = {}
+    for q, a in rows:
+        if q % 20 == 0:
+            pairs.setdefault(q, []).extend((sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)
+    want = sorted((q, k + 1, i, s) for q, found in pairs.items() for k, (s, i) in enumerate(sorted(found, key=lambda x: (-x[0], x[1]))[:20]))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
+def test_top_k_products_are_exact_or_refused():
+    q = np.array([[2.0**40, 2.0**23 + 1, 0.0], [2.0**31, 2.0**31, 1.0], [2.0**100, 0.0, 0.0]])
+    v = np.array([[2.0**20, 3.0, 5.0], [2.0**31, -(2.0**31), 7.0], [0.0, 1.0, 0.0]])
+    exact = [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in v] for a in q]
+    assert topk.dot(q[:1], v[::2]).tolist() == [exact[0][::2]] and topk.dot(q[1:2], v).tolist() == [exact[1]] and topk.dot(q, v[2:]).tolist() == [[e[2]] for e in exact]
+    with pytest.raises(OverflowError):
+        topk.dot(q, v)
+    assert all(b >= e for b, e in zip(topk.bounds(q[:2], v, v).ravel().tolist(), sum(exact[:2], [])))
