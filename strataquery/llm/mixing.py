@@ -3,7 +3,8 @@
 Documents are counted by source, exact length in words and the top bits of a seeded hash. Per source the target is cut
 into whole passes over all its documents and a remaining budget; the budget is fitted from the length counts: a share of
 each length in proportion, then the longest lengths that still fit, then a bounded-knapsack dynamic programme over the
-last ``DP_WORDS`` words. The chosen number of documents of each length becomes a cutoff in seeded order, so taking is a
+last ``DP_WORDS`` words. The fit is made from below and, by fitting what to leave out, from above; the nearer one holds, the lower
+of equals. The chosen number of documents of each length becomes a cutoff in seeded order, so taking is a
 join of (source, length) with one hash comparison, and no document list is gathered anywhere.
 
 Sources in code-point order, null last, weigh 5, 2, 1, repeating. All targets sum to 150% of all sizes; a target stops
@@ -87,12 +88,22 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words:
     return picks
 
 
+def nearest_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """As fit_lengths, or with the least sum above the budget where that is nearer: all documents but those that fit into the rest."""
+    below = fit_lengths(lengths, counts, budget)
+    short, total = budget - int((lengths * below).sum()), int((lengths * counts).sum())
+    if budget <= 0 or not short or total <= budget:
+        return below
+    above = counts.astype(np.int64) - fit_lengths(lengths, counts, total - budget)
+    return above if int((lengths * above).sum()) - budget < short else below
+
+
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     """The lengths of one source with their counts: passes and picks of each length."""
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     passes = min(int(target // size), int(CAP))
     pdf = pdf.sort_values("size")
-    pdf["picks"] = fit_lengths(pdf["size"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64), int(round(target)) - passes * size)
+    pdf["picks"] = nearest_lengths(pdf["size"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64), int(round(target)) - passes * size)
     pdf["passes"] = passes
     return pdf[["k", "size", "passes", "picks"]]
 

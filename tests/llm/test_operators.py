@@ -287,6 +287,23 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(docs(spark, [None, ""])).where("taken > 0").count() == 0
 
 
+def test_mix_takes_the_nearer_sum(spark):
+    lengths, counts = np.array([3, 5, 11]), np.array([4, 2, 3])
+    reach = {0}
+    for n, c in zip(lengths, counts):
+        reach = {s + n * k for s in reach for k in range(c + 1)}
+    for budget in range(0, 56):
+        picks = mixing.nearest_lengths(lengths, counts, budget)
+        below = mixing.fit_lengths(lengths, counts, budget)
+        assert (picks >= 0).all() and (picks <= counts).all() and int((picks * lengths).sum()) in reach
+        assert abs(int((picks * lengths).sum()) - budget) <= budget - int((below * lengths).sum())
+    for budget, copies in [(900, 1), (500, 0), (501, 1), (0, 0), (1000, 1)]:
+        assert mixing.nearest_lengths(np.array([1000]), np.array([1]), budget).tolist() == [copies]
+    goal = mix_targets({"a": 100, "b": 1000, "c": 1000})
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs(spark, ["w " * 100, "w " * 1000, "w " * 1000], ["a", "b", "c"])).collect()}
+    assert 1900 < goal["b"] < 2000 and 900 < goal["c"] < 1000 and got == {0: 200, 1: 2000, 2: 1000}
+
+
 # secrets
 
 SECRETS = [
