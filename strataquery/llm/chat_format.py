@@ -1,10 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context, and its reply alone is
-trainable. Written out in full, the examples of a conversation of T turns hold about T^2/2 turns, so a long conversation
-would dwarf the corpus. The examples of one conversation are prefixes of each other; each is therefore kept as
-``parent`` (the example that it continues) plus ``delta`` (its own new text), and ``render`` writes the full text
-where it is wanted. Positions of the loss mask are code points of the full text.
+trainable. Written out in full, the examples of a conversation of T turns hold about T^2/2 turns. The examples of one
+conversation are prefixes of each other; each therefore moves as ``parent`` (the example that it continues) plus
+``delta`` (its own new text). ``render`` writes the full texts, one at a time, and ``digest`` reads every one of them. Positions of the loss mask are code points of the full text.
 
 Template: ``<s>[INST] user [/INST]``, `` assistant</s>``, ``<<SYS>>system<</SYS>>``, ``<<ROLE:name>>other<</ROLE>>``. Inside texts and
 role names a backslash, square and angle brackets are written as ``\\s \\l \\r \\b \\e``, so no control string can
@@ -104,10 +103,16 @@ def read_turns(delta: Column) -> Column:
 
 
 def digest(examples: DataFrame) -> DataFrame:
-    """Read back from the examples, per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    masked = unescape(F.substr("delta", F.col("loss_start") - F.col("context_chars") + 1, F.col("loss_end") - F.col("loss_start")))
-    lines = F.array_join(F.transform(read_turns(F.col("delta")), lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = examples.select("conv_id", "example", F.size(read_turns(F.col("delta"))).cast("long").alias("turns"), lines.alias("lines"), F.coalesce(masked, F.lit("")).alias("loss"), "n_chars")
-    joined = lambda field: F.array_join(F.transform("parts", lambda x: x[field]), "")
-    per = rows.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("example", "lines", "loss"))).alias("parts"), F.sum(F.length("loss")).cast("long").alias("loss_chars"), F.sum("n_chars").cast("long").alias("formatted_chars"))
-    return per.select("conv_id", "n_turns", F.sha2(joined("lines"), 256).alias("turns_sha256"), "loss_chars", F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    """Read back from the full texts, per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The masks and lengths are those of every example's own text; the turns are read from the last one, which holds them all.
+    """
+    text = F.col("text")
+    last = F.lead("example").over(W.partitionBy("conv_id").orderBy("example")).isNull()
+    masked = unescape(F.substr(text, F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    full = render(examples).withColumn("last", last)
+    rows = full.select("conv_id", "example", F.coalesce(masked, F.lit("")).alias("loss"), F.length(text).cast("long").alias("chars"), F.when(F.col("last"), read_turns(text)).alias("turns"))
+    per = rows.groupBy("conv_id").agg(F.first("turns", ignorenulls=True).alias("turns"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("parts"), F.sum(F.length("loss")).cast("long").alias("loss_chars"), F.sum("chars").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("parts", lambda x: x["loss"]), "")
+    return per.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), "loss_chars", F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

@@ -176,6 +176,17 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.expand(df.limit(0))).count() == 0
 
 
+def test_chat_digest_reads_full_texts(spark):
+    rows = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"{c} [{t}] <é>") for c in (1, 2) for t in range(9)], "conv_id long, turn int, role string, text string")
+    examples = chat_format.expand(rows)
+    full = {}
+    for r in chat_format.render(examples).collect():
+        full[r["conv_id"]] = full.get(r["conv_id"], 0) + len(r["text"])
+    told = chat_format.digest(examples.drop("n_chars", "context_chars", "parent")).collect()
+    assert {r["conv_id"]: (r["formatted_chars"], r["n_turns"]) for r in told} == {c: (n, 9) for c, n in full.items()}
+    assert sorted(told) == sorted(chat_format.digest(examples.repartition(5)).collect())
+
+
 # BPE
 
 
