@@ -2,9 +2,9 @@
 
 Every text is normalised (null as empty, each white-space run as one space) and hashed to a 64-bit key. A skinny
 entry table (doc_id, row, key, SHA-256) is written once to the shared folder. A directory over key prefixes is doubled
-until no bucket holds more than ``capacity`` distinct keys; its pages, one key range each, are written to shared files.
-The owner of a range then compares bytes: for keys with more than one entry it takes the least and the greatest text
-that arrive (combined on the map side, so a hot text travels once per task). Equal ends prove one text; different ends
+until no bucket holds more than ``capacity`` distinct keys; the number of buckets is the number of page files, which are
+cut by sampled key ranges and written to the shared folder. Bytes are then compared by a hash aggregation on the key, not
+bucket by bucket: for keys with more than one entry it takes the least and the greatest text that arrive (combined on the map side, so a hot text travels once per task). Equal ends prove one text; different ends
 are a collision, whose texts are chained, each with its own group.
 
 Defined results: rows with a null doc_id take part and sort after all others; of rows that repeat the smallest doc_id
@@ -58,13 +58,13 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
 
 
 def build_index(entries: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(pages, directory): one page row per distinct key with its entry count and first entry, in key-range files on the shared folder."""
+    """(pages, directory): one page row per distinct key with its entry count and first entry, in key-range files on the shared folder, as many as there are buckets."""
     spark = entries.sparkSession
     keys = pin(entries.groupBy("key").agg(F.count("*").alias("n"), F.min(_order("row")).alias("first")))
     buckets = pin(directory(keys, capacity))
     path = new_path(spark, "exact-dedup-index")
     n_owners = max(1, min(buckets.count(), 10_000))
-    # the order of unsigned keys is the order of key ranges; each file is one owner's range
+    # the order of unsigned keys is the order of key ranges; each file is one range
     unsigned = F.col("key").bitwiseXOR(F.lit(-(2**63)))
     keys.select("key", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")).repartitionByRange(n_owners, unsigned).sortWithinPartitions(unsigned).write.parquet(f"{path}/pages")
     buckets.write.parquet(f"{path}/directory")
@@ -72,7 +72,7 @@ def build_index(entries: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFr
 
 
 def _collided(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Keys whose entries hold different bytes: owners compare the least and greatest text of each repeated key."""
+    """Keys whose entries hold different bytes: an aggregation compares the least and greatest text of each repeated key."""
     ends = keyed.join(repeated.select("key"), "key").groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return ends.where(F.col("low") != F.col("high")).select("key")
 
