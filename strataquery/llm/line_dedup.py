@@ -13,10 +13,11 @@ maximal run. So for each line the shortest window from it and the shortest up to
 are deleted.
 
 Defined results: null text has no lines and stays null; a text has one line more than it has line feeds; blank lines have
-no words and go only inside a run; rows alike in doc_id and text are one document with one result; a run may repeat
-within its document; an empty table gives an empty result; other columns are ignored. A line held by a third of all
-rows is counted before it moves, and joins on it may be split at run time; nothing is gathered beyond a document's
-own lines.
+no words and go only inside a run; of rows alike in doc_id and text (null ids too) one comes first and the others are later
+copies of it, which of them is arbitrary, as they are alike; a run may repeat within its document; an empty table gives
+an empty result; other columns are ignored. A line held by a third of all rows is counted before it moves, and joins on
+it may be split at run time; nothing is gathered beyond a document's own lines. Texts of rows alike are written once
+more, with a number, so that one of them can be told apart.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import new_path, word_count
+from strataquery.llm.common import new_path, pin, sized, word_count
 
 MIN_WORDS = 50
 DOC = ["k1", "k2"]
@@ -90,9 +91,22 @@ def windows(active: DataFrame, min_words: int) -> DataFrame:
     return found.select("doc_id", *DOC, F.least("n", "end").alias("first"), F.greatest("n", "end").alias("last")).distinct()
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, runs): runs of lines to delete in each document, sorted arrays of (first, last)."""
-    active = repeated_lines(_store(lines_of(docs, id_col, text_col), "lines"))
+def _merged(spans: DataFrame) -> DataFrame:
+    """(k1, k2, runs): overlapping and touching spans (k1, k2, first, last) become sorted arrays of (first, last)."""
+    before = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
+    up_to = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, W.currentRow)
+    starts = spans.withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1)))
+    runs = starts.withColumn("run", F.sum("new").over(up_to)).groupBy(*DOC, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """((k1, k2, again, runs), (k1, k2) of rows that are alike, their number): runs of lines to delete in each document, for
+    the first row of a document (again = false) and for those alike (again = true), whose every window is a later copy."""
+    lines = _store(lines_of(docs, id_col, text_col), "lines")
+    alike = pin(lines.where("n = 0").groupBy(*DOC).agg(F.count("*").alias("rows")).where("rows > 1").select(*DOC))
+    n_alike = alike.count()
+    active = repeated_lines(lines)
     spans = _store(windows(active, min_words).withColumn("m", F.col("last") - F.col("first") + 1).withColumn("level", F.floor(F.log2("m")).cast("int")), "spans")
     most = spans.agg(F.max("m")).first()[0] or 0
     level = active.select(*DOC, "n", "rank")
@@ -111,19 +125,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     opening = named.groupBy("m", "head", "tail").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1").drop("times")
     opening = _store(opening, "openings")
     copies = named.join(opening, ["m", "head", "tail"]).where(place > F.col("origin")).select(*DOC, "first", "last")
-    # overlapping and touching windows become runs
-    before = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
-    up_to = W.partitionBy(*DOC).orderBy("first", "last").rowsBetween(W.unboundedPreceding, W.currentRow)
-    starts = copies.withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1)))
-    runs = starts.withColumn("run", F.sum("new").over(up_to)).groupBy(*DOC, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = _merged(copies).withColumn("again", F.lit(False))
+    if n_alike:
+        runs = runs.unionByName(_merged(spans.join(sized(alike, 16, n_alike), DOC, "left_semi").select(*DOC, "first", "last")).withColumn("again", F.lit(True)))
+    return _store(runs, "runs"), alike, n_alike
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the deleted runs, n_lines, runs (array of (first, last)) for every row."""
-    runs = _store(later_copies(docs, min_words, id_col, text_col), "runs")
+    runs, alike, n_alike = later_copies(docs, min_words, id_col, text_col)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_doc_key(id_col, text_col))
-    joined = keyed.join(runs.hint("merge"), DOC, "left")  # runs grow with the documents: one shuffle of the texts at every size
+    if n_alike:
+        told = sized(alike, 16, n_alike)
+        rows = _store(keyed.join(told, DOC, "left_semi").withColumn("row", F.monotonically_increasing_id()), "alike-rows")
+        first = pin(rows.groupBy(*DOC).agg(F.min("row").alias("first_row")))
+        marked = rows.join(sized(first, 24, n_alike), DOC).select("doc_id", "text", *DOC, (F.col("row") != F.col("first_row")).alias("again"))
+        keyed = keyed.join(told, DOC, "left_anti").withColumn("again", F.lit(False)).unionByName(marked)
+    else:
+        keyed = keyed.withColumn("again", F.lit(False))
+    joined = keyed.join(runs.hint("merge"), [*DOC, "again"], "left")  # runs grow with the documents: one shuffle of the texts at every size
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
