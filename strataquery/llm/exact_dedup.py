@@ -2,14 +2,18 @@
 
 Every text is normalised (null as empty, each white-space run as one space) and hashed to a 64-bit key. A skinny
 entry table (doc_id, row, key, SHA-256) is written once to the shared folder. A directory over key prefixes is doubled
-until no bucket holds more than ``capacity`` distinct keys; the number of buckets is the number of page files, which are
-cut by sampled key ranges and written to the shared folder. Bytes are then compared by a hash aggregation on the key, not
-bucket by bucket: for keys with more than one entry it takes the least and the greatest text that arrive (combined on the map side, so a hot text travels once per task). Equal ends prove one text; different ends
-are a collision, whose texts are chained, each with its own group.
+where a bucket is overfull until none holds more than ``capacity`` distinct keys. It routes every key: a key's bucket is the
+one whose prefix it has, and an owner has consecutive buckets, a key range. Owners write their buckets as page files, one
+folder each; a page row is a key with its number of entries and its first entry. Nothing but the pages tells later steps which
+keys repeat, so a key that the directory does not cover is an error.
+
+Bytes are compared by the owner, bucket and key that a repeated key was routed to: texts are grouped by them and by their bytes, combined
+on the map side, so a hot text travels once per task. A key with one group is proven to be one text; the groups of a
+collided key are its chain, and each is a group of its own.
 
 Defined results: rows with a null doc_id take part and sort after all others; of rows that repeat the smallest doc_id
 of their group exactly one stays; an empty table gives an empty result; other columns are ignored. A key's copies are
-never gathered: only counts, least ids and one text per task and key move.
+never gathered: only counts, least ids and one text per task and key move; rows of a hot key meet it by broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import new_path, normal_space, pin, sized
+from strataquery.llm.common import fresh, new_path, normal_space, pin, sized, split_join
 
 #: Distinct keys in a bucket before it splits.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 32_768
+#: Buckets that an owner has on average; its page file holds them in key order.
+OWNER_BUCKETS = 16
 #: Bytes a broadcast entry of a repeated key is taken to need.
 KEY_BYTES = 48
 
@@ -39,64 +45,86 @@ def _order(*more: str):
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *(F.col(c) for c in more))
 
 
+def _prefix(depth: int):
+    return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
+
+
 def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     """Buckets (depth, bucket, n_keys) over distinct ``key`` values: prefixes of ``depth`` bits, doubled where overfull."""
     total = keys.count()
     depth = max(0, math.ceil(math.log2(max(1, total) / capacity)))
-    prefix = lambda d: F.shiftrightunsigned(F.col("key"), 64 - d) if d else F.lit(0).cast("long")
     rest, done = keys.select("key"), None
     while True:
-        counts = pin(rest.groupBy(prefix(depth).alias("bucket")).agg(F.count("*").alias("n_keys")))
+        counts = pin(rest.groupBy(_prefix(depth).alias("bucket")).agg(F.count("*").alias("n_keys")))
         full = counts.where(F.col("n_keys") > capacity) if depth < 63 else counts.limit(0)
-        fits = counts.join(F.broadcast(full.select("bucket")), "bucket", "left_anti").select(F.lit(depth).alias("depth"), "bucket", "n_keys")
-        done = fits if done is None else done.unionByName(fits)
         n_full = full.count()
+        full = sized(full.select("bucket"), 16, n_full)
+        fitting = counts.join(full, "bucket", "left_anti").select(F.lit(depth).alias("depth"), "bucket", "n_keys")
+        done = fitting if done is None else done.unionByName(fitting)
         if not n_full:
             return done
-        rest = rest.withColumn("bucket", prefix(depth)).join(sized(full.select("bucket"), 16, n_full), "bucket", "left_semi").select("key")
+        rest = rest.withColumn("bucket", _prefix(depth)).join(full, "bucket", "left_semi").select("key")
         depth += 1
 
 
-def build_index(entries: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(pages, directory): one page row per distinct key with its entry count and first entry, in key-range files on the shared folder, as many as there are buckets."""
+def owned(buckets: DataFrame) -> DataFrame:
+    """Buckets with ``owner``: the leading bits of the least key of a bucket, so that an owner has a key range."""
+    bits = max(0, math.ceil(math.log2(max(1, buckets.count()) / OWNER_BUCKETS)))
+    least = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(bucket, 64 - depth)"))
+    return buckets.withColumn("owner", F.shiftrightunsigned(least, 64 - bits).cast("int") if bits else F.lit(0))
+
+
+def route(keys: DataFrame, buckets: DataFrame) -> DataFrame:
+    """keys with the bucket that the directory has for them, as depth, bucket and owner; a key has one bucket."""
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect()) or [0]  # 64 at most
+    probes = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in depths))
+    probed = keys.withColumn("probe", F.explode(probes)).select(*keys.columns, "probe.depth", "probe.bucket")
+    return probed.join(sized(buckets.select("depth", "bucket", "owner"), 24), ["depth", "bucket"])
+
+
+def build_index(entries: DataFrame, capacity: int = BUCKET_KEYS, buckets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, directory) as written to the shared folder. Pages: owner, bucket, key, n entries, keep_id and keep_row of the first, one row per
+    distinct key, one folder per owner. ``buckets`` takes a directory in place of the one built here."""
     spark = entries.sparkSession
     keys = pin(entries.groupBy("key").agg(F.count("*").alias("n"), F.min(_order("row")).alias("first")))
-    buckets = pin(directory(keys, capacity))
     path = new_path(spark, "exact-dedup-index")
-    n_owners = max(1, min(buckets.count(), 10_000))
-    # the order of unsigned keys is the order of key ranges; each file is one range
-    unsigned = F.col("key").bitwiseXOR(F.lit(-(2**63)))
-    keys.select("key", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")).repartitionByRange(n_owners, unsigned).sortWithinPartitions(unsigned).write.parquet(f"{path}/pages")
-    buckets.write.parquet(f"{path}/directory")
-    return spark.read.parquet(f"{path}/pages"), spark.read.parquet(f"{path}/directory")
+    owned(directory(keys, capacity) if buckets is None else buckets).write.parquet(f"{path}/directory")
+    table = spark.read.parquet(f"{path}/directory")
+    n_owners = max(1, table.select("owner").distinct().count())
+    pages = route(keys, table).select("owner", "bucket", "key", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    pages.repartitionByRange(n_owners, "owner").sortWithinPartitions("owner", "bucket", "key").write.partitionBy("owner").parquet(f"{path}/pages")
+    pages = spark.read.schema(pages.schema).parquet(f"{path}/pages")
+    lost = keys.count() - pages.count()
+    if lost:
+        raise ValueError(f"the directory covers not every key once: {lost} of the keys have no page row or several")
+    return pages, table
 
 
-def _collided(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Keys whose entries hold different bytes: an aggregation compares the least and greatest text of each repeated key."""
-    ends = keyed.join(repeated.select("key"), "key").groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    return ends.where(F.col("low") != F.col("high")).select("key")
+def chains(keyed: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """(owner, bucket, key, n_texts): how many different texts each repeated key has, by comparing their bytes in its bucket."""
+    texts = split_join(keyed.select("key", "norm"), repeated.select("owner", "bucket", "key", "n"), "key", total, KEY_BYTES)
+    return texts.groupBy("owner", "bucket", "key", "norm").agg(F.lit(1).alias("one")).groupBy("owner", "bucket", "key").agg(F.count("*").alias("n_texts"))
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, capacity: int, hash_bits: int):
-    """keyed texts, pinned entries, repeated keys (sized) with their count, and collided keys with their count."""
+    """keyed texts, pinned entries with their count, repeated keys with their count, and collided keys with their count."""
     keyed = _keyed(docs, id_col, text_col, hash_bits)
     entries = pin(keyed.select("doc_id", F.monotonically_increasing_id().alias("row"), "key", F.sha2("norm", 256).alias("sha")))
     pages, _ = build_index(entries, capacity)
     repeated = pages.where("n > 1")
-    n_repeated = repeated.count()
-    repeated = sized(repeated, KEY_BYTES, n_repeated)
-    collided = pin(_collided(keyed, repeated)) if n_repeated else None
+    n_repeated, total = repeated.count(), entries.count()
+    collided = pin(chains(keyed, repeated, total).where("n_texts > 1").select("key")) if n_repeated else None
     n_collided = collided.count() if collided is not None else 0
-    return keyed, entries, repeated, n_repeated, collided and sized(collided, 16, n_collided), n_collided
+    return keyed, entries, total, repeated, n_repeated, collided and sized(collided, 16, n_collided), n_collided
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, hash_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    keyed, entries, repeated, _, collided, n_collided = _index(docs, id_col, text_col, capacity, hash_bits)
+    keyed, entries, total, repeated, _, collided, n_collided = _index(docs, id_col, text_col, capacity, hash_bits)
     if n_collided:
         entries = entries.join(collided, "key", "left_anti")
     one = F.col("n").isNull()
-    found = entries.join(repeated, "key", "left").select(
+    found = split_join(entries, repeated.select("key", "n", "keep_id", "keep_row"), "key", total, KEY_BYTES, "left").select(
         "doc_id",
         F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -113,23 +141,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, hash_bits: int = 64) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Whole rows move only where a keeper's doc_id repeats or a key collides."""
-    _, entries, repeated, n_repeated, collided, n_collided = _index(docs, id_col, text_col, capacity, hash_bits)
+    """The rows of docs that stay, with all their columns. Whole rows are written once more only where a keeper's doc_id repeats or a key collides."""
+    _, entries, total, repeated, n_repeated, collided, n_collided = _index(docs, id_col, text_col, capacity, hash_bits)
     if not n_repeated:
         return docs
     keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    again = entries.join(repeated, "key").where(keep).groupBy("key").agg(F.count("*").alias("same")).where("same > 1").select("key", F.lit(True).alias("again"))
+    pairs = split_join(entries, repeated.select("key", "n", "keep_id"), "key", total, KEY_BYTES)
+    again = pairs.where(keep).groupBy("key").agg(F.count("*").alias("same")).where("same > 1").select("key")
     if n_collided:
-        again = again.select("key").union(collided.select("key")).distinct().withColumn("again", F.lit(True))
+        again = again.union(collided.select("key")).distinct()
     again = pin(again)
     n_again = again.count()
-    plan = repeated.join(again, "key", "left").select(F.col("key").alias("__key"), F.col("keep_id").alias("__keep"), F.coalesce("again", F.lit(False)).alias("__again"))
-    plan = pin(plan)
-    key = F.xxhash64(normal_space(F.col(text_col)))
-    marked = docs.withColumn("__key", key if hash_bits == 64 else F.shiftrightunsigned(key, 64 - hash_bits)).join(sized(plan, KEY_BYTES, n_repeated), "__key", "left")
-    kept = marked.where(F.col("__again").isNull() | (~F.col("__again") & F.col(id_col).eqNullSafe(F.col("__keep")))).select(*docs.columns)
+    key, n, kept_id, is_again = (fresh(docs, c) for c in ("key", "n", "kept_id", "again"))
+    plan = repeated.join(sized(again.withColumn("again", F.lit(True)), 16, n_again), "key", "left")
+    plan = pin(plan.select(F.col("key").alias(key), F.col("n").alias(n), F.col("keep_id").alias(kept_id), F.coalesce("again", F.lit(False)).alias(is_again)))
+    hashed = F.xxhash64(normal_space(F.col(text_col)))
+    marked = docs.withColumn(key, hashed if hash_bits == 64 else F.shiftrightunsigned(hashed, 64 - hash_bits))
+    marked = split_join(marked, plan, key, total, KEY_BYTES, "left", n)
+    kept = marked.where(F.col(is_again).isNull() | (~F.col(is_again) & F.col(id_col).eqNullSafe(F.col(kept_id)))).select(*docs.columns)
     if n_again:  # rows whose keeper needs more than its doc_id to be told apart
-        rows = pin(marked.where("__again").select(*docs.columns, normal_space(F.col(text_col)).alias("__norm"), F.monotonically_increasing_id().alias("__row")))
-        firsts = rows.groupBy("__norm").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("f")).select(F.col("f.row").alias("__row"))
-        kept = kept.unionByName(rows.join(firsts, "__row", "left_semi").select(*docs.columns))
+        norm, row = fresh(docs, "norm"), fresh(docs, "row")
+        rows = pin(marked.where(is_again).select(*docs.columns, normal_space(F.col(text_col)).alias(norm), F.monotonically_increasing_id().alias(row)))
+        firsts = rows.groupBy(norm).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("f")).select(F.col("f.row").alias(row))
+        kept = kept.unionByName(rows.join(firsts, row, "left_semi").select(*docs.columns))
     return kept
