@@ -1,17 +1,18 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source, exact length in words and the top bits of a seeded hash. Per source the target is cut
+Documents are counted by source, exact length in words and the top bits of a seeded hash of doc_id and text. Per source the target is cut
 into whole passes over all its documents and a remaining budget; the budget is fitted from the length counts: a share of
 each length in proportion, then the longest lengths that still fit, then a bounded-knapsack dynamic programme over the
 last ``DP_WORDS`` words. The fit is made from below and, by fitting what to leave out, from above; the nearer one holds, the lower
 of equals. The chosen number of documents of each length becomes a cutoff in seeded order, so taking is a
 join of (source, length) with one hash comparison, and no document list is gathered anywhere.
 
-Sources in code-point order, null last, weigh 5, 2, 1, repeating. All targets sum to 150% of all sizes; a target stops
-at twice its source's size and the excess is shared again by weight (a water level over the ratio of cap to weight).
+Sources in code-point order, null last, weigh 5, 2, 1, repeating; they are numbered without gathering them. All targets
+sum to 150% of all sizes; a target stops at twice its source's size and the excess is shared again by weight, by rounds of
+one aggregation until no more sources fill up.
 
-Defined results: null text has size 0; documents of size 0 are never taken; rows that repeat doc_id and size share their
-decision; sizes of 0 everywhere give targets of 0; an empty table gives an empty result; other columns are ignored.
+Defined results: null text has size 0; documents of size 0 are never taken; rows alike in doc_id and text (null ids too)
+are taken one by one, and which of them is arbitrary, as they are alike; sizes of 0 everywhere give targets of 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import pin, sized, word_count
+from strataquery.llm.common import fresh, pin, sized, word_count
+from strataquery.llm.sharding import global_numbers
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -34,17 +36,19 @@ CLASSES = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes: (source, source_size), one row per source. Adds weight and target."""
-    ranked = sizes.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    """sizes: (source, source_size), one row per source. Adds k (place of the source from 0), weight and target."""
+    ranked, _ = global_numbers(sizes, ["source"])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
-    rows = ranked.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
-    up = W.orderBy("ratio", "k").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    # level of the rest when all sources of smaller ratio are full
-    rows = rows.withColumn("level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(up), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))))
-    # the level rises while sources below it fill up and falls once one that would not fill is counted as full
-    rows = rows.withColumn("water", F.max("level").over(everything))
-    return rows.select("source", "k", "source_size", "weight", F.least("most", F.col("water") * F.col("weight")).alias("target"))
+    rows = pin(ranked.withColumnRenamed("number", "k").withColumn("weight", weight).withColumn("most", cap * F.col("source_size")))
+    # the level rises as sources that fill up leave their excess to the others; once no more fill up it holds
+    level, n_full = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("most") <= F.col("weight") * level
+        total, used, free, n = rows.agg(F.sum("source_size"), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if not free or n == n_full:
+            break
+        level, n_full = (share * total - (used or 0.0)) / free, n
+    return rows.select("source", "k", "source_size", "weight", F.least("most", F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
@@ -108,16 +112,11 @@ def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["k", "size", "passes", "picks"]]
 
 
-def _hash(seed: int):
-    return F.xxhash64("doc_id", F.lit(seed))
-
-
-def plan(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(sized rows, plan). Plan rows: source, size, source_size, target, passes, cut_hash, cut_id: a document of that source
-    and size is taken ``passes`` times, and once more where (hash, doc_id) is at or below the cut."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = pin(rows.withColumn("hash", _hash(seed)))
-    hist = pin(rows.withColumn("class", F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 56)).groupBy("source", "size", "class").agg(F.count("*").alias("n")))
+def plan(rows: DataFrame) -> DataFrame:
+    """What is taken of rows (source, size, hash). Plan rows: source, size, source_size, target, passes, cut_hash, cut_take, cut_n: a document of
+    that source and size is taken ``passes`` times, and once more where its hash is below the cut; of the cut_n rows at the cut cut_take are."""
+    class_of = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 56)  # classes follow the signed order of the hash
+    hist = pin(rows.withColumn("class", class_of).groupBy("source", "size", "class").agg(F.count("*").alias("n")))
     goals = pin(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
     per = pin(hist.where("size > 0").join(sized(goals, 120), hist["source"].eqNullSafe(goals["source"])).select("k", "source_size", "target", "size", "class", "n"))
     # one row per source and length; a source has as many as it has distinct lengths
@@ -127,38 +126,65 @@ def plan(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str
     edges = per.select("k", "size", "class", "n", upto.alias("upto")).join(picked.where("picks > 0"), ["k", "size"])
     last = edges.where("picks > upto - n AND picks <= upto").select("k", "size", "class", (F.col("picks") - F.col("upto") + F.col("n")).alias("place"))
     named = last.join(sized(goals.select("k", "source"), 100), "k").select(F.col("k").alias("e_k"), F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("class").alias("e_class"), "place")
-    inside = rows.withColumn("class", F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(2**63))), 56))
-    edge = inside.join(sized(pin(named), 100), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")) & (F.col("class") == F.col("e_class"))).select(F.col("e_k").alias("k"), "size", "doc_id", "hash", "place")
-    # classes follow the signed order of the hash: its sign bit is flipped before the shift
-    w = W.partitionBy("k", "size").orderBy("hash", "doc_id")
-    cut = edge.withColumn("rank", F.row_number().over(w)).where("rank = place").select("k", "size", F.col("hash").alias("cut_hash"), F.col("doc_id").alias("cut_id"))
-    full = picked.select("k", "size", "passes").join(cut, ["k", "size"], "left").join(goals, "k").select("source", "size", "source_size", "target", "passes", "cut_hash", "cut_id")
-    zero = goals.select("source", F.lit(0).cast("long").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("passes"), F.lit(None).cast("long").alias("cut_hash"), F.lit(None).cast(dict(rows.dtypes)["doc_id"]).alias("cut_id"))
-    return rows, pin(full.unionByName(zero))
-
-
-def _copies():
-    at = (F.col("hash") < F.col("cut_hash")) | ((F.col("hash") == F.col("cut_hash")) & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(False))))
-    return (F.col("passes") + F.coalesce(at, F.lit(False)).cast("long")).alias("copies")
-
-
-def _on(left: DataFrame, right: DataFrame):
-    return left["source"].eqNullSafe(right["source"]) & (left["size"] == right["size"])
-
-
-def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
+    edge = rows.withColumn("class", class_of).join(sized(pin(named), 100), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")) & (F.col("class") == F.col("e_class")))
+    # rows of one hash are counted before they are ranked
+    ties = edge.groupBy(F.col("e_k").alias("k"), "size", "place", "hash").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy("k", "size").orderBy("hash")))
+    cut = ties.where("place > upto - n AND place <= upto").select("k", "size", F.col("hash").alias("cut_hash"), (F.col("place") - F.col("upto") + F.col("n")).alias("cut_take"), F.col("n").alias("cut_n"))
+    full = picked.select("k", "size", "passes").join(cut, ["k", "size"], "left").join(goals, "k").select("source", "size", "source_size", "target", "passes", "cut_hash", "cut_take", "cut_n")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("cut_hash", "cut_take", "cut_n")]
+    zero = goals.select("source", F.lit(0).cast("long").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("passes"), *nothing)
+    return pin(full.unionByName(zero))
+
+
+def _first_of_ties(rows: DataFrame, by: list[str], take: str, out: str) -> DataFrame:
+    """rows with ``out``: whether a row is among the first ``take`` of its group ``by``. Groups are numbered part by part, so a large one is not one task."""
+    at = fresh(rows, "at")
+    rows = pin(rows.withColumn(at, F.monotonically_increasing_id()))
+    part = fresh(rows, "part")
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    before = fresh(rows, "before")
+    counts = rows.groupBy(*(F.col(c).alias(f"by{i}") for i, c in enumerate([*by, part]))).agg(F.count("*").alias("n"))
+    groups = [f"by{i}" for i in range(len(by))]
+    start = counts.select(F.struct(*groups, f"by{len(by)}").alias("of"), (F.sum("n").over(W.partitionBy(*groups).orderBy(f"by{len(by)}")) - F.col("n")).alias("start"))
+    of = fresh(rows, "of")
+    start = pin(start.withColumnsRenamed({"of": of, "start": before}))
+    placed = rows.withColumn(of, F.struct(*(F.col(c).alias(f"by{i}") for i, c in enumerate([*by, part])))).join(start, of).drop(of)
+    rank = F.row_number().over(W.partitionBy(*by, part).orderBy(at))
+    return placed.withColumn(out, rank + F.col(before) <= F.col(take)).drop(at, part, before)
+
+
+def _decided(rows: DataFrame, planned: DataFrame, source: str, size: str, hash_: str) -> tuple[DataFrame, str]:
+    """rows with the columns of the plan under a prefix, and how often each is taken in <prefix>copies; and the prefix."""
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in rows.columns):
+        prefix = "p" + prefix
+    p = planned.select(*(F.col(c).alias(prefix + c) for c in planned.columns))
+    joined = rows.join(sized(p, 120), F.col(source).eqNullSafe(F.col(prefix + "source")) & (F.col(size) == F.col(prefix + "size")))
+    at_cut, below = F.col(hash_) == F.col(prefix + "cut_hash"), F.coalesce(F.col(hash_) < F.col(prefix + "cut_hash"), F.lit(False))
+    split = F.coalesce(at_cut & (F.col(prefix + "cut_take") < F.col(prefix + "cut_n")), F.lit(False))
+    once = lambda taken: (F.col(prefix + "passes") + taken.cast("long")).alias(prefix + "copies")
+    sure = joined.where(~split).select("*", once(below | F.coalesce(at_cut, F.lit(False))))
+    if not planned.where("cut_take < cut_n").limit(1).count():
+        return sure, prefix
+    tied = _first_of_ties(joined.where(split), [prefix + "source", prefix + "size"], prefix + "cut_take", prefix + "chosen")
+    return sure.unionByName(tied.select(*joined.columns, once(F.col(prefix + "chosen")))), prefix
+
+
+def _hash(seed: int, id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
+
+
+def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    rows, planned = plan(docs, seed)
-    return rows.join(sized(planned, 120), _on(rows, planned)).select("doc_id", rows["size"], "source_size", "target", (rows["size"] * _copies()).alias("taken"))
+    rows = pin(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(seed, id_col, text_col).alias("hash")))
+    told, p = _decided(rows, plan(rows), "source", "size", "hash")
+    return told.select("doc_id", "size", F.col(p + "source_size").alias("source_size"), F.col(p + "target").alias("target"), (F.col("size") * F.col(p + "copies")).alias("taken"))
 
 
-def take(docs: DataFrame, seed: int = 42) -> DataFrame:
+def take(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with all their columns. Texts are not shuffled while the plan is broadcast."""
-    _, planned = plan(docs, seed)
-    keyed = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__hash", _hash(seed))
-    p = planned.select(*(F.col(c).alias(f"__p_{c}") for c in planned.columns))
-    joined = keyed.join(sized(p, 120), F.col("source").eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")))
-    named = joined.select(*docs.columns, F.col("__hash"), F.col("__p_passes"), F.col("__p_cut_hash"), F.col("__p_cut_id"))
-    at = (F.col("__hash") < F.col("__p_cut_hash")) | ((F.col("__hash") == F.col("__p_cut_hash")) & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("__p_cut_id"), F.lit(False))))
-    copies = (F.col("__p_passes") + F.coalesce(at, F.lit(False)).cast("long")).cast("int")
-    return named.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    size, hash_ = fresh(docs, "size"), fresh(docs, "hash")
+    sizes = (word_count(F.col(text_col)), _hash(seed, id_col, text_col))
+    planned = plan(pin(docs.select(F.col(source_col).alias("source"), sizes[0].alias("size"), sizes[1].alias("hash"))))
+    told, p = _decided(docs.withColumn(size, sizes[0]).withColumn(hash_, sizes[1]), planned, source_col, size, hash_)
+    return told.withColumn(p + "each", F.explode(F.array_repeat(F.lit(0), F.col(p + "copies").cast("int")))).select(*docs.columns)
