@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import new_path, pin, sized
+from strataquery.llm.common import new_path, pin, sized, split_join
 
 
 @dataclass(frozen=True)
@@ -41,26 +41,51 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
 BLOB_BYTES = 120
+#: Matches whose positions are summed in one go.
+RUN = 256
 
 
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
-    """Array of (start, place, end) in code points for one rule; empty without a match."""
+    """Array of (start, place, end) in code points for one rule; empty without a match.
+
+    Steps are summed in runs of RUN: appending to an array copies it, so one run for all would take quadratic time.
+    """
     pattern = F.lit(rule.pattern)
     pieces = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
     groups = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x))
     empty = F.array().cast("array<struct<start:int,place:int,end:int>>")
     steps = F.arrays_zip(pieces.alias("gap"), matches.alias("len"), groups.alias("grp"))
-    first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    zero = F.lit(0)
+
+    def cut(all_steps: Column) -> Column:
+        """Runs of steps."""
+        return F.transform(F.sequence(F.lit(1), F.size(all_steps), F.lit(RUN)), lambda i: F.slice(all_steps, i, RUN))
+
+    def add_run(state: Column, run: Column) -> Column:
+        """The runs so far, each with where it begins."""
+        length = F.aggregate(run, zero, lambda n, x: n + x["gap"] + F.coalesce(x["len"], zero))
+        return F.struct((state["at"] + length).alias("at"), F.concat(state["runs"], F.array(F.struct(state["at"].alias("at"), run.alias("run")))).alias("runs"))
 
-    def step(state: Column, x: Column) -> Column:
+    def add_step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
+        end = start + F.coalesce(x["len"], zero)
         ok = F.coalesce(x["grp"] >= rule.least, F.lit(False))
         one = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(ok, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, first, step, lambda s: s["found"])).otherwise(empty)
+    no_runs = F.array().cast("array<struct<at:int,run:array<struct<gap:int,len:int,grp:int>>>>")
+    # transform over an array of one binds the steps, which are then computed once
+    bound = F.element_at(F.transform(F.array(steps), cut), 1)
+    runs = F.aggregate(bound, F.struct(zero.alias("at"), no_runs.alias("runs")), add_run, lambda s: s["runs"])
+    spans = F.flatten(F.transform(runs, lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), empty.alias("found")), add_step, lambda s: s["found"])))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
+
+
+def _rules(spark, rules) -> DataFrame:
+    """(kind, version) of the rules, a relation of literals."""
+    rows = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    return F.broadcast(spark.range(1).select(F.inline(rows)))  # as many rows as there are rules
 
 
 class Ledger:
@@ -103,31 +128,29 @@ def scan(docs: DataFrame, ledger: Ledger, rules=RULES, id_col: str = "doc_id", t
     paths = pin(addressed.select("doc_id", "blob"))
     todo, fresh = _unseen(paths.groupBy("blob").agg(F.count("*").alias("n")), ledger, rules)
     todo = pin(todo)
-    many = todo.where("n > 1").select("blob")
-    n_many, n_todo = many.count(), todo.count()
-    many = sized(many, BLOB_BYTES, n_many)
+    total = paths.count()
+    many = todo.where("n > 1").select("blob", "n")
     if fresh:  # all blobs are unseen: only those with several paths need to be told apart
-        single = addressed.join(many, "blob", "left_anti").select("blob", "text")
+        single = addressed.join(sized(many, BLOB_BYTES), "blob", "left_anti").select("blob", "text")
     else:
-        single = addressed.join(sized(todo.where("n = 1").select("blob"), BLOB_BYTES, n_todo), "blob", "left_semi").select("blob", "text")
-    shared = addressed.join(many, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        single = addressed.join(sized(todo.where("n = 1"), BLOB_BYTES), "blob", "left_semi").select("blob", "text")
+    shared = split_join(addressed.select("blob", "text"), many, "blob", total, BLOB_BYTES, "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
     blobs = single.unionByName(shared)
     if fresh:
         wanted = lambda kind: F.lit(True)
     else:
-        blobs = blobs.join(sized(todo.select("blob", "todo"), BLOB_BYTES + 40, n_todo), "blob")
+        blobs = blobs.join(sized(todo.select("blob", "todo"), BLOB_BYTES + 40), "blob")
         wanted = lambda kind: F.array_contains("todo", kind)
     per_rule = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(wanted(r.kind), rule_spans(F.col("text"), r, i)).alias("spans")) for i, r in enumerate(rules)]
     found = blobs.select("blob", F.array(*per_rule).alias("each")).select("blob", F.explode(F.filter("each", lambda x: F.size(x["spans"]) > 0)).alias("x")).select("blob", "x.*")
     ledger.append("findings", found)
-    ledger.append("scanned", todo.select("blob", F.explode("todo").alias("kind")).join(F.broadcast(todo.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")), "kind"))
+    ledger.append("scanned", todo.select("blob", F.explode("todo").alias("kind")).join(_rules(todo.sparkSession, rules), "kind"))
     return paths
 
 
 def report(paths: DataFrame, ledger: Ledger, rules=RULES) -> DataFrame:
     """Findings of every path: doc_id, n_<kind> per rule, base_sha256, spans."""
-    current = F.broadcast(paths.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int"))
-    per_blob = ledger.findings().join(current, ["kind", "version"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    per_blob = ledger.findings().join(_rules(paths.sparkSession, rules), ["kind", "version"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     per_blob = pin(per_blob)
     joined = paths.join(sized(per_blob, 400), "blob", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,place:int,end:int>>"))
