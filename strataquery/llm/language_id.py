@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import pin
+from strataquery.llm.common import fresh, pin
 
 ORDER = 4
 SAMPLE = 240
@@ -249,15 +249,16 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
 
 
 def sample(rows: DataFrame, per_language: int = SAMPLE) -> dict[str, list[str]]:
-    """At most per_language texts of each lang, by the least hash of doc_id; rows: doc_id, text, lang."""
-    ids = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    w = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = pin(ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct())
+    """At most per_language different texts of each lang, by the least hash of doc_id and text; rows: doc_id, text, lang."""
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    w = W.partitionBy("lang").orderBy("h", "doc_id", "key")
+    ids = labelled.select("doc_id", "lang", "key", F.xxhash64("doc_id").alias("h"))
+    chosen = pin(ids.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= per_language).select("doc_id", "lang", "key").distinct())
+    on = [labelled[c].eqNullSafe(chosen[c]) for c in ("doc_id", "lang", "key")]
+    found = labelled.join(F.broadcast(chosen), on, "left_semi").groupBy("doc_id", "lang", "key").agg(F.min("text").alias("text"))  # SAMPLE rows a language
     got: dict[str, list[str]] = {}
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect()  # SAMPLE rows a language
-    for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if len(got.setdefault(r["lang"], [])) < per_language:
-            got[r["lang"]].append(r["text"])
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+        got.setdefault(r["lang"], []).append(r["text"])
     return got
 
 
@@ -286,10 +287,11 @@ def predictor(spark, model: Model):
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row."""
     predict = predictor(docs.sparkSession, model or train_on(docs))
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("told")).select("doc_id", "held_out", "told.*")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Rows of docs that are not rejected, with all their columns."""
     predict = predictor(docs.sparkSession, model or train_on(docs))
-    return docs.withColumn("__p", predict("text")).where(~F.col("__p.rejected")).select(*docs.columns)
+    told = fresh(docs, "told")
+    return docs.withColumn(told, predict("text")).where(~F.col(f"{told}.rejected")).select(*docs.columns)
