@@ -11,8 +11,9 @@ distances to ``PIVOTS`` reference fingerprints discard pairs: by the triangle in
 differ by 3 at most. Survivors are verified by the exact distance. Pivot distances alone would not do as the only
 filter: at 64 random bits one coordinate keeps about half of all pairs, so all pairs would have to be looked at.
 
-A key with many fingerprints (a large group of near copies) is searched breadth first: a reached fingerprint leaves the
-set of those still looked at, and each key gives a spanning forest of its links, never all pairs of a group. Components
+A key with many fingerprints (a large group of near copies) is first split by the same argument: the bits that it leaves
+open fall into six classes, and linked fingerprints agree on at least three of them. What remains is searched breadth first: a
+reached fingerprint leaves the set of those still looked at, and each key gives a spanning forest of its links, never all pairs of a group. Components
 come from alternating large-star and small-star rounds on the forest edges, each written to the shared folder.
 
 Defined results: null or empty text, or one of white space only, has no words and the fingerprint 0, which is linked like any other; fewer
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from strataquery.llm.common import pin, sized
+from strataquery.llm.common import fresh, pin, sized
 
 RADIUS = 3
 SEED = 42
@@ -41,6 +42,10 @@ PIVOTS = 16
 PER_KEY = 256
 #: Keys with more fingerprints are searched breadth first.
 DENSE = 512
+#: Keys with more fingerprints are split by further bits, so that none is one task's work.
+CROWD = 4096
+#: How often a key is split; the last leaves about an eighth of the bits that the block tables left open.
+LEVELS = 3
 
 
 def fingerprint(raw: bytes, words: int = 3) -> int:
@@ -140,7 +145,7 @@ def dense_links(prints: np.ndarray, references: np.ndarray) -> tuple[np.ndarray,
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges (a, b) of rows (table, key, fp) sorted by table and key."""
+    """Forest edges (a, b) of rows (open, key, fp) sorted by open and key."""
     references = pivots()
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -172,22 +177,45 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from work(*held)
 
 
-def _keys(fp, blocks: int):
-    """Array of (table, key) of a fingerprint column."""
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def _tables(fp, blocks: int):
+    """Array of (open, key) of a fingerprint column: open has the bits of RADIUS blocks, key the others of the fingerprint."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    out = []
-    for t, kept in enumerate(combinations(range(blocks), blocks - RADIUS)):
-        mask = sum(masks[i] for i in kept)
-        out.append(F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask)).alias("key")))
-    return F.array(*out)
+    opened = [sum(masks[i] for i in some) for some in combinations(range(blocks), RADIUS)]
+    return F.array(*(F.struct(F.lit(_signed(o)).cast("long").alias("open"), fp.bitwiseAND(F.lit(_signed(o ^ (2**64 - 1))).cast("long")).alias("key")) for o in opened))
+
+
+def _finer(level: int):
+    """Array of (open, key) of columns open and fp: the open bits fall into 2 * RADIUS classes; prints within RADIUS bits of each other agree on all
+    of RADIUS classes at least, which every choice of RADIUS classes adds to a key."""
+    width = 2 * RADIUS
+    of = (lambda p: p % width, lambda p: p // width % width, lambda p: (p + p // width) % width)[level]
+    classes = [sum(1 << p for p in range(64) if of(p) == j) for j in range(width)]
+    closed = [sum(classes[j] for j in some) for some in combinations(range(width), RADIUS)]
+    left = lambda c: F.col("open").bitwiseAND(F.lit(_signed(c ^ (2**64 - 1))).cast("long"))
+    return F.array(*(F.struct(left(c).alias("open"), F.col("fp").bitwiseAND(F.bitwise_not(left(c))).alias("key")) for c in closed))
 
 
 def find_links(prints: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints ``fp``: a forest per key whose closure is that of all links."""
-    tables = prints.select(F.explode(_keys(F.col("fp"), block_count(n))).alias("k"), "fp").select("k.table", "k.key", "fp")
-    placed = tables.repartition("table", "key").sortWithinPartitions("table", "key", "fp")
-    return placed.mapInArrow(_links, "a long, b long").distinct()
+    """Edges (a, b) of distinct fingerprints ``fp``: a forest per key whose closure is that of all links. Keys with more than CROWD
+    fingerprints are split by further bits, LEVELS times at most, after which few open bits are left."""
+    tables = prints.select(F.explode(_tables(F.col("fp"), block_count(n))).alias("k"), "fp").select("k.open", "k.key", "fp")
+    found = None
+    for level in range(LEVELS + 1):
+        crowds = pin(tables.groupBy("open", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("open", "key")) if level < LEVELS else None
+        n_crowds = crowds.count() if crowds is not None else 0
+        told = sized(crowds, 16, n_crowds) if n_crowds else None
+        thin = tables.join(told, ["open", "key"], "left_anti") if n_crowds else tables
+        edges = thin.repartition("open", "key").sortWithinPartitions("open", "key", "fp").mapInArrow(_links, "a long, b long")
+        found = edges if found is None else found.unionByName(edges)
+        if not n_crowds:
+            break
+        tables = pin(tables.join(told, ["open", "key"], "left_semi").select("fp", F.explode(_finer(level)).alias("k")).select("k.open", "k.key", "fp").distinct())
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,14 +263,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     per = pin(groups.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"))
     members = groups.join(sized(per, 64), "root")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    named = (F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    named = (F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
     gone = pin(members.where(~is_first).select(*named).distinct())
     same = pin(members.where(is_first).groupBy("doc_id", "text_key").agg(F.count("*").alias("same")).where("same > 1").select(*named))
-    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    left = marked.join(sized(gone, 48), on, "left_anti")
+    key = fresh(docs, "text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    on = lambda keys: marked[id_col].eqNullSafe(keys["gone_id"]) & (marked[key] == keys["gone_key"])
+    left = marked.join(sized(gone, 48), on(gone), "left_anti")
     n_same = same.count()
     if not n_same:
         return left.select(*docs.columns)
-    one = left.join(sized(same, 48, n_same), on, "left_semi").dropDuplicates([id_col, "__text_key"])
-    return left.join(sized(same, 48, n_same), on, "left_anti").unionByName(one).select(*docs.columns)
+    one = left.join(sized(same, 48, n_same), on(same), "left_semi").dropDuplicates([id_col, key])
+    return left.join(sized(same, 48, n_same), on(same), "left_anti").unionByName(one).select(*docs.columns)
