@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, secrets, sharding, simhash, topk
+from strataquery.llm import byte_bpe, chat_format, common, exact_dedup, language_id, line_dedup, mixing, secrets, sharding, simhash, topk
 from strataquery.llm.catalog import tokenizer
 
 DOC = "doc_id long, text string, lang string, source string, key long, n int, norm string"
@@ -56,9 +57,76 @@ def test_directory_doubles_only_full_buckets(spark):
     assert sum(b["n_keys"] for b in buckets) == 264 and max(b["n_keys"] for b in buckets) <= 20 and len({b["depth"] for b in buckets}) > 1
 
 
+def test_directory_routes_every_key(spark):
+    rng = random.Random(8)
+    texts = [f"t{rng.randrange(300)}" for _ in range(600)]
+    entries = exact_dedup._keyed(docs(spark, texts), "doc_id", "text", 64).select("doc_id", F.col("doc_id").alias("row"), "key")
+    pages, table = exact_dedup.build_index(entries, capacity=8)
+    rows, buckets = pages.collect(), table.collect()
+    assert len(rows) == len(set(texts)) and sum(r["n"] for r in rows) == 600 and len(buckets) > 30 and len({b["owner"] for b in buckets}) > 1
+    depth = {(b["bucket"], b["owner"]): b["depth"] for b in buckets}
+    per = {}
+    for r in rows:
+        assert (r["key"] % 2**64) >> (64 - depth[r["bucket"], r["owner"]]) == r["bucket"]
+        per[r["bucket"], r["owner"]] = per.get((r["bucket"], r["owner"]), 0) + 1
+    assert max(per.values()) <= 8
+    # an owner has one range of keys
+    ranges = sorted((min(k), max(k)) for o in {r["owner"] for r in rows} for k in [[r["key"] % 2**64 for r in rows if r["owner"] == o]])
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    # the directory decides: one with a bucket left out is refused
+    with pytest.raises(ValueError, match="directory"):
+        exact_dedup.build_index(entries, buckets=table.orderBy("bucket").limit(len(buckets) - 1).drop("owner"))
+
+
+def test_exact_groups_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = docs(spark, ODD * 5 + ["hot"] * 40)
+    got = {r["doc_id"]: r["group_size"] for r in exact_dedup.exact_groups(rows, capacity=4).collect()}
+    assert got[60] == 40 and got[0] == 10 and got[3] == 10 and len(got) == 100
+    assert exact_dedup.drop_copies(rows, capacity=4).count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in ODD}) + 1
+    assert secrets.scan_secrets(docs(spark, [*SECRETS, *["token: abcdef"] * 30])).where("n_assign = 1").count() >= 30
+    assert exact_dedup.exact_groups(rows.limit(0)).count() == 0 and exact_dedup.drop_copies(rows.limit(0)).count() == 0
+
+
+def test_intermediates_can_be_cleared(spark):
+    path = common.new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert common.clear_intermediates(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 # sharding
 
 
+def plain_place(number, n, seed=42):
+    """The permutation on Python integers."""
+    bits = max(2, (n - 1).bit_length())
+    prime = 2**31 - 1
+
+    def once(x):
+        lb, rb = bits // 2, bits - bits // 2
+        left, right = x >> rb, x & (1 << rb) - 1
+        for r in range(4):
+            y = ((right ^ (seed * 7919 + (r + 1) * 104729) % prime) % prime) * 1103515245 + 12345
+            y = ((y ^ y >> 16) % prime) * 48271
+            left, right = right, left ^ (y ^ y >> 13) % (1 << lb)
+            lb, rb = rb, lb
+        return left << rb | right
+
+    x = once(number)
+    while x >= n:
+        x = once(x)
+    return x
+
+
+def test_shards_against_plain_feistel(spark):
+    texts = [f"text {i % 7}" for i in range(90)]
+    got = sharding.shard_documents(docs(spark, texts, ids=list(range(100, 190))), shards=24).collect()
+    assert {(r["doc_id"], r["slot"] * 24 + r["shard"]) for r in got} == {(100 + i, plain_place(i, 90)) for i in range(90)}
+    assert sharding.shard_documents(docs(spark, texts).limit(0)).count() == 0
+
+
 def test_shards(spark):
     got = sharding.shard_documents(docs(spark, ODD * 9, ids=[*range(100), *[None] * 8]), shards=5).collect()
     per = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(5)}
@@ -148,6 +216,39 @@ def test_block_tables_lose_no_link(spark, blocks, monkeypatch):
                 assert roots[signed(p)] == roots[signed(q)]
 
 
+@pytest.mark.parametrize("crowd", [3, 40])
+def test_crowded_keys_lose_no_link(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(crowd)
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(260)} | {rng.getrandbits(64) for _ in range(20)})
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, p in enumerate(prints):
+        for q in prints[:i]:
+            if (p ^ q).bit_count() <= 3:
+                root[max(find(p), find(q))] = min(find(p), find(q))
+    links = simhash.find_links(df, len(prints)).collect()
+    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= 3 for r in links)
+    got = {p: p for p in prints}
+
+    def reach(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    for r in links:
+        a, b = reach(r["a"] % 2**64), reach(r["b"] % 2**64)
+        got[max(a, b)] = min(a, b)
+    assert [reach(p) for p in prints] == [find(p) for p in prints]
+
+
 def test_simhash_repeats(spark):
     rows = docs(spark, ["a b c d", "a b c d", "x y z", None], ids=[1, 1, None, None])
     assert simhash.drop_near_copies(rows).count() == 3
@@ -228,6 +329,71 @@ def test_language_model_is_a_distribution():
     assert np.allclose(model.entropies(many)[0], alone, atol=1e-4)
 
 
+def plain_kneser_ney(texts, order=4):
+    """log P(symbol | symbols before) of an interpolated Kneser-Ney model kept in dictionaries."""
+    runs = [[32] * (order - 2) + [int(c) for c in language_id.symbols(t)] for t in texts]
+    counts = [{} for _ in range(order + 1)]
+    for x in runs:
+        for k in range(1, order + 1):
+            for i in range(k - 1, len(x)):
+                g = tuple(x[i - k + 1 : i + 1])
+                counts[k][g] = counts[k].get(g, 0) + 1
+    for k in range(1, order):  # below the highest order: distinct symbols before
+        before = {}
+        for g in counts[k + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        counts[k] = {g: max(1, len(before.get(g, ()))) for g in counts[k]}
+    tables = {}
+    for k in range(1, order + 1):
+        once, twice = (sum(n == m for n in counts[k].values()) for m in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        total, kinds = {}, {}
+        for g, n in counts[k].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + n
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        tables[k] = (discount, total, kinds)
+
+    def p(g):
+        k = len(g)
+        discount, total, kinds = tables[k]
+        lower = p(g[1:]) if k > 1 else (1 / (len(counts[1]) + 1) if g in counts[1] else None)
+        if k == 1:
+            return (counts[1][g] - discount) / total[()] + discount * kinds[()] / total[()] * lower if g in counts[1] else language_id.UNKNOWN
+        if g[:-1] not in total:
+            return lower
+        return max(counts[k].get(g, 0) - discount, 0) / total[g[:-1]] * (g in counts[k]) + discount * kinds[g[:-1]] / total[g[:-1]] * lower
+
+    return lambda g: math.log(p(tuple(g)))
+
+
+def test_language_model_against_dictionaries():
+    rng = random.Random(11)
+    samples = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(12)) for _ in range(8)] for lang, letters in (("a", "abcde"), ("b", "cdefg"))}
+    model = language_id.train(samples)
+    for j, lang in enumerate("ab"):
+        plain = plain_kneser_ney([t for i, t in enumerate(samples[lang]) if i % 4])
+        for text in ("abc deg fab", "ggg aaa", "xyz abd"):
+            x = np.concatenate(([32, 32], language_id.symbols(text))).astype(np.uint64)
+            want = [plain([int(c) for c in x[i - 3 : i + 1]]) for i in range(3, len(x))]
+            assert np.allclose(model.logs(x)[:, j], want, atol=1e-4)
+
+
+def test_language_of_odd_rows(spark):
+    texts = [*ODD, *["der die das und nicht"] * 20, *["the and of with not"] * 20]
+    rows = docs(spark, texts, ids=[None, *[3] * 11, *range(20, 60)]).drop("lang")
+    lang = F.when(F.col("text").contains("der"), "de").when(F.col("text").contains("the"), "en")
+    rows = rows.withColumn("lang", lang).withColumn("p", F.lit(1)).withColumn("h", F.lit(1)).withColumn("score", F.lit("x"))
+    got = language_id.identify(rows).collect()
+    assert len(got) == len(texts) and {r["lang_pred"] for r in got} == {"und", "de", "en"} and all(0 <= r["score"] <= 1 for r in got)
+    assert sum(r["lang_pred"] == "und" for r in got) == 3
+    kept = language_id.keep_identified(rows)
+    assert kept.columns == rows.columns and kept.where("text LIKE 'der%' OR text LIKE 'the%'").count() == 40
+    assert language_id.identify(rows.limit(0)).count() == 0 and language_id.identify(docs(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).collect()[0]["lang_pred"] == "und"
+    # the bound holds though every row has one id
+    same = docs(spark, [f"text number {i} of many words" for i in range(600)], ids=[1] * 600)
+    assert sum(map(len, language_id.sample(same, 50).values())) == 50
+
+
 def test_language_held_out(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet")
     got = language_id.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -315,6 +481,23 @@ def test_mix_takes_the_nearer_sum(spark):
     assert 1900 < goal["b"] < 2000 and 900 < goal["c"] < 1000 and got == {0: 200, 1: 2000, 2: 1000}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mix_of_repeated_and_null_ids(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(9)
+    sources = [rng.choice("abc") for _ in range(300)]
+    texts = [" ".join(["w"] * rng.choice([3, 7, 7, 7])) for _ in range(300)]
+    df = docs(spark, texts, sources, ids=[None if i % 2 else 5 for i in range(300)]).withColumn("p_copies", F.lit(1)).withColumn("hash", F.lit(1))
+    size = {s: sum(t.count("w") for t, o in zip(texts, sources) if o == s) for s in "abc"}
+    goal, taken = mix_targets(size), dict.fromkeys("abc", 0)
+    for r in mixing.take(df).collect():
+        taken[r["source"]] += r["text"].count("w")
+    assert all(abs(taken[s] - goal[s]) <= 2 for s in "abc")
+    total = {r["target"]: r["n"] for r in mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("n")).collect()}
+    assert sorted(total.values()) == sorted(taken.values())
+
+
 # secrets
 
 SECRETS = [
@@ -341,6 +524,14 @@ def test_secret_spans(spark):
         assert r["n_assign"] == want.count("assign:") and r["n_hex"] == want.count("hex:")
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdefgh " * 100_000
+    began = time.time()
+    got = secrets.scan_secrets(docs(spark, [text])).collect()[0]
+    assert got["n_assign"] == 100_000 and got["spans"] == find_secrets(text) and time.time() - began < 60
+    assert secrets.scan_secrets(docs(spark, [text]).limit(0)).count() == 0
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = secrets.Ledger(spark)
     first, second = docs(spark, SECRETS), docs(spark, SECRETS + ["password: abcdefgh"])
@@ -380,6 +571,23 @@ def test_line_runs_against_brute_force(spark, seed):
         assert got[d]["text"] == kept and got[d]["n_lines"] == (0 if texts[d] is None else texts[d].count("\n") + 1)
 
 
+def test_line_rows_alike_keep_one(spark):
+    run = "\n".join(f"{a} " * 7 for a in "abcdefghi")
+    texts = [run, run, "x\n" + run, run, "own line of words\nand more", "own line of words\nand more", None, None, "w " * 60, "w " * 60]
+    rows = docs(spark, texts, ids=[None, None, 4, 4, None, None, None, None, 9, 9])
+    got = line_dedup.drop_repeated_runs(rows).collect()
+    told = sorted(((r["doc_id"], r["text"], len(r["runs"])) for r in got), key=repr)
+    want = [(None, run, 0), (None, "", 1), (4, "x", 1), (4, "", 1), (None, texts[4], 0), (None, texts[4], 0), (None, None, 0), (None, None, 0), (9, texts[8], 0), (9, "", 1)]
+    assert told == sorted(want, key=repr)
+    assert sorted(r["n_removed"] for r in line_dedup.digest(line_dedup.drop_repeated_runs(rows)).collect()) == [0] * 6 + [1, 9, 9, 9]
+
+
+def test_line_dedup_of_a_long_text(spark):
+    text = "\n".join(f"line {i} of a text with several words in it" for i in range(20_000))
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_runs(docs(spark, [text, "new\n" + text])).collect()}
+    assert got[0]["text"] == text and got[1]["text"] == "new" and got[1]["n_lines"] == 20_001
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.digest(line_dedup.drop_repeated_runs(docs(spark, ["x"]).limit(0))).count() == 0
 
@@ -421,6 +629,29 @@ def test_top_k_keeps_large_and_repeated_vectors(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
+def test_top_k_sends_only_blocks_that_may_matter(spark, monkeypatch):
+    for name, v in zip(("BLOCK", "SHARD", "QUERIES", "WIDE"), (8, 2, 4, 3)):
+        monkeypatch.setattr(topk, name, v)
+    # ids follow the direction of the vectors, so that far blocks have low bounds
+    vectors = [(i, [math.cos(i / 64), math.sin(i / 64)]) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    sent = []
+    real = topk._tile
+    monkeypatch.setattr(topk, "_block_bounds", lambda pruned, own=topk._block_bounds: sent.append(pruned) or own(pruned))
+    monkeypatch.setattr(topk, "_tile", real)
+    got = topk.top_k(df, k=3).collect()
+    assert sent == [False, True]
+    rows = {i: [math.floor(64 * x) for x in v] for i, v in vectors}
+    want = {(q, n + 1, i, s) for q in range(0, 200, 20) for n, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q), key=lambda x: (-x[0], x[1]))[:3])}
+    assert {tuple(r) for r in got} == want
+    import pyarrow as pa
+
+    q = {"batch": [0], "n": [1], "width": [2], "ids": [np.array([5]).tobytes()], "vectors": [np.array([[64, 0]], dtype=np.int32).tobytes()], "floor": [np.array([4000]).tobytes()]}
+    ends = [(0, 0, [64, 10], [60, 0]), (0, 1, [60, 64], [10, 60]), (1, 2, [-10, 64], [-64, 0])]
+    cut = {"shard": [e[0] for e in ends], "block": [e[1] for e in ends], "width": [2] * 3, **{n: [np.array([e[i]], dtype=np.int32).tobytes() for e in ends] for n, i in (("high", 2), ("low", 3))}}
+    assert topk._block_bounds(True)(pa.table(q), pa.table(cut)).to_pylist() == [{"batch": 0, "shard": 0, "block": 0, "bound": 4096.0}]
+
+
 def test_top_k_products_are_exact_or_refused():
     q = np.array([[2.0**40, 2.0**23 + 1, 0.0], [2.0**31, 2.0**31, 1.0], [2.0**100, 0.0, 0.0]])
     v = np.array([[2.0**20, 3.0, 5.0], [2.0**31, -(2.0**31), 7.0], [0.0, 1.0, 0.0]])
