@@ -6,10 +6,11 @@ the maximum and minimum of each term. For one query the sum over terms of the la
 minimum bounds every score in a block. Blocks are scored in order of falling bound, and the search of a query stops once the
 next bound is below its k-th best score (an equal bound goes on, as ties go to the smaller id).
 
-Work is dealt as tiles: one batch of queries against one shard of blocks. A first round takes each batch to the shard that
-holds its highest bound; the k-th scores found there start the second round over all other shards, so a shard whose
-bounds all stay below is left without scoring a vector. Nothing grows in one task: a tile holds QUERIES queries and
-SHARD blocks. Partial lists of k rows meet in a window per query.
+Work is dealt as tiles: one batch of queries against one shard of blocks. Bounds come first: only the term maxima and
+minima of WIDE shards meet a batch. A first round takes each batch to the shard that holds its highest bound. The k-th scores
+found there are held against the bounds of all other blocks, and only blocks that a query of the batch may still need are
+sent to it, so a pruned block's vectors never move. Nothing grows in one task: a tile holds QUERIES queries and SHARD blocks.
+Partial lists of k rows meet in a window per query.
 
 Rows are held as 32-bit integers where a block fits, as doubles of whole numbers where it does not. Products are taken in
 doubles below 2^53, in longs below 2^62, and in Python integers beyond, so every score is exact; bounds that a double
@@ -35,8 +36,10 @@ from pyspark.sql import Window as W
 from strataquery.llm.common import pin
 
 BLOCK = 512
-SHARD = 64
-QUERIES = 512
+SHARD = 16
+QUERIES = 2048
+#: Shards whose bounds are held against a batch at a time.
+WIDE = 64
 #: Below these, products and sums are exact as doubles and as longs (2^62 leaves room for the rounding of the estimate).
 DOUBLES, LONGS = 2.0**53, 2.0**62
 #: Below every score, with a negative that fits; above every id.
@@ -217,16 +220,23 @@ def _tile(k: int):
     return search
 
 
-def _best_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (batch, shard, n, width, vectors, highs, lows): the mean over queries of the highest bound in the shard."""
-    for b in batches:
-        got = []
-        for r in b.to_pylist():
-            width = max([r["width"], *r["widths"]])
+def _block_bounds(pruned: bool):
+    """applyInArrow over one batch and the bounds of WIDE shards: (batch, shard, block, bound) with the mean bound over the queries of the
+    batch; if pruned, only of blocks where the bound of a query reaches its floor."""
+
+    def tell(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows, cut = queries.to_pylist(), blocks.to_pylist()
+        out = []
+        for r in rows if cut else []:
+            width = max(x["width"] for x in [r, *cut])
             q = _wide(_array(r["vectors"], r["n"], r["width"]), width)
-            stack = lambda raws: np.concatenate([_wide(_array(x, 1, w), width) for x, w in zip(raws, r["widths"])])
-            got.append((r["batch"], r["shard"], float(bounds(q, stack(r["highs"]), stack(r["lows"])).max(axis=1).mean())))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64())], names=["batch", "shard", "bound"])
+            high, low = (np.concatenate([_wide(_array(b[end], 1, b["width"]), width) for b in cut]) for end in ("high", "low"))
+            top = bounds(q, high, low)
+            keep = (top >= np.frombuffer(r["floor"], dtype=np.int64)[:, None]).any(axis=0) if pruned else np.ones(len(cut), dtype=bool)
+            out += [(r["batch"], b["shard"], b["block"], float(m)) for b, m, k in zip(cut, top.mean(axis=0), keep) if k]
+        return pa.table({n: pa.array([x[i] for x in out], type=t) for i, (n, t) in enumerate(zip(("batch", "shard", "block", "bound"), [pa.int64()] * 3 + [pa.float64()]))})
+
+    return tell
 
 
 def _top(lists: DataFrame, k: int) -> DataFrame:
@@ -252,33 +262,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     blocks = build_blocks(vectors, BLOCK, True).withColumn("shard", F.expr(f"block div {SHARD}"))
     batches = build_blocks(queries, QUERIES, False).withColumnRenamed("block", "batch").select("batch", "n", "width", "ids", "vectors")
     blocks, batches = pin(blocks), pin(batches)
-    shards = pin(blocks.groupBy("shard").agg(F.collect_list("high").alias("highs"), F.collect_list("low").alias("lows"), F.collect_list("width").alias("widths")))
-    n_shards = shards.count()
-    if not n_shards:
+    n_blocks = blocks.count()
+    if not n_blocks:
         return blocks.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")
-    # the stated query set against all shards, in tiles
-    pairs = batches.select("batch", "n", "width", "vectors", every).join(shards, "shard")
-    best = pairs.select("batch", "shard", "n", "width", "vectors", "highs", "lows", "widths").mapInArrow(_best_shard, "batch long, shard long, bound double")
-    first = pin(best.groupBy("batch").agg(F.max_by("shard", F.struct("bound", -F.col("shard"))).alias("shard")))
+    n_wide = -(-n_blocks // (SHARD * WIDE))
+    ends = blocks.select("shard", "block", "width", "high", "low", F.expr(f"shard div {WIDE}").alias("wide"))
+    of_batches = batches.select(F.col("batch").alias("of_batch")).distinct()
+
+    def bounded(q: DataFrame, pruned: bool) -> DataFrame:
+        """The bounds of all blocks for all batches: the stated query set against all rows, in blocks, by their maxima and minima alone."""
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_wide - 1).cast("long"))).alias("wide")
+        met = of_batches.select("of_batch", every).join(ends, "wide")
+        return q.select("*", every).groupBy("batch", "wide").cogroup(met.groupBy("of_batch", "wide")).applyInArrow(_block_bounds(pruned), "batch long, shard long, block long, bound double")
 
     def tiles(q: DataFrame, wanted: DataFrame) -> DataFrame:
-        """wanted: (batch, shard); q has batch and floor."""
-        left = q.join(wanted, "batch")
-        right = blocks.join(wanted, "shard")
+        """wanted: (batch, shard, block); q has batch and floor."""
+        left = q.join(wanted.select("batch", "shard").distinct(), "batch")
+        right = blocks.join(wanted.select("batch", "shard", "block"), ["shard", "block"])
         return left.groupBy("batch", "shard").cogroup(right.groupBy("batch", "shard")).applyInArrow(_tile(k), LISTS)
 
     opened = batches.withColumn("floor", F.lit(None).cast("binary"))
-    lists = pin(tiles(opened, first))
-    owner = pin(lists.select("query_id").distinct()).count()
-    if n_shards == 1 or not owner:
+    first = pin(bounded(batches, False).groupBy("batch").agg(F.max_by("shard", F.struct("bound", -F.col("block"))).alias("shard")))
+    lists = pin(tiles(opened, first.join(blocks.select("shard", "block"), "shard")))
+    if n_blocks <= SHARD or not lists.limit(1).count():
         return _top(lists, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    tops = _top(lists, k)
     of = batches.select(F.col("batch").alias("of_batch"), F.explode(_ids_udf("ids")).alias("query_id"))
-    floors = batches.groupBy("batch").cogroup(tops.join(of, "query_id").groupBy("of_batch")).applyInArrow(_floors(k), "batch long, n int, width int, ids binary, vectors binary, floor binary")
-    rest = pin(batches.select("batch", every).join(first, ["batch", "shard"], "left_anti"))
-    more = tiles(pin(floors), rest)
-    return _top(lists.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    floors = batches.groupBy("batch").cogroup(_top(lists, k).join(of, "query_id").groupBy("of_batch")).applyInArrow(_floors(k), "batch long, n int, width int, ids binary, vectors binary, floor binary")
+    floors = pin(floors)
+    rest = pin(bounded(floors, True).join(first, ["batch", "shard"], "left_anti"))
+    return _top(lists.unionByName(tiles(floors, rest)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _ids_udf(column: str):
