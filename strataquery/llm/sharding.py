@@ -50,21 +50,24 @@ def feistel(x: Column, bits: int, seed: int) -> Column:
 
 
 def permute(numbered: DataFrame, n: int, seed: int, col: str = "number") -> DataFrame:
-    """Adds ``place``: the permutation of 0..n-1 at ``col``, by cycle walking."""
+    """Adds ``place``: the permutation of 0..n-1 at ``col``, by cycle walking. At least half of all rows are inside after one
+    pass; only the others walk."""
     bits = domain_bits(n)
     inside = lambda v: v < F.lit(n)
     steps = F.sequence(F.lit(1), F.lit(WALK))
-    walk = lambda x: F.aggregate(steps, x, lambda v, _: F.when(inside(v), v).otherwise(feistel(v, bits, seed)))
-    placed = pin(numbered.withColumn("place", walk(feistel(F.col(col), bits, seed))))
-    while placed.where(F.col("place") >= n).limit(1).count():  # a cycle stays outside for more than WALK steps
+    walk = lambda x: F.when(inside(x), x).otherwise(F.aggregate(steps, x, lambda v, _: F.when(inside(v), v).otherwise(feistel(v, bits, seed))))
+    placed = numbered.withColumn("place", feistel(F.col(col), bits, seed))
+    while True:
         placed = pin(placed.withColumn("place", walk(F.col("place"))))
-    return placed
+        if not placed.where(F.col("place") >= n).limit(1).count():  # else a cycle stays outside for more than WALK steps
+            return placed
 
 
 def global_numbers(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """rows with ``number`` 0..N-1 in the given order (null last), and N."""
     by = [F.col(c).asc_nulls_last() for c in order]
-    local = pin(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced, so that later steps keep all cores busy
+    local = pin(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     counts = local.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     # one row per partition
