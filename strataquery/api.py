@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.operators import graph, lexical, retain, retrieval, versioning
+from strataquery.operators import graph, knn, lexical, retain, retrieval, versioning
 from strataquery.operators.scope import MemoryScope, TagFilter, TagGroup, visible
 
 
@@ -51,13 +51,12 @@ class KnowledgeBase:
         arms = [retrieval.ranked(lexical.keyword_arm(docs, queries, k), "keyword")]
         if self.vectors is not None and self.embed is not None:
             rows = self.vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
-            asked = queries.select("query_id", "query").collect()  # the request's own queries
-            for q, v in zip(asked, self.embed([r["query"] for r in asked])):
-                near = retrieval.vector_topk(rows, v, k, "doc_id").select(F.lit(q["query_id"]).alias("query_id"), "doc_id", "score")
-                arms.append(retrieval.ranked(near, "semantic"))
+            asked = retrieval.embedded(queries, self.embed).select(F.col("query_id").alias("id"), F.lit("").alias("group_id"), "embedding")
+            stored = rows.select(F.col("doc_id").alias("id"), F.lit("").alias("group_id"), "embedding")
+            near = knn.nearest(asked, stored, k, any_group=True).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), "score")
+            arms.append(retrieval.ranked(near, "semantic"))
         rows = retrieval.fuse(arms).join(docs, "doc_id").join(queries.select("query_id", "query"), "query_id")
-        pairs = lexical.term_coverage(queries, docs, rows.select("query_id", "doc_id"))
-        rows = rows.join(pairs, ["query_id", "doc_id"])
+        rows = lexical.with_coverage(rows, queries, docs)
         if mode == "deep":
             rows = retrieval.rerank(retrieval.rerank_bound(rows, "text"), self.scorer)
             rows = rows.withColumn("final_score", retrieval.capped_final(F.col("keyword_score"), F.col("reranker_score"), F.col("semantic_score")))

@@ -11,6 +11,7 @@ from strataquery.operators.scope import MemoryScope, TagFilter, visible
 from strataquery.plans.model import DOCS_SQL, FACTS_SQL, VECTORS_SQL, documents, facts, queries, vectors
 from strataquery.plans.registry import query
 from strataquery.session import table
+from strataquery.shared import sized, spread
 
 OPTIONS = retrieval.RecallOptions()
 
@@ -81,8 +82,7 @@ kr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY que
 
 @query("keyword_overlap_topk", f"WITH {_MATCH_SQL} SELECT query_id, doc_id, overlap FROM c")
 def keyword_overlap_topk(spark, d):
-    matches = lexical._matches(lexical.postings(table(spark, d, "documents")), lexical.query_terms(queries(spark, d)))
-    return lexical.candidates(matches)
+    return lexical.candidates(lexical.matched(spread(table(spark, d, "documents").select("doc_id", "text")), sized(lexical.query_terms(queries(spark, d)), 60))).drop("length")
 
 
 @query("bm25_topk", f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kr")
@@ -116,8 +116,7 @@ def fused(spark, d):
 
 
 def covered(spark, d, rows):
-    pairs = lexical.term_coverage(queries(spark, d), documents(spark, d), rows.select("query_id", "doc_id"), OPTIONS.min_terms, OPTIONS.term_share)
-    return rows.join(pairs, ["query_id", "doc_id"], "left")
+    return lexical.with_coverage(rows, queries(spark, d), documents(spark, d), OPTIONS.min_terms, OPTIONS.term_share)
 
 
 @query("rrf_fusion", f"WITH {VECTORS_SQL}, {_BM25_SQL}, {_SEM_SQL}, {_FUSE_SQL} SELECT query_id, doc_id, round(rrf, 9) AS rrf, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score, CAST(fused_rank AS INTEGER) AS fused_rank FROM fused")
@@ -130,8 +129,8 @@ WITH {DOCS_SQL}, {_MATCH_SQL}, fused AS (SELECT query_id, doc_id FROM c WHERE r
 SELECT query_id, doc_id, CAST(matched AS INTEGER) AS matched, CAST(n_terms AS INTEGER) AS n_terms, n_terms >= 2 AND matched >= 2 AND CAST(matched AS DOUBLE) / n_terms >= 0.5 AS covered FROM cv
 """)
 def term_coverage(spark, d):
-    matches = lexical._matches(lexical.postings(table(spark, d, "documents")), lexical.query_terms(queries(spark, d)))
-    return lexical.term_coverage(queries(spark, d), documents(spark, d), lexical.candidates(matches, 10))
+    kept = lexical.candidates(lexical.matched(spread(table(spark, d, "documents").select("doc_id", "text")), sized(lexical.query_terms(queries(spark, d)), 60)), 10)
+    return covered(spark, d, kept.select("query_id", "doc_id"))
 
 
 @query("relevance_gate", f"WITH {VECTORS_SQL}, {DOCS_SQL}, {_BM25_SQL}, {_SEM_SQL}, {_FUSE_SQL}, {_COVER_SQL} SELECT query_id, doc_id, CAST(fused_rank AS INTEGER) AS fused_rank FROM cv WHERE {_GATE_SQL}")
@@ -215,7 +214,7 @@ def temporal_arm(spark, d):
 
 @query("graph_arm", """
 WITH m AS (SELECT l_orderkey AS doc_id, l_suppkey AS entity_id FROM lineitem),
-dr AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN supplier ON s_suppkey = entity_id WHERE lower(s_name) LIKE '%000000001%' GROUP BY doc_id),
+dr AS MATERIALIZED (SELECT doc_id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN supplier ON s_suppkey = entity_id WHERE lower(s_name) LIKE '%000000001%' GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30),
 k AS MATERIALIZED (SELECT o_orderkey AS s, o_orderkey + 1 AS t, CAST((o_orderkey % 10) / 10.0 AS DOUBLE) AS w FROM orders),
 b AS (SELECT s, t, w FROM k UNION ALL SELECT t, s, w FROM k),
 n AS (SELECT t AS doc_id, max(0.8 * w) AS score FROM b JOIN dr ON dr.doc_id = b.s GROUP BY t)
