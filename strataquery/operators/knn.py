@@ -1,7 +1,8 @@
 """Nearest vectors by blocks: rows are packed into blocks, block pairs are dealt over tasks, and each pair is one matrix product.
 
-The vectors of one side meet every block of the other, as exact search without an index must; a task holds two
-blocks, and only the best k rows of each query and block leave it.
+Blocks are cut from consecutive rows of a task, whatever their ids, so sparse or repeated ids fill them alike. The vectors of
+one side meet every block of the other, as exact search without an index must; a task holds two blocks, and only the best k rows
+of each query and block leave it. Pairs within a group meet only the blocks of their group.
 """
 
 from __future__ import annotations
@@ -14,14 +15,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataquery.shared import pin, sized
+
 ROWS = 1024
+#: Rows of one group that a task packs; a larger group is dealt over several tasks.
+GROUP_ROWS = 262_144
+BLOCK = "grp string, ids array<long>, grps array<string>, vs array<array<double>>"
+
+
+def _rows(vectors: DataFrame, id_col: str, group_col: str, vec_col: str) -> DataFrame:
+    """(id, grp, v) of the rows that have a vector."""
+    return vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("grp"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def _cut(by_group: bool, size: int):
+    """mapInPandas: consecutive rows become blocks of ``size`` rows at most; of one group each, if so asked."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"grp": [rows["grp"].iloc[0] if by_group else None], "ids": [rows["id"].to_numpy()], "grps": [rows["grp"].tolist()], "vs": [rows["v"].tolist()]})
+
+        held = None
+        for pdf in parts:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            while len(held):
+                end = size
+                if by_group:
+                    other = np.flatnonzero((held["grp"] != held["grp"].iloc[0]).to_numpy()[:size])
+                    end = int(other[0]) if len(other) else size
+                if len(held) < end:
+                    break
+                yield block(held.iloc[:end])
+                held = held.iloc[end:].reset_index(drop=True)
+        while held is not None and len(held):
+            end = len(held)
+            if by_group:
+                other = np.flatnonzero((held["grp"] != held["grp"].iloc[0]).to_numpy())
+                end = int(other[0]) if len(other) else end
+            yield block(held.iloc[:end])
+            held = held.iloc[end:].reset_index(drop=True)
+
+    return run
 
 
-def pack(vectors: DataFrame, id_col: str, group_col: str, vec_col: str) -> DataFrame:
-    """(block, ids, groups, vectors) with at most about ROWS rows each; rows with a null vector are left out."""
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vec_col).cast("array<double>").alias("v"))
-    placed = rows.withColumn("block", F.expr(f"id div {ROWS}"))
-    return placed.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list(F.coalesce("grp", F.lit(""))).alias("grps"), F.collect_list("v").alias("vs"))
+def pack(vectors: DataFrame, id_col: str, group_col: str, vec_col: str, by_group: bool = False) -> DataFrame:
+    """(block, grp, ids, grps, vs), numbered and written; rows with a null vector are left out. By group no block has rows of two groups."""
+    rows = _rows(vectors, id_col, group_col, vec_col)
+    if by_group:
+        sizes = rows.groupBy("grp").agg(F.expr(f"cast(ceil(count(*) / {GROUP_ROWS}) AS int)").alias("parts"))
+        rows = rows.join(sized(pin(sizes), 40), "grp").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+        rows = rows.repartition("grp", "part").sortWithinPartitions("grp").select("id", "grp", "v")
+    return pin(rows.mapInPandas(_cut(by_group, ROWS), BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
 
 def _unit(rows) -> np.ndarray:
@@ -33,12 +77,12 @@ def _unit(rows) -> np.ndarray:
 def _score(k: int | None, threshold: float | None, same: bool | None):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for a_ids, a_g, a_v, b_ids, b_g, b_v in zip(pdf["ids"], pdf["grps"], pdf["vs"], pdf["b_ids"], pdf["b_grps"], pdf["b_vs"]):
+            for a_ids, a_g, a_v, b_ids, b_g, b_v, one in zip(pdf["ids"], pdf["grps"], pdf["vs"], pdf["b_ids"], pdf["b_grps"], pdf["b_vs"], pdf["one"]):
                 a_ids, b_ids, a_g, b_g = np.asarray(a_ids), np.asarray(b_ids), np.asarray(a_g), np.asarray(b_g)
                 s = _unit(a_v) @ _unit(b_v).T
                 ok = np.ones(s.shape, dtype=bool) if same is None else (a_g[:, None] == b_g[None, :]) == same
-                if same:
-                    ok &= a_ids[:, None] < b_ids[None, :]
+                if same:  # two blocks meet once, so their rows may stand either way round; a block meets itself both ways
+                    ok &= a_ids[:, None] < b_ids[None, :] if one else a_ids[:, None] != b_ids[None, :]
                 if threshold is not None:
                     ok &= s >= threshold
                 s = np.where(ok, s, -np.inf)
@@ -52,28 +96,31 @@ def _score(k: int | None, threshold: float | None, same: bool | None):
                     j = order.ravel()
                     keep = ok[i, j]
                     i, j = i[keep], j[keep]
-                yield pd.DataFrame({"left_id": a_ids[i], "right_id": b_ids[j], "score": s[i, j]})
+                left, right = (a_ids[i], b_ids[j]) if not same else (np.minimum(a_ids[i], b_ids[j]), np.maximum(a_ids[i], b_ids[j]))
+                yield pd.DataFrame({"left_id": left, "right_id": right, "score": s[i, j]})
 
     return run
 
 
-def _pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """All block pairs: each left block is sent once for each right block by a keyed join on the right block's number."""
-    numbers = right.select(F.col("block").alias("b_block")).distinct()
-    keyed = left.select("block", "ids", "grps", "vs").join(F.broadcast(numbers), F.col("b_block") >= F.col("block") if ordered else F.lit(True))
+def _met(left: DataFrame, right: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The block pairs of numbers (block, b_block) with the rows of both."""
     there = right.select(F.col("block").alias("b_block"), F.col("ids").alias("b_ids"), F.col("grps").alias("b_grps"), F.col("vs").alias("b_vs"))
-    return keyed.join(there, "b_block").drop("b_block", "block")
+    return left.select("block", "ids", "grps", "vs").join(numbers, "block").join(there, "b_block").withColumn("one", F.col("block") == F.col("b_block")).drop("b_block", "block")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", group_col: str = "group_id", vec_col: str = "embedding", any_group: bool = False) -> DataFrame:
     """(left_id, right_id, score, rank): k nearest rows of other groups (or of any) for every query row, by cosine, ties to the smaller id."""
-    pairs = _pairs(pack(queries, id_col, group_col, vec_col), pack(vectors, id_col, group_col, vec_col), False)
-    found = pairs.mapInPandas(_score(k, None, None if any_group else False), "left_id long, right_id long, score double")
+    left, right = pack(queries, id_col, group_col, vec_col), pack(vectors, id_col, group_col, vec_col)
+    # every block of queries against every block of rows: numbers only, one row for ROWS rows
+    numbers = left.select("block").join(sized(right.select(F.col("block").alias("b_block")), 8), F.lit(True))
+    found = _met(left, right, numbers).mapInPandas(_score(k, None, None if any_group else False), "left_id long, right_id long, score double")
     w = W.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def within_groups(vectors: DataFrame, threshold: float, id_col: str = "id", group_col: str = "group_id", vec_col: str = "embedding") -> DataFrame:
     """(left_id, right_id, score): pairs of one group with cosine at or above threshold, left_id < right_id."""
-    packed = pack(vectors, id_col, group_col, vec_col)
-    return _pairs(packed, packed, True).mapInPandas(_score(None, threshold, True), "left_id long, right_id long, score double")
+    packed = pack(vectors, id_col, group_col, vec_col, True)
+    own = packed.select("grp", "block")
+    numbers = own.join(own.select("grp", F.col("block").alias("b_block")), "grp").where("b_block >= block").select("block", "b_block")
+    return _met(packed, packed, numbers).mapInPandas(_score(None, threshold, True), "left_id long, right_id long, score double")
