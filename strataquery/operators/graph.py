@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataquery.shared import pin
 
 def group_entities(rows: DataFrame) -> DataFrame:
     """(name, type): the longest description (the first of equals) and the ordered distinct sources. rows: name, type, description, source, ordinal."""
@@ -46,7 +47,8 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
     front = seen.select("seed", "node")
     for depth in range(1, hops + 1):
-        front = front.join(both, front["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        # written hop by hop, so that no plan holds all hops before it
+        front = pin(front.join(both, front["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
 

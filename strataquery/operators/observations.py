@@ -16,9 +16,11 @@ def _priority(column: str):
 
 
 def plan_violations(actions: DataFrame, facts: DataFrame, observations: DataFrame, scope: list[str]) -> DataFrame:
-    """(plan_id, reason): a plan with any row here is rejected whole."""
+    """(plan_id, reason): a plan with any row here is rejected whole. The sources of an update's target count as its own."""
     tags = F.array(*map(F.lit, sorted(set(scope)))).cast("array<string>")
-    sources = actions.select("plan_id", F.explode("source_fact_ids").alias("fact_id"))
+    own = actions.select("plan_id", F.explode("source_fact_ids").alias("fact_id"))
+    kept = actions.where("action = 'update' AND observation_id IS NOT NULL").select("plan_id", "observation_id").join(observations.select("observation_id", F.explode("source_fact_ids").alias("fact_id")), "observation_id")
+    sources = own.unionByName(kept.select("plan_id", "fact_id")).distinct()
     usable = facts.where((F.col("state") == "active") & (F.size(F.array_except(tags, "scope_tags")) == 0)).select("fact_id")
     bad_source = sources.join(usable, "fact_id", "left_anti").select("plan_id", F.lit("source").alias("reason"))
     writable = observations.where(F.col("state").isin("active", "stale") & (F.sort_array(F.array_distinct("scope_tags")) == tags)).select("observation_id")
@@ -99,9 +101,12 @@ def source_facts(observations: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.groupBy("observation_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "text"))).alias("facts"))
 
 
-def entity_states(observations: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Observations of each canonical entity."""
-    return mentions.join(observations.select(F.col("observation_id").alias("memory_id"), "text"), "memory_id").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("memory_id", "text"))).alias("observations"))
+def entity_states(units: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(entity, memory_id, text): the observations among the memories of each canonical entity, one row each; an entity without any has one row of
+    nulls. units: memory_id, memory_type, text."""
+    named = mentions.select("entity").distinct()
+    found = mentions.join(units.where("memory_type = 'observation'").select("memory_id", "text"), "memory_id").select("entity", "memory_id", "text").distinct()
+    return named.join(found, "entity", "left")
 
 
 def rebuild_closure(targets: DataFrame, facts: DataFrame, evidence: DataFrame, array_sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,11 +125,13 @@ def retire(units: DataFrame, affected: DataFrame) -> DataFrame:
     return units.join(hit, "memory_id", "left").withColumn("state", F.when(F.col("__hit"), "retired").otherwise(F.col("state"))).withColumn("revision", F.col("revision") + F.when(F.col("__hit"), 1).otherwise(0)).select(*units.columns)
 
 
-def set_fingerprint(rows: DataFrame, columns: list[str], parts: int = 256) -> DataFrame:
-    """One SHA-256 over a set of rows: hashes of rows are sorted and hashed per class, then the classes, so no task holds all rows."""
-    h = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).withColumn("part", F.expr(f"pmod(conv(substring(h, 1, 4), 16, 10), {parts})").cast("int"))
-    per = h.groupBy("part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
+def set_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One SHA-256 over a multiset of rows and their number: the four quarters of the rows' own hashes are summed, which needs no
+    order, so partial sums are all that moves."""
+    h = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    quarters = [F.sum(F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).alias(f"q{i}") for i in range(4)]
+    sums = rows.select(h.alias("h")).agg(F.count("*").alias("n"), *quarters)
+    return sums.select(F.sha2(F.concat_ws(",", *(F.coalesce(f"q{i}", F.lit(0)).cast("string") for i in range(4)), F.col("n").cast("string")), 256).alias("fingerprint"), "n")
 
 
 def edit_summary(summary: str, operations: list[dict]) -> str:

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataquery.shared import dense_numbers, sized
+
 #: The status that stands for an operation of several kinds.
 STATUS_PRIORITY = {"failed": 5, "running": 4, "retrying": 3, "pending": 2, "completed": 1}
 
 
 def append_events(log: DataFrame, changes: DataFrame) -> DataFrame:
     """The log with new events behind its greatest id; changes: scope_id, operation, target_id, ordinal."""
-    top = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).cast("long").alias("top"))
-    # ids are consecutive only within a range partition; order is that of ordinal
-    numbered = changes.withColumn("k", F.row_number().over(W.orderBy("ordinal"))).crossJoin(F.broadcast(top)).withColumn("event_id", F.col("top") + F.col("k"))
+    top = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).cast("long").alias("top"))  # one row
+    numbered = dense_numbers(changes, ["ordinal"], "k").join(F.broadcast(top), F.lit(True)).withColumn("event_id", F.col("top") + F.col("k") + 1)
     return log.unionByName(numbered.select(*log.columns))
 
 
@@ -66,7 +67,7 @@ def claimable(jobs: DataFrame, now: Column) -> Column:
 def claim(jobs: DataFrame, now: Column, limit: int, worker: str, lease_seconds: int = 60) -> DataFrame:
     """The table after a worker took the first ``limit`` claimable jobs by (available_at, job_id)."""
     first = jobs.where(claimable(jobs, now)).orderBy("available_at", "job_id").limit(limit).select("job_id").withColumn("__mine", F.lit(True))
-    rows = jobs.join(F.broadcast(first), "job_id", "left")
+    rows = jobs.join(sized(first, 32, limit), "job_id", "left")
     hit = F.coalesce("__mine", F.lit(False))
     return rows.withColumn("status", F.when(hit, "running").otherwise(F.col("status"))).withColumn("worker", F.when(hit, worker).otherwise(F.col("worker"))).withColumn("attempts", F.col("attempts") + hit.cast("int")).withColumn("lease_until", F.when(hit, now + F.make_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_until"))).select(*jobs.columns)
 

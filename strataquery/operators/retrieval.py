@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from strataquery.functions import vector
 from strataquery.functions.text import recall_tokens
+from strataquery.shared import sized
 
 SCORES = ("semantic", "keyword", "graph", "temporal")
 
@@ -60,10 +61,10 @@ def temporal_arm(rows: DataFrame, start, end, k: int) -> DataFrame:
 
 
 def graph_arm(mentions: DataFrame, entities: DataFrame, links: DataFrame, names: list[str], k: int, decay: float = 0.8) -> DataFrame:
-    """Mention counts of the named entities, then one hop over links at decay x weight; a direct count always wins."""
+    """The k rows that mention the named entities most, then one hop from them over links at decay x weight; the greater score holds."""
     wanted = F.array(*map(F.lit, names))
     hit = entities.where(F.exists(wanted, lambda q: F.col("normalized_name").contains(q))).select("entity_id")
-    direct = mentions.join(hit, "entity_id", "left_semi").groupBy("doc_id").agg(F.count("*").cast("double").alias("score"))
+    direct = mentions.join(hit, "entity_id", "left_semi").groupBy("doc_id").agg(F.count("*").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
     both = links.select("source_id", "target_id", "weight").unionByName(links.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight"))
     near = both.join(direct.select(F.col("doc_id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("doc_id")).agg(F.max(F.lit(decay) * F.col("weight")).alias("score"))
     return direct.unionByName(near).groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
@@ -193,10 +194,20 @@ def memory_block(rows: DataFrame, budget: int, fixed_chars: int, text: str = "te
 
 
 def directives_for(directives: DataFrame, queries: DataFrame) -> DataFrame:
-    """Directives whose trigger stands in the query, by priority, then id. Directives are few and are the broadcast side."""
+    """Directives whose trigger stands in the query, by priority, then id. A bank's directives are few and are broadcast within the bound."""
     hit = F.lower("query").contains(F.lower("trigger"))
     w = W.partitionBy("query_id").orderBy(F.desc("priority"), "directive_id")
-    return queries.join(F.broadcast(directives), hit).withColumn("position", F.row_number().over(w))
+    return queries.join(sized(directives, 500), hit).withColumn("position", F.row_number().over(w))
+
+
+def embedded(queries: DataFrame, embed, text: str = "query") -> DataFrame:
+    """queries with ``embedding`` from embed(texts), in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in embed(texts.tolist())], dtype=object)
+
+    return queries.withColumn("embedding", run(F.col(text)))
 
 
 def invalid_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -89,11 +89,14 @@ def entity_candidates(spark, d):
     return retain.entity_candidates(rows, 100).select("entity_id", F.array_join("evidence", "|").alias("evidence"), F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query("entity_states", "SELECT event_type AS entity, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type")
+@query("entity_states", """
+SELECT event_type AS entity, count(*) FILTER (WHERE value > 50) AS n, min(event_id) FILTER (WHERE value > 50) AS first_id, count(DISTINCT props) FILTER (WHERE value > 50) AS texts FROM events GROUP BY event_type
+""")
 def entity_states(spark, d):
     e = table(spark, d, "events")
-    states = obs.entity_states(e.select(F.col("event_id").alias("observation_id"), F.col("props").alias("text")), e.select(F.col("event_id").alias("memory_id"), F.col("event_type").alias("entity")))
-    return states.select("entity", F.size("observations").cast("long").alias("n"), F.col("observations")[0]["memory_id"].alias("first_id"))
+    units = e.select(F.col("event_id").alias("memory_id"), F.when(F.col("value") > 50, "observation").otherwise("world").alias("memory_type"), F.col("props").alias("text"))
+    states = obs.entity_states(units, e.select(F.col("event_id").alias("memory_id"), F.col("event_type").alias("entity")))
+    return states.groupBy("entity").agg(F.count("memory_id").alias("n"), F.min("memory_id").alias("first_id"), F.countDistinct("text").alias("texts"))
 
 
 # evidence: an order line is a fact of its part, an order an observation, a part's brand the document

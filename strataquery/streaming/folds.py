@@ -17,8 +17,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(session_id, turn_id, user_text, assistant_text, status) of ordered journal events.
 
     The first accepted event opens a turn; events before it are ignored. Running does not leave a terminal status;
-    completion does not leave failed, cancelled or interrupted; a terminal event does not leave completed.
+    completion does not leave failed, cancelled or interrupted; a terminal event does not leave completed. With a column
+    message_id, an accepted event that repeats a session's message under another turn is ignored.
     """
+    if "message_id" in events.columns:
+        events = first_submissions(events)
     item = F.struct(F.col("seq"), F.col("type"), F.col("text"), F.col("status"))
     per = events.groupBy("session_id", "turn_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
     start = F.struct(F.lit(None).cast("string").alias("user_text"), F.lit(None).cast("string").alias("assistant_text"), F.lit(None).cast("string").alias("status"))
@@ -35,6 +38,14 @@ def fold_events(events: DataFrame) -> DataFrame:
     return per.select("session_id", "turn_id", F.aggregate("events", start, step).alias("s")).select("session_id", "turn_id", "s.*").where("status IS NOT NULL")
 
 
+def first_submissions(events: DataFrame) -> DataFrame:
+    """events without the accepted ones that repeat a message_id of their session under another turn; without an id nothing repeats."""
+    asked = (F.col("type") == "user.accepted") & F.col("message_id").isNotNull()
+    first = events.where(asked).groupBy("session_id", "message_id").agg(F.min_by("turn_id", "seq").alias("first_turn"))
+    rows = events.join(first, ["session_id", "message_id"], "left")
+    return rows.where(~F.coalesce(asked & (F.col("first_turn") != F.col("turn_id")), F.lit(False))).select(*events.columns)
+
+
 def interrupt_unfinished(turns: DataFrame) -> DataFrame:
     """After a restart: turns that are still accepted or running are interrupted."""
     return turns.withColumn("status", F.when(F.col("status").isin("accepted", "running"), "interrupted").otherwise(F.col("status")))
