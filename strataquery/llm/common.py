@@ -1,101 +1,17 @@
-"""What the operators of this subpackage share: durable intermediate tables and sized broadcasts."""
+"""What the operators of this subpackage share: the durable tables and sized broadcasts of the core, and their text rules."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in estimated bytes, that is broadcast; beyond it the same join shuffles.
-BROADCAST_BYTES = 16 * 1024 * 1024
+from strataquery.shared import clear_intermediates, fits, fresh, new_path, pin, shared_dir, sized, split_join
 
-#: Bytes that each row of a hashed relation needs besides its columns, as measured.
-HASHED_ROW_BYTES = 150
+__all__ = ["SPACE_CLASS", "clear_intermediates", "fits", "fresh", "new_path", "normal_space", "pin", "shared_dir", "sized", "split_join", "word_count"]
 
 #: The white space of the word and line rules: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
-#: At most this many keys have more than 1/HOT_KEYS of all rows each, so that their table is always small.
-HOT_KEYS = 50_000
-
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. A local one is made only where that is unset and the
-    session runs on one machine; it goes with the process."""
-    context = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not there:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="strataquery-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        there = f"file:{folder}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(there)
-    return there
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def clear_intermediates(spark: SparkSession) -> int:
-    """Deletes the folders named by new_path() in this process and returns how many. To be called once results are written;
-    checkpoints are Spark's own to delete (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-    conf, n = spark._jsc.hadoopConfiguration(), len(_made)
-    while _made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        at.getFileSystem(conf).delete(at, True)
-    return n
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """name, with as many underscores more as it takes to differ from every column of df."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and cuts its lineage: lost executors never change or repeat what it holds."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fits(rows: int, row_bytes: int) -> bool:
-    """Whether a table of that many rows may be broadcast."""
-    return rows * (row_bytes + HASHED_ROW_BYTES) <= BROADCAST_BYTES
-
-
-def sized(keys: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """keys with a broadcast hint if its counted rows are within BROADCAST_BYTES; otherwise as it is, for a shuffled join."""
-    return F.broadcast(keys) if fits(keys.count() if rows is None else rows, row_bytes) else keys
-
-
-def split_join(left: DataFrame, keys: DataFrame, on: str, total: int, row_bytes: int, how: str = "inner", n: str = "n") -> DataFrame:
-    """left joined with keys, which has each value of ``on`` once and in column ``n`` the rows of left that have it; total: rows of left.
-
-    Within BROADCAST_BYTES keys is broadcast. Beyond, only the hot keys are, those with over total / HOT_KEYS rows, of which
-    there are HOT_KEYS at most; the other rows are shuffled, and rows of a hot key never meet in one task.
-    """
-    if fits(keys.count(), row_bytes):
-        return left.join(F.broadcast(keys), on, how)
-    is_hot = F.col(n) * HOT_KEYS > total
-    hot, cold = F.broadcast(keys.where(is_hot)), keys.where(~is_hot)
-    return left.join(hot, on, "left_semi" if how == "left_semi" else "inner").unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on, how))
-
-
 def normal_space(text):
     """Null as empty, and each run of white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataquery import shared
 from strataquery.llm import byte_bpe, chat_format, common, exact_dedup, language_id, line_dedup, mixing, secrets, sharding, simhash, topk
 from strataquery.llm.catalog import tokenizer
 
@@ -79,7 +80,7 @@ def test_directory_routes_every_key(spark):
 
 
 def test_exact_groups_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     rows = docs(spark, ODD * 5 + ["hot"] * 40)
     got = {r["doc_id"]: r["group_size"] for r in exact_dedup.exact_groups(rows, capacity=4).collect()}
     assert got[60] == 40 and got[0] == 10 and got[3] == 10 and len(got) == 100
@@ -484,7 +485,7 @@ def test_mix_takes_the_nearer_sum(spark):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_mix_of_repeated_and_null_ids(spark, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     rng = random.Random(9)
     sources = [rng.choice("abc") for _ in range(300)]
     texts = [" ".join(["w"] * rng.choice([3, 7, 7, 7])) for _ in range(300)]
