@@ -134,6 +134,14 @@ def set_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws(",", *(F.coalesce(f"q{i}", F.lit(0)).cast("string") for i in range(4)), F.col("n").cast("string")), 256).alias("fingerprint"), "n")
 
 
+def rebuild_problems(before: DataFrame, after: DataFrame, retired: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
+    """(rule, n): what a precise rebuild must not leave, with 0 where all is well: preserved facts that changed, retired memories that are still active."""
+    a, b = set_fingerprint(before, columns), set_fingerprint(after, columns).select(F.col("fingerprint").alias("now"))
+    changed = a.join(b, F.col("fingerprint") == F.col("now"), "left").select(F.lit("facts of other documents changed").alias("rule"), F.when(F.col("now").isNull(), 1).otherwise(0).cast("long").alias("n"))
+    active = units.where("state = 'active'").join(retired.select("memory_id"), "memory_id", "left_semi").agg(F.count("*").alias("n")).select(F.lit("retired observation still active").alias("rule"), "n")
+    return changed.unionByName(active)
+
+
 def edit_summary(summary: str, operations: list[dict]) -> str:
     """A summary after replace, append and delete; what is replaced or deleted must occur exactly once, and something must be left."""
     for op in operations:

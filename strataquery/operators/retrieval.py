@@ -70,6 +70,25 @@ def graph_arm(mentions: DataFrame, entities: DataFrame, links: DataFrame, names:
     return direct.unionByName(near).groupBy("doc_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def temporal_arms(rows: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) for many queries: rows that meet each query's [start, end], the k newest, score 1. ranges: query_id, start, end; a request's
+    ranges are few and are broadcast within the bound."""
+    hit = (F.col("occurred_start") <= F.col("end")) & (F.col("occurred_end").isNull() | (F.col("occurred_end") >= F.col("start")))
+    w = W.partitionBy("query_id").orderBy(F.desc("occurred_start"), "doc_id")
+    met = rows.where("occurred_start IS NOT NULL").join(sized(ranges, 32), hit)
+    return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "doc_id", F.lit(1.0).alias("score"))
+
+
+def graph_arms(mentions: DataFrame, wanted: DataFrame, links: DataFrame, k: int, decay: float = 0.8) -> DataFrame:
+    """(query_id, doc_id, score) for many queries: as graph_arm, with the entities of each query in wanted (query_id, entity_id)."""
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    first = lambda rows: rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    direct = first(mentions.join(sized(wanted, 32), "entity_id").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")))
+    both = links.select("source_id", "target_id", "weight").unionByName(links.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight"))
+    near = both.join(direct.select("query_id", F.col("doc_id").alias("source_id")), "source_id").groupBy("query_id", F.col("target_id").alias("doc_id")).agg(F.max(F.lit(decay) * F.col("weight")).alias("score"))
+    return first(direct.unionByName(near).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")))
+
+
 def ranked(arm: DataFrame, name: str, partition: str = "query_id") -> DataFrame:
     """(query_id, doc_id, arm, score, rank) of one arm."""
     w = W.partitionBy(partition).orderBy(F.desc(F.round("score", 9)), "doc_id")
@@ -200,12 +219,19 @@ def directives_for(directives: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(sized(directives, 500), hit).withColumn("position", F.row_number().over(w))
 
 
-def embedded(queries: DataFrame, embed, text: str = "query") -> DataFrame:
-    """queries with ``embedding`` from embed(texts), in Arrow batches."""
+def embedded(queries: DataFrame, embed, text: str = "query", dimension: int | None = None) -> DataFrame:
+    """queries with ``embedding`` from embed(texts), in Arrow batches. Each distinct text of a batch is embedded once; a null text has no
+    vector, and a reply of another number or dimension of vectors is an error."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in embed(texts.tolist())], dtype=object)
+        asked = list(dict.fromkeys(t for t in texts if t is not None))
+        vectors = [list(map(float, v)) for v in embed(asked)] if asked else []
+        width = dimension or (len(vectors[0]) if vectors else 0)
+        if len(vectors) != len(asked) or any(len(v) != width for v in vectors):
+            raise ValueError("the embedder returned another number or dimension of vectors")
+        found = dict(zip(asked, vectors))
+        return pd.Series([found.get(t) for t in texts], dtype=object)
 
     return queries.withColumn("embedding", run(F.col(text)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import fingerprint
+from strataquery.functions.text import exact_key, fingerprint
 from strataquery.operators import observations as obs
 from strataquery.operators import queues, retain
 from strataquery.plans.model import FACTS_SQL, facts, turns
@@ -152,7 +152,8 @@ def rebuild_closure(spark, d):
 
 @query("exact_coalesce", "SELECT p_name AS text_key, min(p_partkey) AS keep_id, count(DISTINCT p_partkey) AS n FROM part GROUP BY p_name")
 def exact_coalesce(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_name").alias("text_key"), F.col("p_partkey").alias("observation_id"))
+    text = F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \n ")))
+    rows = table(spark, d, "part").select(exact_key(text).alias("text_key"), F.col("p_partkey").alias("observation_id"))
     return obs.exact_coalesce(rows).select("text_key", "keep_id", F.size("merged").cast("long").alias("n"))
 
 
@@ -228,15 +229,12 @@ def outbox_fifo_head(spark, d):
 
 
 @query("enqueue_idempotent", """
-WITH i AS (SELECT conv_id AS turn_key, arg_min(sha256(text), turn) AS h, count(DISTINCT sha256(text)) AS kinds FROM conversations WHERE turn < 2 GROUP BY conv_id),
-q AS (SELECT conv_id AS turn_key, sha256(text) AS old, CASE WHEN conv_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status FROM conversations WHERE turn = 0 AND conv_id % 2 = 0)
-SELECT turn_key, CASE WHEN kinds > 1 OR old <> h THEN 'conflict' WHEN old IS NULL THEN 'created' WHEN status = 'failed' THEN 'retried' ELSE 'unchanged' END AS outcome FROM i LEFT JOIN q USING (turn_key)
+SELECT conv_id * 1000 + turn AS turn_key, CASE WHEN conv_id % 2 <> 0 THEN 'created' WHEN turn % 5 = 0 THEN 'conflict' WHEN conv_id % 3 = 0 THEN 'retried' ELSE 'unchanged' END AS outcome FROM conversations
 """)
 def enqueue_idempotent(spark, d):
-    t = turns(spark, d)
-    incoming = t.where("turn < 2").select(F.col("conv_id").alias("turn_key"), F.col("turn").alias("ordinal"), F.sha2("text", 256).alias("content_hash"))
-    stored = t.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").alias("turn_key"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("conv_id") % 3 == 0, "failed").otherwise("completed").alias("status"))
-    return queues.enqueue(stored, incoming)
+    t = turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_key"), F.col("turn").alias("ordinal"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "conv_id", "turn")
+    stored = t.where("conv_id % 2 = 0").select("turn_key", F.when(F.col("turn") % 5 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("conv_id") % 3 == 0, "failed").otherwise("completed").alias("status"))
+    return queues.enqueue(stored, t.unionByName(t))
 
 
 @query("replay_conflicts", "SELECT o_custkey AS document_id, o_orderkey AS request_id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 4 = 1 THEN 'conflict' ELSE 'replayed' END AS outcome FROM orders")

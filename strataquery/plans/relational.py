@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataquery.operators import evaluation, queues
+from strataquery.operators import evaluation, graph, queues
 from strataquery.plans.model import DOCS_SQL, documents
 from strataquery.plans.registry import query
 from strataquery.session import table
@@ -49,8 +49,8 @@ def state_enrichment(spark, d):
 
 @query("orphans_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def orphans_anti(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+    mentions = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"))
+    return graph.orphan_entities(table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id")), mentions).select(F.col("entity_id").alias("c_custkey"))
 
 
 @query("visible_semi", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
@@ -124,12 +124,12 @@ def eval_p50_p95(spark, d):
     return evaluation.latency(results(spark, d), ["engine"]).select("engine", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "tokens")
 
 
-_CASES_SQL = "c AS (SELECT p_partkey AS case_id, CASE WHEN p_size % 2 = 0 THEN ['even', p_brand] ELSE [p_brand] END AS categories FROM part WHERE p_partkey < 50)"
+_CASES_SQL = "c AS (SELECT p_partkey AS case_id, CASE WHEN p_size % 2 = 0 THEN ['even', p_brand] ELSE [p_brand] END AS categories FROM part)"
 
 
 def cases(spark, d):
     cats = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("even"), F.col("p_brand"))).otherwise(F.array("p_brand"))
-    return table(spark, d, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("case_id"), cats.alias("categories"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("case_id"), cats.alias("categories"))
 
 
 @query("eval_category_accuracy", f"WITH {_RESULTS_SQL}, {_CASES_SQL}, x AS (SELECT case_id, unnest(categories) AS category FROM c) SELECT category, engine, round(avg(CAST(passed AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM r JOIN x USING (case_id) GROUP BY category, engine")

@@ -66,7 +66,8 @@ def pairwise_semantic_links(spark, d):
 
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 _MATCH_SQL = f"""
-p AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len({_TOK.format('text')}) AS length, unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY doc_id, token),
+tx AS MATERIALIZED (SELECT doc_id, {_TOK.format('text')} AS tokens FROM documents),
+p AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS token FROM tx) GROUP BY doc_id, token),
 q AS MATERIALIZED (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY query_id, token),
 m AS MATERIALIZED (SELECT q.query_id, p.doc_id, p.token, tf, length, times FROM p JOIN q USING (token)),
 o AS (SELECT query_id, doc_id, count(*) AS overlap FROM m GROUP BY query_id, doc_id),
