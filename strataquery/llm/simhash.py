@@ -256,12 +256,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the one with the smallest doc_id. Rows that repeat
-    that doc_id stay if they repeat its least text key, and repeats of both are one row."""
-    groups = pin(near_groups(docs, id_col, text_col).select("root", "doc_id", "text_key"))
+    """The rows of docs that stay: see keep_first()."""
+    return keep_first(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of groups (root, doc_id, text_key) the rows of docs that stay, with all their columns: of each group the one with the smallest
+    doc_id. Rows that repeat that doc_id stay if they repeat its least text key, and repeats of both are one row."""
+    groups = pin(groups.select("root", "doc_id", "text_key"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     per = pin(groups.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"))
-    members = groups.join(sized(per, 64), "root")
+    members = groups.join(sized(per, 96), "root")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     named = (F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
     gone = pin(members.where(~is_first).select(*named).distinct())
