@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataquery.llm.common import bound_batches
+
 NO_RANK = np.int32(2**31 - 1)
 CACHE = 300_000
 LONG = 200
@@ -200,6 +202,8 @@ def load(path: str, pattern: str) -> Bpe:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path, pattern)
@@ -212,6 +216,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text_bytes of every row of ids; ids that cut a character still give its bytes."""
 
+    bound_batches(encoded.sparkSession)
+
     @F.pandas_udf("binary")
     def back(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path, pattern)
@@ -224,6 +230,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, in one pass that returns only digests."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(path, pattern)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.llm.common import fresh, pin
+from strataquery.llm.common import bound_batches, fresh, pin
 
 ORDER = 4
 SAMPLE = 240
@@ -274,6 +274,7 @@ def train_on(docs: DataFrame) -> Model:
 
 def predictor(spark, model: Model):
     """A column function text -> struct(lang_pred, score, rejected)."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
