@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strataquery.llm.common import bound_batches
 
 NO_RANK = np.int32(2**31 - 1)
-CACHE = 300_000
+CACHE = 100_000
 LONG = 200
 
 
