@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquery.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, oracles, secrets, sharding, simhash, topk
+from strataquery.llm import bitslice, byte_bpe, chat_format, divergence, exact_dedup, language_id, line_dedup, mixing, oracles, secrets, sharding, simhash, token_files, topk
+from strataquery.llm.common import new_path
 from strataquery.session import table
 
 
@@ -61,8 +62,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_runs(table(spark, sf_dir, "documents")))
 
 
+def word_tokenizer() -> str:
+    """Path of the public tokenizer whose words end in tokens of their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token_files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, word_tokenizer())
+    return token_files.digest(token_files.read_tokens(spark, path))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan, op10_line_dedup)}
+    ops = (op1_topk, op2_sharding, op3_simhash, op4_chat_format, op5_bpe, op6_language_id, op7_exact_dedup, op8_mixing, op9_secret_scan, op10_line_dedup, op11_token_files, op12_divergence, op13_lexical_search)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:

@@ -50,3 +50,37 @@ SELECT x.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coal
   CAST(length(coalesce(kept.text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op12_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM c GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+o AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM c JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n) AS total FROM o GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v) AS p,
+    1 + (1000000000 * (k.total + 5)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN o USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+t AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pr
+  UNION ALL SELECT * FROM (SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM t) WHERE rank <= 50)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+"""
+
+SQL["op13_lexical_search"] = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents, low WHERE text IS NOT NULL),
+n AS (SELECT id, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM n),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark, low WHERE text IS NOT NULL) GROUP BY item_id, term),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+x AS (SELECT q.item_id, n.doc_id, n.id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * s.docs) // s.l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (id), s GROUP BY q.item_id, n.doc_id, n.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""

@@ -18,8 +18,8 @@ def test_query_equals_sql(spark, data, name):
     same_rows(spark, data, catalog.queries()[name], catalog.oracle_sql()[name])
 
 
-def test_ten_operators():
-    assert sorted({int(n[2:].split("_")[0]) for n in catalog.queries()}) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted({int(n[2:].split("_")[0]) for n in catalog.queries()}) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
 
 
