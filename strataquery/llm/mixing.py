@@ -1,11 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source, exact length in words and the top bits of a seeded hash of doc_id and text. Per source the target is cut
-into whole passes over all its documents and a remaining budget; the budget is fitted from the length counts: a share of
-each length in proportion, then the longest lengths that still fit, then a bounded-knapsack dynamic programme over the
-last ``DP_WORDS`` words. The fit is made from below and, by fitting what to leave out, from above; the nearer one holds, the lower
-of equals. The chosen number of documents of each length becomes a cutoff in seeded order, so taking is a
-join of (source, length) with one hash comparison, and no document list is gathered anywhere.
+Documents are counted by source, exact length in words and the top bits of a seeded hash of doc_id and text. Each length may be taken 0 to twice
+as often as it has documents. A target up to ``DP_WORDS`` is fitted by a bounded-knapsack dynamic programme over all these counts, so no
+sum comes nearer, from below or above (the lower of equals). Of a larger target a part is taken first, each length in
+proportion and then the longest, which leaves ``DP_WORDS`` words at least to the programme. A length's count becomes whole passes over its
+documents and a cutoff in seeded order, so taking is a join of (source, length) with one hash comparison, and no document list is
+gathered anywhere.
 
 Sources in code-point order, null last, weigh 5, 2, 1, repeating; they are numbered without gathering them. All targets
 sum to 150% of all sizes; a target stops at twice its source's size and the excess is shared again by weight, by rounds of
@@ -29,8 +29,8 @@ from strataquery.llm.sharding import global_numbers
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-#: Words left over that the dynamic programme fits exactly.
-DP_WORDS = 20_000
+#: Words of a target that the dynamic programme fits exactly: targets up to it whole, of larger ones what the part in proportion leaves.
+DP_WORDS = 50_000
 #: Hash classes of a (source, length): a class is ranked alone, so no length becomes one task.
 CLASSES = 256
 
@@ -51,64 +51,76 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return rows.select("source", "k", "source_size", "weight", F.least("most", F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to budget from below as the fit finds."""
+def started(lengths: np.ndarray, most: np.ndarray, target: float, slack: int) -> np.ndarray:
+    """A part of the counts in proportion, then of the longest lengths, that leaves at least ``slack`` words of the target to the programme; none for targets up to it."""
     picks = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
+    rest, total = int(target) - slack, int((lengths * most).sum())
+    if rest <= 0 or not total:
         return picks
-    if budget >= total:
-        return counts.astype(np.int64)
-    # floor of each length's share, in integers
-    picks = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    left = budget - int((lengths * picks).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if left <= dp_words:
-            break
-        more = min(int(counts[i] - picks[i]), (left - dp_words) // int(lengths[i]))
+    picks = np.array([min(int(c), int(c) * rest // total) for c in most], dtype=np.int64)
+    rest -= int((lengths * picks).sum())
+    for i in np.argsort(-lengths, kind="stable"):
+        more = min(int(most[i] - picks[i]), rest // int(lengths[i])) if rest > 0 else 0
         picks[i] += more
-        left -= more * int(lengths[i])
-    # bounded knapsack over what is left: counts split into powers of two, reachable sums as bits of an integer
-    items = []
+        rest -= more * int(lengths[i])
+    return picks
+
+
+def fit(lengths: np.ndarray, most: np.ndarray, target: float, above: bool, dp_words: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each length to take, ``most`` of it at most, so that their words come nearest to the target: from below, or from
+    both sides with ``above``, the lower of equals. Exact for targets up to dp_words: a bounded knapsack over all counts. Beyond, over what started() leaves."""
+    if target <= 0:
+        return np.zeros(len(lengths), dtype=np.int64)
+    picks = started(lengths, most, target, dp_words)
+    left = target - int((lengths * picks).sum())
+    # no sum over twice what is left is nearer than 0
+    limit = int(2 * left if above else left)
+    order, items = np.argsort(-lengths, kind="stable"), []
     for i in order:
-        spare, size = min(int(counts[i] - picks[i]), left // int(lengths[i])), 1
+        # counts split into powers of two and a rest, so that every count up to the spare one is a choice of items
+        spare, size = min(int(most[i] - picks[i]), limit // int(lengths[i])), 1
         while spare > 0:
             n = min(size, spare)
             items.append((int(i), n))
             spare, size = spare - n, size * 2
-    full = (1 << (left + 1)) - 1
+    mask, exact = (1 << (limit + 1)) - 1, int(left) if left == int(left) else None
     reach, steps = 1, []
     for i, n in items:
-        steps.append(reach)
-        reach |= (reach << (n * int(lengths[i]))) & full
-        if reach >> left & 1:
+        more = reach | ((reach << (n * int(lengths[i]))) & mask)
+        if more != reach:
+            steps.append((i, n, reach))
+            reach = more
+        if exact is not None and reach >> exact & 1:
             break
-    at = reach.bit_length() - 1
-    for (i, n), before in reversed(list(zip(items, steps))):
+    low = (reach & ((1 << (int(left) + 1)) - 1)).bit_length() - 1
+    high = reach >> (int(left) + 1)
+    at = low
+    if above and high:
+        up = int(left) + (high & -high).bit_length()
+        at = up if up - left < left - low else low
+    for i, n, before in reversed(steps):
         if not before >> at & 1:
             picks[i] += n
             at -= n * int(lengths[i])
     return picks
 
 
-def nearest_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """As fit_lengths, or with the least sum above the budget where that is nearer: all documents but those that fit into the rest."""
-    below = fit_lengths(lengths, counts, budget)
-    short, total = budget - int((lengths * below).sum()), int((lengths * counts).sum())
-    if budget <= 0 or not short or total <= budget:
-        return below
-    above = counts.astype(np.int64) - fit_lengths(lengths, counts, total - budget)
-    return above if int((lengths * above).sum()) - budget < short else below
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, dp_words: int = DP_WORDS) -> np.ndarray:
+    """The fit from below."""
+    return fit(lengths, counts, budget, False, dp_words)
+
+
+def nearest_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, dp_words: int = DP_WORDS) -> np.ndarray:
+    """The nearest fit, from below or above."""
+    return fit(lengths, counts, budget, True, dp_words)
 
 
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lengths of one source with their counts: passes and picks of each length."""
-    size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-    passes = min(int(target // size), int(CAP))
+    """The lengths of one source with their counts: passes over all documents of a length, and picks of one more."""
     pdf = pdf.sort_values("size")
-    pdf["picks"] = nearest_lengths(pdf["size"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64), int(round(target)) - passes * size)
-    pdf["passes"] = passes
+    n = pdf["n"].to_numpy(dtype=np.int64)
+    copies = nearest_lengths(pdf["size"].to_numpy(dtype=np.int64), int(CAP) * n, float(pdf["target"].iloc[0]))
+    pdf["passes"], pdf["picks"] = copies // n, copies % n
     return pdf[["k", "size", "passes", "picks"]]
 
 
