@@ -18,7 +18,6 @@ are one row of ids; an empty table gives files without rows; other columns are i
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +38,11 @@ STRIPE_BYTES = 16 * 1024 * 1024
 #: Rows of a row group, the unit that row indexes and Bloom filters skip.
 GROUP_ROWS = 1000
 #: Words in the younger generation of a task's cache; the older holds as many.
-CACHE = 200_000
+CACHE = 300_000
 #: Words encoded by one call.
 TOGETHER = 500
 #: Punctuation that may be cut off: after a letter or digit and at the end of a word, apostrophes excluded.
-TAIL = re.compile(r"(?<=[^\W_])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
+TAIL = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 ROW = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 
 
@@ -82,25 +82,50 @@ class Encoder:
                 begin = end
         self.young.update(zip(other, self.whole(other)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out: list = [None] * len(texts)
-        words: dict[int, list[str]] = {}
-        need: set[str] = set()
-        for i, text in enumerate(texts):
-            low = text.lower()
-            normal = unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-            if not normal or "Σ" in text or any(t in low for t in self.special):
-                out[i] = self.whole([text])[0]
-            else:
-                words[i] = TAIL.sub(r" \1", low).split()
-                need.update(words[i])
-        self.learn(need - self.young.keys())
-        for i, own in words.items():
-            out[i] = b"".join(map(self.young.__getitem__, own))
+    def lowered(self, column: pa.Array) -> tuple[pa.Array, list[int]]:
+        """Lower-cased texts, and the rows that must be encoded whole, which are empty here."""
+        low = pc.ascii_lower(column)
+        other = ~pc.string_is_ascii(column).to_numpy(zero_copy_only=False)
+        whole, texts = [], []
+        for i in np.flatnonzero(other).tolist():
+            text = column[i].as_py()
+            small = text.lower()
+            if "Σ" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
+                whole.append(i)
+                small = ""
+            texts.append(small)
+        low = pc.replace_with_mask(low, pa.array(other), pa.array(texts, type=low.type))
+        marked = np.zeros(len(column), dtype=bool)
+        for token in self.special:
+            marked |= pc.match_substring(low, token).to_numpy(zero_copy_only=False)
+        if marked.any():
+            whole += np.flatnonzero(marked).tolist()
+            low = pc.if_else(pa.array(marked), pa.scalar("", type=low.type), low)
+        return low, whole
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        low, whole = self.lowered(column)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=TAIL, replacement=r"\1 \2\3"))
+        coded = lists.flatten().dictionary_encode()
+        words, each = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn({w for w in words if w not in self.young})
+        raw = list(map(self.young.__getitem__, words))
+        sizes = np.fromiter((len(r) >> 2 for r in raw), dtype=np.int64, count=len(raw))
+        known, starts = np.frombuffer(b"".join(raw), dtype="<i4"), np.cumsum(sizes) - sizes
+        n = sizes[each]
+        upto = np.cumsum(n)
+        ids = known[np.repeat(starts[each] - upto + n, n) + np.arange(upto[-1] if len(n) else 0)]
+        ends = np.concatenate(([0], upto))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        counts = np.diff(ends)
+        if whole:
+            parts = np.split(ids, ends[1:-1])
+            for i, own in zip(whole, self.whole([column[i].as_py() for i in whole])):
+                parts[i] = np.frombuffer(own, dtype="<i4")
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        return out
+        return ids, counts
 
 
 @lru_cache(maxsize=2)
@@ -119,15 +144,18 @@ def encode_ranges(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
     rows = rows.repartitionByRange(parts, *by, F.col("at").asc()).sortWithinPartitions(*by, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, offset, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<i4").tobytes()
+        part, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [raw + end for raw in encoder(tokenizer).encode(batch.column(1).to_pylist())]
-            n = np.fromiter((len(raw) // 4 for raw in ids), dtype=np.int64, count=len(ids))
+            if not batch.num_rows:
+                continue
+            ids, n = encoder(tokenizer).encode(batch.column(1))
+            upto = np.cumsum(n)
+            n, ids = n + 1, np.insert(ids, upto, end_id)
             upto = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(ids))
             columns = [pa.array(np.full(len(n), part, dtype=np.int32)), batch.column(0), pa.array(offset + upto - n), pa.array(n), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "offset", "n_tokens", "ids"])
-            offset += int(upto[-1]) if len(n) else 0
+            offset += int(upto[-1])
 
     return rows.mapInArrow(run, ROW)
 
@@ -135,7 +163,7 @@ def encode_ranges(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Writes path/tokens and path/parts; what stands there is replaced, so a repeated call leaves the same files."""
     rows = encode_ranges(docs, tokenizer, end_id, id_col, text_col, parts)
-    options = {"orc.create.index": "true", "orc.row.index.stride": str(GROUP_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
+    options = {"orc.create.index": "true", "orc.row.index.stride": str(GROUP_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd", "orc.compression.zstd.level": "1"}
     rows.write.mode("overwrite").options(**options).orc(f"{path}/tokens")
     counts = docs.sparkSession.read.schema(ROW).orc(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row a part
