@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor, TimeoutError as PhaseTimeout
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class Trace:
@@ -19,13 +22,26 @@ class Trace:
         return any(outcome != "ok" for _, outcome, _, _ in self.phases)
 
 
-def run_phase(trace: Trace, name: str, action: Callable, timeout: float | None = None, otherwise=None, required: bool = False):
-    """The action's result; a phase that fails or takes too long is noted and gives ``otherwise``, unless it is required."""
-    began, pool = time.monotonic(), ThreadPoolExecutor(1)
+def run_phase(trace: Trace, name: str, action: Callable, timeout: float | None = None, otherwise=None, required: bool = False, spark: SparkSession | None = None):
+    """The action's result; a phase that fails or takes too long is noted and gives ``otherwise``, unless it is required. With a session, the Spark jobs of a phase that
+    takes too long are cancelled by the tag that the phase gave them."""
+    began, pool, tag = time.monotonic(), ThreadPoolExecutor(1), f"phase-{uuid.uuid4().hex}"
     note = lambda outcome, error=None: trace.phases.append((name, outcome, time.monotonic() - began, error))
+
+    def tagged():
+        if spark is None:
+            return action()
+        spark.sparkContext.addJobTag(tag)
+        try:
+            return action()
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
     try:
-        result = pool.submit(action).result(timeout)
+        result = pool.submit(tagged).result(timeout)
     except PhaseTimeout:
+        if spark is not None:
+            spark.sparkContext.cancelJobsWithTag(tag)
         note("timeout", f"over {timeout} s")
         if required:
             raise
@@ -41,10 +57,10 @@ def run_phase(trace: Trace, name: str, action: Callable, timeout: float | None =
     return result
 
 
-def deep_or_fast(deep: Callable, fast: Callable, timeout: float | None = None) -> tuple[object, Trace]:
+def deep_or_fast(deep: Callable, fast: Callable, timeout: float | None = None, spark: SparkSession | None = None) -> tuple[object, Trace]:
     """Rows of a deep recall; after a timeout, a failure or no rows, those of one fast recall."""
     trace = Trace()
-    rows = run_phase(trace, "deep", deep, timeout)
+    rows = run_phase(trace, "deep", deep, timeout, spark=spark)
     if rows:
         return rows, trace
     return run_phase(trace, "fast", fast, required=True), trace

@@ -134,12 +134,25 @@ def set_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws(",", *(F.coalesce(f"q{i}", F.lit(0)).cast("string") for i in range(4)), F.col("n").cast("string")), 256).alias("fingerprint"), "n")
 
 
-def rebuild_problems(before: DataFrame, after: DataFrame, retired: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
-    """(rule, n): what a precise rebuild must not leave, with 0 where all is well: preserved facts that changed, retired memories that are still active."""
-    a, b = set_fingerprint(before, columns), set_fingerprint(after, columns).select(F.col("fingerprint").alias("now"))
-    changed = a.join(b, F.col("fingerprint") == F.col("now"), "left").select(F.lit("facts of other documents changed").alias("rule"), F.when(F.col("now").isNull(), 1).otherwise(0).cast("long").alias("n"))
+def changed_rows(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(n): keys whose rows are missing, new or different; rows that repeat a key are compared as a multiset."""
+    mark = lambda rows, name: rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.xxhash64(*columns))).alias(name))
+    met = mark(before, "was").join(mark(after, "now"), keys, "full")
+    return met.where(~F.col("was").eqNullSafe(F.col("now"))).agg(F.count("*").alias("n"))
+
+
+def rebuild_problems(before: DataFrame, after: DataFrame, retired: DataFrame, units: DataFrame, columns: list[str], key: str = "fact_id", links: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(rule, n): what a precise rebuild must not leave, with 0 where all is well: preserved facts that changed, retired memories that are still active, and with
+    ``links`` (before and after: source_id, target_id, link_type) links between preserved facts that changed."""
+    told = changed_rows(before, after, [key], columns).select(F.lit("facts of other documents changed").alias("rule"), "n")
     active = units.where("state = 'active'").join(retired.select("memory_id"), "memory_id", "left_semi").agg(F.count("*").alias("n")).select(F.lit("retired observation still active").alias("rule"), "n")
-    return changed.unionByName(active)
+    told = told.unionByName(active)
+    if links is None:
+        return told
+    ids = before.select(F.col(key).alias("source_id")).distinct()
+    kept = lambda rows: rows.join(ids, "source_id", "left_semi").join(ids.withColumnRenamed("source_id", "target_id"), "target_id", "left_semi")
+    edges = changed_rows(*(kept(x) for x in links), ["source_id", "target_id", "link_type"], ["source_id", "target_id", "link_type"])
+    return told.unionByName(edges.select(F.lit("links of other documents changed").alias("rule"), "n"))
 
 
 def edit_summary(summary: str, operations: list[dict]) -> str:

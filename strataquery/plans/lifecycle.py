@@ -374,11 +374,19 @@ def rebuild_retire(spark, d):
     return obs.retire(units, units.where("memory_id % 3 = 0").select("memory_id"))
 
 
-@query("rebuild_verify", "SELECT 'facts of other documents changed' AS rule, 0 AS n UNION ALL SELECT 'retired observation still active', count(*) FROM orders WHERE o_orderkey % 30 = 0")
+@query("rebuild_verify", """
+WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id FROM lineitem)
+SELECT 'facts of other documents changed' AS rule, CAST(count(*) AS INTEGER) AS n FROM f WHERE fact_id % 50 = 1 OR fact_id % 70 = 2
+UNION ALL SELECT 'retired observation still active', count(*) FROM orders WHERE o_orderkey % 30 = 0
+UNION ALL SELECT 'links of other documents changed', count(*) FROM f a JOIN f b ON b.fact_id = a.fact_id + 1 WHERE a.fact_id % 90 = 1
+""")
 def rebuild_verify(spark, d):
+    """A rebuild that goes wrong in three ways: facts change or go, retired observations stay active, links between kept facts go."""
     facts = lines(spark, d, fact_id="l_orderkey * 10 + l_linenumber", text="l_returnflag", document_id="l_suppkey")
+    after = facts.where("fact_id % 70 <> 2").withColumn("text", F.when(F.col("fact_id") % 50 == 1, "?").otherwise(F.col("text")))
     units = orders(spark, d, memory_id="o_orderkey", state="CASE WHEN o_orderkey % 30 = 0 THEN 'active' WHEN o_orderkey % 3 = 0 THEN 'retired' ELSE 'active' END")
-    found = obs.rebuild_problems(facts, facts.repartition(3), units.where("memory_id % 3 = 0").select("memory_id"), units, ["fact_id", "text", "document_id"])
+    links = facts.select(F.col("fact_id").alias("source_id"), (F.col("fact_id") + 1).alias("target_id"), F.lit("temporal").alias("link_type"))
+    found = obs.rebuild_problems(facts, after, units.where("memory_id % 3 = 0").select("memory_id"), units, ["fact_id", "text", "document_id"], links=(links, links.where("source_id % 90 <> 1")))
     return found.select("rule", F.col("n").cast("int").alias("n"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What a turn can no longer leave.
@@ -18,7 +19,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     The first accepted event opens a turn; events before it are ignored. Running does not leave a terminal status;
     completion does not leave failed, cancelled or interrupted; a terminal event does not leave completed. With a column
-    message_id, an accepted event that repeats a session's message under another turn is ignored.
+    message_id, an accepted event whose message has already opened another turn of the session is ignored.
     """
     if "message_id" in events.columns:
         events = first_submissions(events)
@@ -39,11 +40,27 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def first_submissions(events: DataFrame) -> DataFrame:
-    """events without the accepted ones that repeat a message_id of their session under another turn; without an id nothing repeats."""
-    asked = (F.col("type") == "user.accepted") & F.col("message_id").isNotNull()
-    first = events.where(asked).groupBy("session_id", "message_id").agg(F.min_by("turn_id", "seq").alias("first_turn"))
-    rows = events.join(first, ["session_id", "message_id"], "left")
-    return rows.where(~F.coalesce(asked & (F.col("first_turn") != F.col("turn_id")), F.lit(False))).select(*events.columns)
+    """events without the accepted ones whose message_id has opened another turn of their session before; without an id nothing repeats.
+
+    An accepted event opens its turn unless the turn or the message is taken, so which one opens may depend on those before it. Only accepted
+    events that share their turn or message with another are looked at in order, a session at a time.
+    """
+    asked = events.where((F.col("type") == "user.accepted") & F.col("message_id").isNotNull()).select("session_id", "turn_id", "message_id", "seq")
+    shares = lambda *by: F.count("*").over(W.partitionBy("session_id", *by)) > 1
+    contested = asked.withColumn("open_", shares("turn_id") | shares("message_id")).where("open_").drop("open_")
+
+    def opening(rows: pd.DataFrame) -> pd.DataFrame:
+        turns, messages, kept = set(), set(), []
+        for r in rows.sort_values("seq", kind="stable").itertuples():
+            opens = r.turn_id not in turns and r.message_id not in messages
+            if opens:
+                turns.add(r.turn_id)
+                messages.add(r.message_id)
+            kept.append(not opens)
+        return rows.sort_values("seq", kind="stable")[kept][["session_id", "turn_id", "seq"]]
+
+    refused = contested.groupBy("session_id").applyInPandas(opening, events.select("session_id", "turn_id", "seq").schema)
+    return events.join(refused.withColumn("type", F.lit("user.accepted")), ["session_id", "turn_id", "seq", "type"], "left_anti").select(*events.columns)
 
 
 def interrupt_unfinished(turns: DataFrame) -> DataFrame:
@@ -53,8 +70,6 @@ def interrupt_unfinished(turns: DataFrame) -> DataFrame:
 
 def branch_turns(messages: DataFrame) -> DataFrame:
     """Turns of a plain message list (session_id, seq, role, text): a user message opens one, the next assistant message completes it, an unanswered one is interrupted."""
-    from pyspark.sql import Window as W
-
     talk = messages.where(F.col("role").isin("user", "assistant"))
     w = W.partitionBy("session_id").orderBy("seq")
     rows = talk.withColumn("turn", F.sum((F.col("role") == "user").cast("int")).over(w)).where("turn > 0")
@@ -62,16 +77,38 @@ def branch_turns(messages: DataFrame) -> DataFrame:
     return per.withColumn("status", F.when(F.col("assistant_text").isNotNull(), "completed").otherwise("interrupted"))
 
 
-class TurnFold(StatefulProcessor):
-    """The same fold with state per (session, turn); a micro-batch's events are taken in order of seq."""
+class SessionFold(StatefulProcessor):
+    """The same fold with a session's state: its turns and the messages that opened one, as maps. A micro-batch's events are taken in order of seq.
+
+    ``idle_ms``: a turn that has neither ended nor been touched for that long is interrupted by a timer. ``keep_ms``: state that has not
+    been written for that long is dropped, so later events of it begin anew. Both need processing time.
+    """
+
+    def __init__(self, idle_ms: int | None = None, keep_ms: int | None = None):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turn = handle.getValueState("turn", "user_text string, assistant_text string, status string")
+        self.handle = handle
+        self.turns = handle.getMapState("turns", "turn_id string", "user_text string, assistant_text string, status string, at long", self.keep_ms)
+        self.messages = handle.getMapState("messages", "message_id string", "turn_id string", self.keep_ms)
+
+    def _rows(self, session: str, turns: dict) -> pd.DataFrame:
+        return pd.DataFrame([(session, t, u, a, s) for t, (u, a, s) in turns.items()], columns=["session_id", "turn_id", "user_text", "assistant_text", "status"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        user, answer, status = self.turn.get() if self.turn.exists() else (None, None, None)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        touched: dict[str, tuple] = {}
         for e in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
+            turn = (e.turn_id,)
+            if turn[0] not in touched and self.turns.containsKey(turn):
+                touched[turn[0]] = tuple(self.turns.getValue(turn))[:3]
+            user, answer, status = touched.get(turn[0], (None, None, None))
+            message = getattr(e, "message_id", None)
             if e.type == "user.accepted" and status is None:
+                if message is not None and self.messages.containsKey((message,)):
+                    continue
+                if message is not None:
+                    self.messages.updateValue((message,), turn)
                 user, status = e.text, "accepted"
             elif status is None:
                 continue
@@ -81,18 +118,34 @@ class TurnFold(StatefulProcessor):
                 answer, status = e.text, "completed"
             elif e.type == "turn.terminal" and status != "completed":
                 status = e.status
-        if status is not None:
-            self.turn.update((user, answer, status))
-            yield pd.DataFrame({"session_id": [key[0]], "turn_id": [key[1]], "user_text": [user], "assistant_text": [answer], "status": [status]})
+            touched[turn[0]] = (user, answer, status)
+        for turn_id, state in touched.items():
+            self.turns.updateValue((turn_id,), (*state, now))
+        if self.idle_ms and any(status not in TERMINAL for _, _, status in touched.values()):
+            self.handle.registerTimer(now + self.idle_ms)
+        if touched:
+            yield self._rows(key[0], touched)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.idle_ms
+        ended = {}
+        for turn, state in list(self.turns.iterator()):
+            user, answer, status, at = tuple(state)
+            if status not in TERMINAL and at <= due:
+                ended[turn[0]] = (user, answer, "interrupted")
+        for turn_id, state in ended.items():
+            self.turns.updateValue((turn_id,), (*state, due))
+        if ended:
+            yield self._rows(key[0], ended)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """Streaming fold; needs the RocksDB state store (``use_rocksdb``). Emits a turn's state after each batch that touches it."""
+def fold_stream(events: DataFrame, idle_ms: int | None = None, keep_ms: int | None = None) -> DataFrame:
+    """Streaming fold; needs the RocksDB state store (``use_rocksdb``). Emits a turn's state after each batch that touches it; see SessionFold."""
     out = "session_id string, turn_id string, user_text string, assistant_text string, status string"
-    return events.groupBy("session_id", "turn_id").transformWithStateInPandas(TurnFold(), out, "Update", "None")
+    return events.groupBy("session_id").transformWithStateInPandas(SessionFold(idle_ms, keep_ms), out, "Update", "ProcessingTime" if idle_ms or keep_ms else "None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -123,3 +176,52 @@ def project(stream: DataFrame, transform: Callable[[DataFrame, int], None], chec
     """Runs transform on every micro-batch; it must be idempotent in its batch id. after_indexed and before_remove hooks go here."""
     writer = stream.writeStream.foreachBatch(transform).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+class ProjectionSink:
+    """Tables under one folder that micro-batches write together: what a batch writes is seen once all its tables are written, and once only.
+
+    A batch writes each table to a folder named by query and batch id, replacing what a killed run of the same batch left, and then a mark. Readers take
+    folders with a mark. So a batch that runs twice, or that is killed between two tables and runs again, gives the same tables.
+    """
+
+    def __init__(self, path: str, query: str):
+        self.path, self.query = path, query
+
+    def _at(self, table: str, batch_id: int) -> str:
+        return f"{self.path}/{table}/query={self.query}/batch={batch_id}"
+
+    def write(self, tables: dict[str, DataFrame], batch_id: int) -> None:
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(self._at(name, batch_id))
+        spark = next(iter(tables.values())).sparkSession
+        names = spark.createDataFrame([(name,) for name in sorted(tables)], "name string")
+        names.coalesce(1).write.mode("overwrite").parquet(self._at("marks", batch_id))
+
+    def hook(self, project_: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+        """The function of a micro-batch: project_ gives the tables of its rows, which are read once."""
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            batch.persist()
+            try:
+                self.write(project_(batch), batch_id)
+            finally:
+                batch.unpersist()
+
+        return run
+
+    def start(self, stream: DataFrame, project_: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, once: bool = True):
+        return project(stream, self.hook(project_), checkpoint, once)
+
+
+def read_projection(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """The rows of a table that marked batches wrote, with query and batch."""
+    rows = spark.read.schema(f"{schema}, query string, batch long").parquet(f"{path}/{table}")
+    marks = spark.read.schema("name string, query string, batch long").parquet(f"{path}/marks").where(F.col("name") == table).select("query", "batch")
+    return rows.join(marks, ["query", "batch"], "left_semi")
+
+
+def latest_rows(rows: DataFrame, keys: list[str], removed: str | None = None) -> DataFrame:
+    """Of the rows of a projection the last of each key by batch; keys whose last row is marked ``removed`` go."""
+    last = rows.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))).where("r = 1").drop("r")
+    return last if removed is None else last.where(~F.coalesce(F.col(removed), F.lit(False)))
