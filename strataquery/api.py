@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.operators import graph, knn, lexical, retain, retrieval, versioning
+from strataquery.operators import graph, keyword_index, knn, lexical, retain, retrieval, versioning
 from strataquery.operators.scope import MemoryScope, TagFilter, TagGroup, visible
 
 
@@ -48,7 +48,7 @@ class KnowledgeBase:
         """queries (query_id, query): semantic arm where there are vectors and an embedder, keyword arm, fusion, rerank in deep mode, gate."""
         docs = self._visible().where("is_current").select("doc_id", "title", "text")
         k = retrieval.arm_limit(top_k)
-        arms = [retrieval.ranked(lexical.keyword_arm(docs, queries, k), "keyword")]
+        arms = [retrieval.ranked(keyword_index.keyword_arm(docs, queries, k), "keyword")]
         if self.vectors is not None and self.embed is not None:
             rows = self.vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
             asked = retrieval.embedded(queries, self.embed).select(F.col("query_id").alias("id"), F.lit("").alias("group_id"), "embedding")

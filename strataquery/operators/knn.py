@@ -1,8 +1,9 @@
-"""Nearest vectors by blocks: rows are packed into blocks, block pairs are dealt over tasks, and each pair is one matrix product.
+"""Nearest vectors, exact: the rows stay in their tasks and the queries come to them.
 
-Blocks are cut from consecutive rows of a task, whatever their ids, so sparse or repeated ids fill them alike. The vectors of
-one side meet every block of the other, as exact search without an index must; a task holds two blocks, and only the best k rows
-of each query and block leave it. Pairs within a group meet only the blocks of their group.
+Queries within the broadcast bound are sent to every task, which keeps the best k rows of each query over all it reads; one shuffle merges
+them. More queries go through a vector index of trained cells, which sends a query only to the shelves of cells that may still matter. Pairs within a group are
+products of a group's own rows; a large group is cut into blocks, and two blocks meet only if their centres and radii allow
+the threshold.
 """
 
 from __future__ import annotations
@@ -10,117 +11,154 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.shared import pin, sized
-
-ROWS = 1024
-#: Rows of one group that a task packs; a larger group is dealt over several tasks.
-GROUP_ROWS = 262_144
-BLOCK = "grp string, ids array<long>, grps array<string>, vs array<array<double>>"
-
-
-def _rows(vectors: DataFrame, id_col: str, group_col: str, vec_col: str) -> DataFrame:
-    """(id, grp, v) of the rows that have a vector."""
-    return vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("grp"), F.col(vec_col).cast("array<double>").alias("v"))
-
-
-def _cut(by_group: bool, size: int):
-    """mapInPandas: consecutive rows become blocks of ``size`` rows at most; of one group each, if so asked."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"grp": [rows["grp"].iloc[0] if by_group else None], "ids": [rows["id"].to_numpy()], "grps": [rows["grp"].tolist()], "vs": [rows["v"].tolist()]})
-
-        held = None
-        for pdf in parts:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            while len(held):
-                end = size
-                if by_group:
-                    other = np.flatnonzero((held["grp"] != held["grp"].iloc[0]).to_numpy()[:size])
-                    end = int(other[0]) if len(other) else size
-                if len(held) < end:
-                    break
-                yield block(held.iloc[:end])
-                held = held.iloc[end:].reset_index(drop=True)
-        while held is not None and len(held):
-            end = len(held)
-            if by_group:
-                other = np.flatnonzero((held["grp"] != held["grp"].iloc[0]).to_numpy())
-                end = int(other[0]) if len(other) else end
-            yield block(held.iloc[:end])
-            held = held.iloc[end:].reset_index(drop=True)
-
-    return run
-
-
-def pack(vectors: DataFrame, id_col: str, group_col: str, vec_col: str, by_group: bool = False) -> DataFrame:
-    """(block, grp, ids, grps, vs), numbered and written; rows with a null vector are left out. By group no block has rows of two groups."""
-    rows = _rows(vectors, id_col, group_col, vec_col)
-    if by_group:
-        sizes = rows.groupBy("grp").agg(F.expr(f"cast(ceil(count(*) / {GROUP_ROWS}) AS int)").alias("parts"))
-        rows = rows.join(sized(pin(sizes), 40), "grp").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
-        rows = rows.repartition("grp", "part").sortWithinPartitions("grp").select("id", "grp", "v")
-    return pin(rows.mapInPandas(_cut(by_group, ROWS), BLOCK).withColumn("block", F.monotonically_increasing_id()))
-
-
-def _unit(rows) -> np.ndarray:
-    m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _score(k: int | None, threshold: float | None, same: bool | None):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for a_ids, a_g, a_v, b_ids, b_g, b_v, one in zip(pdf["ids"], pdf["grps"], pdf["vs"], pdf["b_ids"], pdf["b_grps"], pdf["b_vs"], pdf["one"]):
-                a_ids, b_ids, a_g, b_g = np.asarray(a_ids), np.asarray(b_ids), np.asarray(a_g), np.asarray(b_g)
-                s = _unit(a_v) @ _unit(b_v).T
-                ok = np.ones(s.shape, dtype=bool) if same is None else (a_g[:, None] == b_g[None, :]) == same
-                if same:  # two blocks meet once, so their rows may stand either way round; a block meets itself both ways
-                    ok &= a_ids[:, None] < b_ids[None, :] if one else a_ids[:, None] != b_ids[None, :]
-                if threshold is not None:
-                    ok &= s >= threshold
-                s = np.where(ok, s, -np.inf)
-                if k is None:
-                    i, j = np.nonzero(ok)
-                else:
-                    # ties go to the smaller id, so columns are put in order of id before a stable sort
-                    by_id = np.argsort(b_ids, kind="stable")
-                    order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]
-                    i = np.repeat(np.arange(len(a_ids)), order.shape[1])
-                    j = order.ravel()
-                    keep = ok[i, j]
-                    i, j = i[keep], j[keep]
-                left, right = (a_ids[i], b_ids[j]) if not same else (np.minimum(a_ids[i], b_ids[j]), np.maximum(a_ids[i], b_ids[j]))
-                yield pd.DataFrame({"left_id": left, "right_id": right, "score": s[i, j]})
-
-    return run
-
-
-def _met(left: DataFrame, right: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The block pairs of numbers (block, b_block) with the rows of both."""
-    there = right.select(F.col("block").alias("b_block"), F.col("ids").alias("b_ids"), F.col("grps").alias("b_grps"), F.col("vs").alias("b_vs"))
-    return left.select("block", "ids", "grps", "vs").join(numbers, "block").join(there, "b_block").withColumn("one", F.col("block") == F.col("b_block")).drop("b_block", "block")
+from strataquery.operators.vector_index import DIGITS, EPS, VectorIndex, matrix, unit_rows
+from strataquery.shared import fits, pin, sized, spread
+
+#: Rows of a block of a large group, and of one product.
+ROWS = 2048
+PAIR = "left_id long, right_id long, score double"
+
+
+def _ordered(ids: np.ndarray, groups: list, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of id: a stable sort by score then gives ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    return ids[order], np.array(groups, dtype=object)[order], m[order]
+
+
+def best_of(scores: np.ndarray, ok: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest allowed scores of each row; equal ones by column."""
+    s = np.where(ok, scores, -np.inf)
+    if s.shape[1] > 4 * k:  # only columns that reach the k-th greatest are sorted
+        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero((s >= kth[:, None]) & ok)
+    else:
+        rows, cols = np.nonzero(ok)
+    order = np.lexsort((cols, -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+    return rows[place < k], cols[place < k]
+
+
+def _beside(rows: DataFrame, asked: tuple, k: int, other_groups: bool | None) -> DataFrame:
+    """For every task the best k of its rows for each query; asked: ids, groups, unit vectors."""
+    told = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, q = told.value
+        best: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, names, m = _ordered(batch.column(0).to_numpy(), batch.column(1).to_pylist(), matrix(batch.column(2)))
+            for at in range(0, len(own), ROWS):
+                part = slice(at, at + ROWS)
+                s = np.round(q @ m[part].T, DIGITS)
+                ok = np.ones(s.shape, dtype=bool) if other_groups is None else (groups[:, None] == names[None, part]) != other_groups
+                i, j = best_of(s, ok, k)
+                new = [i, own[part][j], s[i, j]]
+                if best is not None:
+                    i, right, score = (np.concatenate(x) for x in zip(best, new))
+                    order = np.lexsort((right, -score, i))
+                    i, right, score = i[order], right[order], score[order]
+                    starts = np.flatnonzero(np.diff(i, prepend=-1))
+                    place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+                    new = [x[place < k] for x in (i, right, score)]
+                best = new
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["left_id", "right_id", "score"])
+
+    return rows.mapInArrow(run, PAIR)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", group_col: str = "group_id", vec_col: str = "embedding", any_group: bool = False) -> DataFrame:
     """(left_id, right_id, score, rank): k nearest rows of other groups (or of any) for every query row, by cosine, ties to the smaller id."""
-    left, right = pack(queries, id_col, group_col, vec_col), pack(vectors, id_col, group_col, vec_col)
-    # every block of queries against every block of rows: numbers only, one row for ROWS rows
-    numbers = left.select("block").join(sized(right.select(F.col("block").alias("b_block")), 8), F.lit(True))
-    found = _met(left, right, numbers).mapInPandas(_score(k, None, None if any_group else False), "left_id long, right_id long, score double")
+    other_groups = None if any_group else True
+    asked = pin(unit_rows(queries, id_col, group_col, vec_col))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.max(F.octet_length("v")), F.lit(0))).first()
+    if not fits(n, size + 40):
+        return VectorIndex.build(vectors, None, id_col, group_col, vec_col).nearest(queries, k, id_col, group_col, vec_col, other_groups)
+    held = asked.collect()  # within the broadcast bound
+    q = (np.array([r["id"] for r in held], dtype=np.int64), np.array([r["grp"] for r in held], dtype=object), np.array([np.frombuffer(r["v"]) for r in held]))
+    found = _beside(unit_rows(spread(vectors), id_col, group_col, vec_col), q, k, other_groups) if n else vectors.sparkSession.createDataFrame([], PAIR)
     w = W.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _pairs(a: tuple, b: tuple, threshold: float, same: bool) -> pa.Table:
+    """Pairs of two blocks (ids, unit vectors) at or above the threshold; each pair of different ids once within a block."""
+    (a_ids, a_m), (b_ids, b_m) = a, b
+    out: list[list] = [[], [], []]
+    for at in range(0, len(a_ids), ROWS):
+        s = np.round(a_m[at : at + ROWS] @ b_m.T, DIGITS)
+        ok = s >= threshold
+        if same:
+            ok &= a_ids[at : at + ROWS, None] < b_ids[None, :]
+        else:
+            ok &= a_ids[at : at + ROWS, None] != b_ids[None, :]
+        i, j = np.nonzero(ok)
+        left, right = a_ids[at + i], b_ids[j]
+        for column, x in zip(out, (np.minimum(left, right), np.maximum(left, right), s[i, j])):
+            column.append(x)
+    return pa.table([np.concatenate(c) if c else np.zeros(0, dtype=t) for c, t in zip(out, (np.int64, np.int64, float))], names=["left_id", "right_id", "score"])
+
+
+def _own(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table["id"].to_numpy(), matrix(table["v"]) if table.num_rows else np.zeros((0, 0))
+
+
 def within_groups(vectors: DataFrame, threshold: float, id_col: str = "id", group_col: str = "group_id", vec_col: str = "embedding") -> DataFrame:
     """(left_id, right_id, score): pairs of one group with cosine at or above threshold, left_id < right_id."""
-    packed = pack(vectors, id_col, group_col, vec_col, True)
-    own = packed.select("grp", "block")
-    numbers = own.join(own.select("grp", F.col("block").alias("b_block")), "grp").where("b_block >= block").select("block", "b_block")
-    return _met(packed, packed, numbers).mapInPandas(_score(None, threshold, True), "left_id long, right_id long, score double")
+    rows = pin(unit_rows(vectors, id_col, group_col, vec_col))
+    sizes = pin(rows.groupBy("grp").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")))
+
+    def alone(key, table):
+        own = _own(table)
+        return _pairs(own, own, threshold, True)
+
+    large = sizes.where("parts > 1")
+    n_large = large.count()
+    small = rows if not n_large else rows.join(sized(large, 40, n_large), "grp", "left_anti")
+    found = small.groupBy("grp").applyInArrow(alone, PAIR)
+    return found if not n_large else found.unionByName(_large_groups(rows.join(sized(large, 40, n_large), "grp"), threshold))
+
+
+def _large_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of groups that are cut into blocks by a hash of the id. A block's centre and radius bound its products with another block."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def packed(key, table):
+        ids, m = _own(table)
+        centre = m.mean(axis=0)
+        radius = float(np.sqrt(((m - centre) ** 2).sum(axis=1)).max())
+        return pa.table({"grp": [key[0].as_py()], "part": pa.array([key[1].as_py()], type=pa.int32()), "ids": [ids.tobytes()], "m": [m.tobytes()], "centre": [centre.tobytes()], "radius": [radius]})
+
+    blocks = pin(rows.groupBy("grp", "part").applyInArrow(packed, "grp string, part int, ids binary, m binary, centre binary, radius double"))
+    light = blocks.select("grp", "part", "centre", "radius")
+
+    @F.pandas_udf("double")
+    def product(a, b):
+        import pandas as pd
+
+        return pd.Series([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(a, b)], dtype=float)
+
+    there = light.select("grp", F.col("part").alias("b_part"), F.col("centre").alias("b_centre"), F.col("radius").alias("b_radius"))
+    met = light.join(there, "grp").where("b_part >= part").withColumn("dot", product("centre", "b_centre"))
+    size = lambda c: F.sqrt(product(c, c))
+    bound = F.col("dot") + F.col("radius") * size("b_centre") + F.col("b_radius") * size("centre") + F.col("radius") * F.col("b_radius")
+    met = pin(met.withColumn("bound", bound).where(F.col("bound") >= threshold - EPS).select("grp", "part", "b_part"))
+    right = blocks.select("grp", F.col("part").alias("b_part"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
+    both = blocks.select("grp", "part", "ids", "m").join(met, ["grp", "part"]).join(right, ["grp", "b_part"]).select((F.col("part") == F.col("b_part")).alias("same"), "ids", "m", "b_ids", "b_m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, ids, m, b_ids, b_m in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = ((np.frombuffer(i, dtype=np.int64), np.frombuffer(v).reshape(len(i) // 8, -1)) for i, v in ((ids, m), (b_ids, b_m)))
+                yield from _pairs(a, b, threshold, same).to_batches()
+
+    return both.mapInArrow(run, PAIR)

@@ -1,13 +1,12 @@
-"""Keyword ranking: overlap candidates and BM25 over the candidate set, for many queries at once."""
+"""Token counts, the coverage of query terms, and substring overlap; ranking by keywords is in operators.keyword_index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strataquery.functions.text import lexical_tokens
-from strataquery.shared import pin, sized, spread
+from strataquery.shared import pin, sized
 
 K1, B, CANDIDATES = 1.5, 0.75, 300
 
@@ -30,53 +29,15 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc_id", F.size("tokens").alias("length"), F.inline(token_counts(F.col("tokens"))))
 
 
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """(query_id, token, times): how often a query has each token; a repeated token counts as often."""
-    return queries.select(F.col(id_col).alias("query_id"), F.inline(token_counts(lexical_tokens(F.col(text_col))))).select("query_id", "token", F.col("tf").cast("long").alias("times"))
-
-
-def matched(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, length): one row per document and distinct shared token. terms is broadcast within its bound, and then a document's matches stay in its task."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    rows = rows.select("doc_id", F.size("tokens").alias("length"), F.explode(F.array_distinct("tokens")).alias("token"))
-    return rows.join(terms.select("query_id", "token"), "token").select("query_id", "doc_id", "length")
-
-
-def candidates(matches: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, overlap, length): documents by number of distinct shared tokens, then id."""
-    w = W.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
-    per = matches.groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"), F.first("length").alias("length"))
-    return per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
-
-
-def bm25(index: DataFrame, terms: DataFrame, kept: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) over the candidates ``kept``: N, average length and document frequency are those of each query's candidates."""
-    of_query = W.partitionBy("query_id")
-    told = kept.select("query_id", "doc_id", F.count("*").over(of_query).cast("double").alias("n"), F.avg("length").over(of_query).alias("avgdl"))
-    told = sized(pin(told), 40)
-    # the index is cut to candidate documents and query tokens before anything is grouped
-    own = index.join(sized(terms, 60), "token").join(told, ["query_id", "doc_id"])
-    df = F.count("*").over(W.partitionBy("query_id", "token")).cast("double")
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return own.withColumn("df", df).groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
-
-
-def keyword_arm(docs: DataFrame, queries: DataFrame, top: int = 30, limit: int = CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): the best documents of every query, by overlap first, then by BM25 among those."""
-    terms, docs = pin(query_terms(queries)), spread(docs.select(id_col, text_col))
-    kept = candidates(matched(docs, sized(terms, 60), id_col, text_col), limit)
-    scores = bm25(postings(docs, id_col, text_col), terms, kept).where("score > 0")
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-
-
 def with_coverage(rows: DataFrame, queries: DataFrame, docs: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
-    """rows (query_id, doc_id, ...) with matched, n_terms and covered: two query terms at least, ``least`` matched, and their share."""
+    """rows (query_id, doc_id, ...) with matched, n_terms and covered: two query terms at least, ``least`` matched, and their share.
+    Only documents that rows name are read and cut into tokens, each once."""
     q = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("query"))).alias("terms"))
-    d = docs.select("doc_id", F.concat_ws("\n", "title", "text").alias("whole"))
+    rows = pin(rows)
+    named = pin(rows.select("doc_id").distinct())
+    d = docs.join(sized(named, 16), "doc_id", "left_semi").select("doc_id", F.array_distinct(lexical_tokens(F.concat_ws("\n", "title", "text"))).alias("tokens"))
     joined = rows.join(sized(q, 2000), "query_id", "left").join(d, "doc_id", "left")
-    hit, n = F.coalesce(F.size(F.array_intersect("terms", lexical_tokens(F.col("whole")))), F.lit(0)), F.size("terms")
+    hit, n = F.coalesce(F.size(F.array_intersect("terms", "tokens")), F.lit(0)), F.size("terms")
     counted = joined.select(*rows.columns, hit.alias("matched"), n.alias("n_terms"))
     return counted.withColumn("covered", (F.col("n_terms") >= 2) & (F.col("matched") >= least) & (F.col("matched") / F.col("n_terms") >= share))
 

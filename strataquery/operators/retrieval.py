@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from strataquery.functions import vector
 from strataquery.functions.text import recall_tokens
+from strataquery.operators.intervals import newest_before, overlap_join
+from strataquery.operators.patterns import matches
 from strataquery.shared import sized
 
 SCORES = ("semantic", "keyword", "graph", "temporal")
@@ -71,14 +73,24 @@ def graph_arm(mentions: DataFrame, entities: DataFrame, links: DataFrame, names:
 
 
 def temporal_arms(rows: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score) for many queries: rows that meet each query's [start, end], the k newest, score 1. ranges: query_id, start, end; a request's
-    ranges are few and are broadcast within the bound."""
-    hit = (F.col("occurred_start") <= F.col("end")) & (F.col("occurred_end").isNull() | (F.col("occurred_end") >= F.col("start")))
+    """(query_id, doc_id, score) for many queries: rows that meet each query's [start, end], the k newest, score 1. ranges: query_id, start, end. Rows with an end are found by
+    an interval join over time buckets, open ones by their place in the order of time."""
+    asked = ranges.select("query_id", "start", "end")
+    closed = rows.where("occurred_start IS NOT NULL AND occurred_end IS NOT NULL").select("doc_id", "occurred_start", "occurred_end")
+    met = overlap_join(closed, asked, ("occurred_start", "occurred_end"), ("start", "end")).select("query_id", "doc_id", "occurred_start")
+    open_rows = rows.where("occurred_start IS NOT NULL AND occurred_end IS NULL").select("doc_id", "occurred_start")
+    if not open_rows.isEmpty():
+        met = met.unionByName(newest_before(open_rows, asked, "occurred_start", "end", "doc_id", k).select("query_id", F.col("id").alias("doc_id"), F.col("time").alias("occurred_start")))
     w = W.partitionBy("query_id").orderBy(F.desc("occurred_start"), "doc_id")
-    met = rows.where("occurred_start IS NOT NULL").join(sized(ranges, 32), hit)
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "doc_id", F.lit(1.0).alias("score"))
 
 
+def wanted_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, entity_id): entities whose normalized_name holds one of a query's names. names: query_id, name; all names make one automaton."""
+    found = matches(entities.select("entity_id", "normalized_name"), "normalized_name", names.select("name").distinct(), "name")
+    return found.select("entity_id", "name").join(sized(names, 60), "name").select("query_id", "entity_id").distinct()
+
+
 def graph_arms(mentions: DataFrame, wanted: DataFrame, links: DataFrame, k: int, decay: float = 0.8) -> DataFrame:
     """(query_id, doc_id, score) for many queries: as graph_arm, with the entities of each query in wanted (query_id, entity_id)."""
     best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
@@ -213,10 +225,11 @@ def memory_block(rows: DataFrame, budget: int, fixed_chars: int, text: str = "te
 
 
 def directives_for(directives: DataFrame, queries: DataFrame) -> DataFrame:
-    """Directives whose trigger stands in the query, by priority, then id. A bank's directives are few and are broadcast within the bound."""
-    hit = F.lower("query").contains(F.lower("trigger"))
+    """Directives whose trigger stands in the query, by priority, then id. All triggers make one automaton, which passes once over each query."""
+    triggers = directives.withColumn("__trigger", F.lower("trigger"))
+    hit = matches(queries.withColumn("__low", F.lower("query")), "__low", triggers, "__trigger")
     w = W.partitionBy("query_id").orderBy(F.desc("priority"), "directive_id")
-    return queries.join(sized(directives, 500), hit).withColumn("position", F.row_number().over(w))
+    return hit.drop("__low", "__trigger").withColumn("position", F.row_number().over(w))
 
 
 def embedded(queries: DataFrame, embed, text: str = "query", dimension: int | None = None) -> DataFrame:

@@ -7,23 +7,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataquery.functions import text as tx
+from strataquery.operators.intervals import ticks
+from strataquery.operators.set_join import similar_pairs
 
 THRESHOLD = 0.70
 NEWEST = 200
 
 
+def newest_by_length(stored: DataFrame, keys: list[str], newest: int = NEWEST) -> DataFrame:
+    """(keys, level, node, newest): for every dyadic range of lengths, [node 2^level, (node + 1) 2^level), the ``newest`` stored documents of it as an array of
+    (back, doc_id), latest first. A document lies in one range a level, up to that of its own class, so this grows in proportion to the documents."""
+    length = F.length("text")
+    rows = stored.select(*keys, "doc_id", (-ticks(stored, "created_at")).alias("back"), length.alias("len"), _length_class(length).alias("cls"))
+    rows = rows.select(*keys, "doc_id", "back", "len", F.explode(F.sequence(F.lit(0), F.col("cls"))).alias("level")).withColumn("node", F.expr("shiftright(cast(len AS bigint), level)"))
+    w = W.partitionBy(*keys, "level", "node").orderBy("back", "doc_id")
+    kept = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest)
+    return kept.groupBy(*keys, "level", "node").agg(F.sort_array(F.collect_list(F.struct("back", "doc_id"))).alias("newest"))
+
+
+def _length_class(length):
+    return F.length(F.bin(F.greatest(length, F.lit(1)))) - 1
+
+
+def length_ranges(rows: DataFrame, low, high) -> DataFrame:
+    """rows with level and node: the dyadic ranges that make up the lengths low..high, two a level at most."""
+    levels = rows.withColumn("__low", low.cast("long")).withColumn("__high", high.cast("long") + 1).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    first, end = F.expr("shiftright(__low + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(__high, level)")
+    nodes = F.filter(F.array(F.when(first % 2 == 1, first), F.when(end % 2 == 1, end - 1)), lambda x: x.isNotNull())
+    return levels.where(first < end).withColumn("node", F.explode(nodes)).drop("__low", "__high")
+
+
 def length_candidates(new: DataFrame, stored: DataFrame, keys: list[str], newest: int = NEWEST) -> DataFrame:
-    """(new_id, doc_id): stored documents with equal keys and half to twice the length, the newest 200 of each new one.
+    """(new_id, doc_id, r): stored documents with equal keys and half to twice the length, the newest 200 of each new one.
 
-    The length class (power of two) turns the range into equalities: a document within a factor of two lies in the same
-    class or one beside it.
+    The lengths from half to twice are made up of dyadic ranges, two a level, whose newest documents are merged in the row of the new document; so the join
+    gives a bounded number of rows for each, however many documents are stored.
     """
-    cls = F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int")
-    left = new.select(F.col("doc_id").alias("new_id"), *keys, F.length("text").alias("new_len"), F.explode(F.array(cls - 1, cls, cls + 1)).alias("cls"))
-    right = stored.select("doc_id", *keys, F.length("text").alias("len"), cls.alias("cls"), "created_at")
-    pairs = left.join(right, [*keys, "cls"]).where((F.col("new_id") != F.col("doc_id")) & (F.col("len") * 2 >= F.col("new_len")) & (F.col("len") <= F.col("new_len") * 2))
-    w = W.partitionBy("new_id").orderBy(F.desc("created_at"), "doc_id")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest).select("new_id", "doc_id", "r")
+    length = F.length("text")
+    asked = length_ranges(new.select(F.col("doc_id").alias("new_id"), *keys, length.alias("len")), F.ceil(F.col("len") / 2), F.col("len") * 2)
+    asked = asked.select("new_id", *keys, "level", "node")
+    # the new document itself may be stored
+    lists = newest_by_length(stored, keys, newest + 1)
+    met = asked.join(lists, [*keys, "level", "node"]).groupBy("new_id").agg(F.sort_array(F.flatten(F.collect_list("newest"))).alias("all"))
+    others = F.slice(F.filter("all", lambda x: x["doc_id"] != F.col("new_id")), 1, newest)
+    return met.select("new_id", F.posexplode(others).alias("r", "x")).select("new_id", F.col("x.doc_id").alias("doc_id"), (F.col("r") + 1).alias("r"))
+
+
+def like_titles(new: DataFrame, stored: DataFrame, threshold: float, size: int = 3) -> DataFrame:
+    """(new_id, doc_id, similarity): stored titles whose sets of character n-grams have that Jaccard similarity with a new title's, other than itself. A prefix-filtered
+    join: only titles that share a rare n-gram of their prefixes are compared."""
+    sets = lambda rows: rows.select(F.col("doc_id").alias("id"), tx.shingles(F.col("title"), size).alias("tokens"))
+    found = similar_pairs(sets(new), sets(stored), threshold).where("left_id <> right_id")
+    return found.select(F.col("left_id").alias("new_id"), F.col("right_id").alias("doc_id"), "similarity")
 
 
 def version_candidate(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.operators import evidence, graph, lexical, retrieval
+from strataquery.operators import evidence, graph, keyword_index, retrieval
 from strataquery.plans.model import DOCS_SQL, VECTORS_SQL, documents, queries, vectors
 from strataquery.plans.registry import query
 from strataquery.plans.retrieval import _BM25_SQL, _COS, _COVER_SQL, _SEM_SQL, OPTIONS, covered, semantic_ranks
 from strataquery.session import table
 from strataquery.shared import pin
 
-# a document mentions the entity of its number mod 50, is linked to the next one, and happened on day number mod 365 for three days
+# a document mentions the entity of its number mod 50, is linked to the next one if there is one, and happened on day number mod 365 for three days
 _ARMS_SQL = """
 en AS (SELECT doc_id, doc_id % 50 AS entity FROM documents),
 gd AS MATERIALIZED (SELECT * FROM (SELECT item_id AS query_id, doc_id, CAST(count(*) AS DOUBLE) AS score, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS r FROM benchmark JOIN en ON entity = item_id % 50 GROUP BY item_id, doc_id) WHERE r <= 30),
-lk AS MATERIALIZED (SELECT doc_id AS s, doc_id + 1 AS t, (doc_id % 10) / CAST(10.0 AS DOUBLE) AS w FROM documents),
+lk AS MATERIALIZED (SELECT doc_id AS s, doc_id + 1 AS t, (doc_id % 10) / CAST(10.0 AS DOUBLE) AS w FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)),
 lb AS (SELECT s, t, w FROM lk UNION ALL SELECT t, s, w FROM lk),
 gn AS (SELECT query_id, t AS doc_id, max(CAST(0.8 AS DOUBLE) * w) AS score FROM lb JOIN gd ON gd.doc_id = lb.s GROUP BY query_id, t),
 gu AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM gd UNION ALL SELECT * FROM gn) GROUP BY query_id, doc_id),
@@ -28,22 +28,30 @@ arms AS MATERIALIZED (SELECT query_id, doc_id, 'semantic' AS arm, score, rank FR
   UNION ALL SELECT query_id, doc_id, 'graph', score, rank FROM gr UNION ALL SELECT query_id, doc_id, 'temporal', score, rank FROM tk),
 fu AS MATERIALIZED (SELECT query_id, doc_id, sum(CAST(1.0 AS DOUBLE) / (60 + rank)) AS rrf, count(*) AS n_arms, max(CASE WHEN arm = 'semantic' THEN score END) AS semantic_score, max(CASE WHEN arm = 'keyword' THEN score END) AS keyword_score FROM arms GROUP BY query_id, doc_id),
 fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, doc_id) AS fused_rank FROM fu) WHERE fused_rank <= 40)"""
-_GATED_SQL = f"""WITH {VECTORS_SQL}, {DOCS_SQL}, {_BM25_SQL}, {_SEM_SQL}, {_ARMS_SQL}, {_FOUR_SQL}, {_COVER_SQL},
+# vectors without a document are not recalled
+_OWN_SEM_SQL = _SEM_SQL.replace("JOIN v b ON TRUE", "JOIN v b ON b.doc_id IN (SELECT doc_id FROM documents)")
+_GATED_SQL = f"""WITH {VECTORS_SQL}, {DOCS_SQL}, {_BM25_SQL}, {_OWN_SEM_SQL}, {_ARMS_SQL}, {_FOUR_SQL}, {_COVER_SQL},
 x AS (SELECT *, CASE WHEN coalesce(keyword_score, 0) > 0 THEN CAST(0.5 AS DOUBLE) ELSE least(CAST(0.5 AS DOUBLE), coalesce(semantic_score, 0) + CAST(0.25 AS DOUBLE)) END AS capped FROM cv),
 b AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN least(1.0, capped + CAST(0.05 AS DOUBLE)) ELSE capped END AS final FROM x),
 g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, fused_rank) AS position FROM b
   WHERE (coalesce(keyword_score, 0) > 0 AND n_terms >= 2 AND matched >= 2 AND CAST(matched AS DOUBLE) / n_terms >= 0.5) OR (coalesce(semantic_score, 0) >= 0.45 AND final >= 0.4))"""
 
 
+def next_links(docs, source: str, target: str):
+    """Links from each document to the one with the next number, where that exists."""
+    there = docs.select(F.col("doc_id").alias(target))
+    return docs.select(F.col("doc_id").alias(source), (F.col("doc_id") + 1).alias(target)).join(there, target, "left_semi")
+
+
 def four_arms(spark, d):
     """Semantic, keyword, graph and temporal arm of every query, fused."""
     docs, asked = table(spark, d, "documents"), queries(spark, d)
     mentions = docs.select("doc_id", (F.col("doc_id") % 50).alias("entity_id"))
-    links = docs.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") + 1).alias("target_id"), (F.col("doc_id") % 10 / 10.0).alias("weight"))
+    links = next_links(docs, "source_id", "target_id").withColumn("weight", F.col("source_id") % 10 / 10.0)
     days = docs.select("doc_id", (F.col("doc_id") % 365).alias("occurred_start"), (F.col("doc_id") % 365 + 2).alias("occurred_end"))
     ranges = asked.select("query_id", (F.col("query_id") % 365).alias("start"), (F.col("query_id") % 365 + 1).alias("end"))
     arms = {
-        "semantic": semantic_ranks(spark, d), "keyword": lexical.keyword_arm(docs, asked),
+        "semantic": semantic_ranks(spark, d, within=docs.select("doc_id")), "keyword": keyword_index.keyword_arm(docs, asked),
         "graph": retrieval.graph_arms(mentions, asked.select("query_id", (F.col("query_id") % 50).alias("entity_id")), links, 30),
         "temporal": retrieval.temporal_arms(days, ranges, 30),
     }
@@ -114,13 +122,13 @@ def expand_memory(spark, d):
 @query("full_search_related", f"""
 WITH {VECTORS_SQL}, s AS (SELECT a.doc_id AS query_id, b.doc_id, {_COS} AS score FROM v a JOIN benchmark ON item_id = a.doc_id JOIN v b ON TRUE),
 t AS MATERIALIZED (SELECT DISTINCT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 10),
-l AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents), r AS (SELECT b AS doc_id FROM l JOIN t ON t.doc_id = a UNION SELECT a FROM l JOIN t ON t.doc_id = b)
+l AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)), r AS (SELECT b AS doc_id FROM l JOIN t ON t.doc_id = a UNION SELECT a FROM l JOIN t ON t.doc_id = b)
 SELECT doc_id, 'hit' AS kind FROM t UNION ALL SELECT doc_id, 'related' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM t)
 """)
 def full_search_related(spark, d):
     """Reranked vector hits and the documents one relation away from them."""
     hits = pin(retrieval.rerank_filter(retrieval.rerank(retrieval.ranked(semantic_ranks(spark, d, 20), "semantic"))).select("doc_id").distinct())
-    relations = table(spark, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))
+    relations = next_links(table(spark, d, "documents"), "src", "dst")
     return hits.select("doc_id", F.lit("hit").alias("kind")).unionByName(graph.related_documents(relations, hits).select("doc_id", F.lit("related").alias("kind")))
 
 

@@ -145,6 +145,18 @@ def title_similarity(spark, d):
     return rows.select("p_partkey", F.round(tx.title_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+@query("title_search", f"""
+WITH {DOCS_SQL}, t AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(p), 3) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT doc_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS p FROM d)),
+s AS (SELECT a.doc_id AS new_id, b.doc_id, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))) AS similarity FROM t a JOIN t b ON a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id)
+SELECT new_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.6
+""")
+def title_search(spark, d):
+    """Titles of like trigrams, by the prefix-filtered set join."""
+    titles = documents(spark, d).select("doc_id", "title")
+    found = versioning.like_titles(titles.where("doc_id % 50 = 0"), titles, 0.6)
+    return found.select("new_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("version_length_candidates", f"""
 WITH {DOCS_SQL} SELECT a.doc_id AS new_id, b.doc_id FROM d a JOIN d b ON a.doc_id % 50 = 0 AND a.lang = b.lang AND a.source = b.source AND a.doc_id <> b.doc_id AND length(b.text) * 2 >= length(a.text) AND length(b.text) <= length(a.text) * 2
 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) <= 200
@@ -154,7 +166,22 @@ def version_length_candidates(spark, d):
     return versioning.length_candidates(docs.where("doc_id % 50 = 0"), docs, ["lang", "source"]).select("new_id", "doc_id")
 
 
-@query("version_candidate")
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(length({0}) - {1} + 2, 2)), lambda i: substr({0}, i, {1})))"
+_PACKED = r"regexp_replace({0}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+_BARE = r"regexp_replace({0}, '[\s._-]*(v\d+(\.\d+)*|version\d*|final|draft|revision\d*|r\d+|\d{{4}}[-_.]?\d{{1,2}}[-_.]?\d{{1,2}}|\d+)', '', 'gi')"
+_LIKE = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / greatest(len({0}) + len({1}) - len(list_intersect({0}, {1})), 1) END"
+
+
+@query("version_candidate", f"""
+WITH {DOCS_SQL}, p AS (SELECT doc_id, lang, text, {_PACKED.format('title')} AS t, {_PACKED.format(_BARE.format('title'))} AS b, {_PACKED.format('text')} AS x FROM d),
+c AS MATERIALIZED (SELECT a.doc_id AS new_id, b.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) AS r FROM p a JOIN p b ON a.doc_id % 50 = 0 AND a.lang = b.lang AND a.doc_id <> b.doc_id AND length(b.text) * 2 >= length(a.text) AND length(b.text) <= length(a.text) * 2
+  QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) <= 200),
+s AS MATERIALIZED (SELECT doc_id, text, CASE WHEN t = '' THEN [] ELSE {_SHINGLES.format('t', 2)} END AS t, CASE WHEN b = '' THEN [] ELSE {_SHINGLES.format('b', 2)} END AS b, CASE WHEN x = '' THEN [] ELSE {_SHINGLES.format('x', 3)} END AS x FROM p WHERE doc_id IN (SELECT new_id FROM c UNION SELECT doc_id FROM c)),
+m AS (SELECT new_id, c.doc_id, r, u.text = w.text AS same, CAST(0.3 AS DOUBLE) * greatest({_LIKE.format('u.t', 'w.t')}, {_LIKE.format('u.b', 'w.b')}) + CAST(0.7 AS DOUBLE) * {_LIKE.format('u.x', 'w.x')} AS like_ FROM c JOIN s u ON u.doc_id = new_id JOIN s w ON w.doc_id = c.doc_id),
+k AS (SELECT *, CASE WHEN same THEN CAST(1.0 AS DOUBLE) ELSE like_ END AS similarity FROM m)
+SELECT new_id, doc_id, round(similarity, 6) AS similarity, same AS exact_content FROM k WHERE same OR similarity >= 0.7
+QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY same DESC, round(similarity, 9) DESC, r) = 1
+""")
 def version_candidate(spark, d):
     docs = documents(spark, d).withColumn("created_at", F.col("doc_id"))
     found = versioning.version_candidate(docs.where("doc_id % 50 = 0"), docs, ["lang"])

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataquery.functions import vector
-from strataquery.operators import knn, lexical, retain, retrieval
+from strataquery.operators import keyword_index, knn, lexical, retain, retrieval
+from strataquery.operators.vector_index import VectorIndex
 from strataquery.operators.scope import MemoryScope, TagFilter, visible
 from strataquery.plans.model import DOCS_SQL, FACTS_SQL, VECTORS_SQL, documents, facts, queries, vectors
 from strataquery.plans.registry import query
 from strataquery.session import table
-from strataquery.shared import sized, spread
+from strataquery.shared import pin
 
 OPTIONS = retrieval.RecallOptions()
 
@@ -49,6 +50,17 @@ def knn_cross_doc(spark, d):
     return knn.nearest(f, f, 3).select("left_id", "right_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_index_knn", f"""
+WITH {VECTORS_SQL}, s AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, {_COS} AS score FROM v a JOIN v b ON a.label <> b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM s)
+SELECT left_id, right_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+""")
+def vector_index_knn(spark, d):
+    """The cross-document join through an index of trained cells: cells that cannot hold one of the best three are skipped."""
+    f = _as_facts(spark, d)
+    return VectorIndex.build(f).nearest(f, 3).select("left_id", "right_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("cross_doc_links", f"""
 WITH {VECTORS_SQL}, s AS (SELECT a.doc_id AS source_id, b.doc_id AS target_id, {_COS} AS score FROM v a JOIN v b ON a.label <> b.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM s)
@@ -83,12 +95,39 @@ kr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY que
 
 @query("keyword_overlap_topk", f"WITH {_MATCH_SQL} SELECT query_id, doc_id, overlap FROM c")
 def keyword_overlap_topk(spark, d):
-    return lexical.candidates(lexical.matched(spread(table(spark, d, "documents").select("doc_id", "text")), sized(lexical.query_terms(queries(spark, d)), 60))).drop("length")
+    lists = pin(keyword_index.query_lists(queries(spark, d)))
+    return keyword_index.KeywordIndex.of_queries(table(spark, d, "documents"), lists).candidates(lists).select("query_id", "doc_id", "overlap")
 
 
 @query("bm25_topk", f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kr")
 def bm25_topk(spark, d):
-    return lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return keyword_index.keyword_arm(table(spark, d, "documents"), queries(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_CHUNK_SQL = f"""
+h AS (SELECT conv_id * 1000 + turn AS doc_id, text, {_TOK.format("coalesce(text, '')")} AS tokens FROM conversations),
+ho AS (SELECT query_id, doc_id, count(*) AS overlap FROM h JOIN (SELECT query_id, token FROM q) ON contains(lower(text), token) GROUP BY query_id, doc_id),
+hc AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS r FROM ho) WHERE r <= 300),
+hw AS MATERIALIZED (SELECT hc.query_id, hc.doc_id, len(h.tokens) AS length, q.token, q.times, len(list_filter(h.tokens, lambda x: x = q.token)) AS tf FROM hc JOIN h USING (doc_id) JOIN q USING (query_id)),
+hn AS (SELECT query_id, CAST(count(*) AS DOUBLE) AS n, avg(len(tokens)) AS avgdl FROM hc JOIN h USING (doc_id) GROUP BY query_id),
+hf AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS df FROM hw WHERE tf > 0 GROUP BY query_id, token),
+hk AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / avgdl))) AS score
+  FROM hw JOIN hf USING (query_id, token) JOIN hn USING (query_id) WHERE tf > 0 GROUP BY query_id, doc_id),
+hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hk WHERE score > 0) WHERE rank <= 30),
+hm AS (SELECT query_id, doc_id, score, FALSE AS is_chunk FROM kr UNION ALL SELECT query_id, doc_id, score, TRUE FROM hr)"""
+
+
+@query("keyword_with_chunks", f"""
+WITH {_BM25_SQL}, {_CHUNK_SQL}
+SELECT query_id, doc_id, is_chunk, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, is_chunk, doc_id) AS rank FROM hm) WHERE rank <= 30
+""")
+def keyword_with_chunks(spark, d):
+    """The keyword arm over memories with the keywords of file chunks merged in: documents are memories, conversation turns chunks."""
+    chunks = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    asked = queries(spark, d)
+    merged = keyword_index.merged_keywords(keyword_index.keyword_arm(table(spark, d, "documents"), asked), keyword_index.chunk_keywords(chunks, asked))
+    return merged.select("query_id", "doc_id", "is_chunk", F.round("score", 6).alias("score"), "rank")
 
 
 _SEM_SQL = f"""
@@ -104,15 +143,17 @@ cv AS MATERIALIZED (SELECT f.*, coalesce(len(list_intersect(list_distinct({_TOK.
 _GATE_SQL = "(coalesce(keyword_score, 0) > 0 AND n_terms >= 2 AND matched >= 2 AND CAST(matched AS DOUBLE) / n_terms >= 0.5) OR coalesce(semantic_score, 0) >= 0.45"
 
 
-def semantic_ranks(spark, d, k: int = 30):
-    """The semantic arm of every query; a query's vector is that of its id."""
+def semantic_ranks(spark, d, k: int = 30, within=None):
+    """The semantic arm of every query; a query's vector is that of its id. within: documents (doc_id) that may be recalled."""
     v = vectors(spark, d).select(F.col("doc_id").alias("id"), F.lit("").alias("group_id"), "embedding")
     q = v.join(queries(spark, d).select(F.col("query_id").alias("id")), "id", "left_semi")
+    if within is not None:
+        v = v.join(within.select(F.col("doc_id").alias("id")), "id", "left_semi")
     return knn.nearest(q, v, k, any_group=True).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), "score")
 
 
 def fused(spark, d):
-    arms = [retrieval.ranked(semantic_ranks(spark, d), "semantic"), retrieval.ranked(lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d)), "keyword")]
+    arms = [retrieval.ranked(semantic_ranks(spark, d), "semantic"), retrieval.ranked(keyword_index.keyword_arm(table(spark, d, "documents"), queries(spark, d)), "keyword")]
     return retrieval.fuse(arms, OPTIONS)
 
 
@@ -130,7 +171,8 @@ WITH {DOCS_SQL}, {_MATCH_SQL}, fused AS (SELECT query_id, doc_id FROM c WHERE r
 SELECT query_id, doc_id, CAST(matched AS INTEGER) AS matched, CAST(n_terms AS INTEGER) AS n_terms, n_terms >= 2 AND matched >= 2 AND CAST(matched AS DOUBLE) / n_terms >= 0.5 AS covered FROM cv
 """)
 def term_coverage(spark, d):
-    kept = lexical.candidates(lexical.matched(spread(table(spark, d, "documents").select("doc_id", "text")), sized(lexical.query_terms(queries(spark, d)), 60)), 10)
+    lists = pin(keyword_index.query_lists(queries(spark, d)))
+    kept = keyword_index.KeywordIndex.of_queries(table(spark, d, "documents"), lists).candidates(lists, 10)
     return covered(spark, d, kept.select("query_id", "doc_id"))
 
 
@@ -158,7 +200,7 @@ u AS (SELECT *, sum(length(excerpt)) OVER (PARTITION BY query_id ORDER BY rank)
 
 @query("bounded_evidence", f"WITH {_BM25_SQL}, {_BOUND_SQL} SELECT query_id, doc_id, CAST(length(excerpt) AS INTEGER) AS chars, CAST(used AS BIGINT) AS used_chars FROM u WHERE rank = 1 OR used <= 12000")
 def bounded_evidence(spark, d):
-    rows = lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d)).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = keyword_index.keyword_arm(table(spark, d, "documents"), queries(spark, d)).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return retrieval.bounded_evidence(rows, options=OPTIONS).select("query_id", "doc_id", F.length("excerpt").alias("chars"), "used_chars")
 
 
@@ -202,7 +244,7 @@ WITH {_BM25_SQL}, pb AS (SELECT query_id, doc_id, rank, sum(length('{{"doc_id":'
 SELECT query_id, doc_id FROM pb WHERE chars + 1 <= 500
 """)
 def payload_bound(spark, d):
-    rows = lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d))
+    rows = keyword_index.keyword_arm(table(spark, d, "documents"), queries(spark, d))
     return retrieval.bounded_payload(rows, ["doc_id", "rank"], "rank", 500).select("query_id", "doc_id")
 
 
@@ -213,6 +255,32 @@ def temporal_arm(spark, d):
     return retrieval.temporal_arm(f, F.lit(last["a"]), F.lit(last["b"]), 30).select("doc_id", "score")
 
 
+@query("temporal_arms", """
+WITH f AS (SELECT event_id AS doc_id, ts AS s, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts + to_minutes(CAST(json_extract_string(props, '$.k') AS BIGINT)) END AS e FROM events),
+m AS (SELECT min(s) AS m FROM f), q AS (SELECT item_id AS query_id, m + to_hours(item_id) AS a, m + to_hours(item_id + item_id % 5) AS b FROM benchmark, m)
+SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM f JOIN q ON s <= b AND (e IS NULL OR e >= a)) WHERE r <= 30
+""")
+def temporal_arms(spark, d):
+    """The temporal arm of every item at once: an interval join over events, every seventh of which is open."""
+    f = facts(spark, d)
+    end = F.when(F.col("fact_id") % 7 != 0, F.col("occurred_start") + F.make_dt_interval(mins=F.col("k").cast("int")))
+    rows = f.select(F.col("fact_id").alias("doc_id"), "occurred_start", end.alias("occurred_end"))
+    first = rows.agg(F.min("occurred_start").alias("m"))  # one row
+    at = lambda h: F.col("m") + F.make_dt_interval(hours=h.cast("int"))
+    ranges = queries(spark, d).join(F.broadcast(first), F.lit(True)).select("query_id", at(F.col("query_id")).alias("start"), at(F.col("query_id") + F.col("query_id") % 5).alias("end"))
+    return retrieval.temporal_arms(rows, ranges, 30).select("query_id", "doc_id")
+
+
+@query("entity_match", """
+SELECT DISTINCT item_id AS query_id, c_custkey AS entity_id FROM benchmark JOIN customer ON contains(lower(c_name), lpad(CAST(item_id AS VARCHAR), 3, '0'))
+""")
+def entity_match(spark, d):
+    """The entities that each query names, by one automaton of all names."""
+    entities = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.lower("c_name").alias("normalized_name"))
+    names = queries(spark, d).select("query_id", F.lpad(F.col("query_id").cast("string"), 3, "0").alias("name"))
+    return retrieval.wanted_entities(entities, names)
+
+
 @query("graph_arm", """
 WITH m AS (SELECT l_orderkey AS doc_id, l_suppkey AS entity_id FROM lineitem),
 dr AS MATERIALIZED (SELECT doc_id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN supplier ON s_suppkey = entity_id WHERE lower(s_name) LIKE '%000000001%' GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30),
@@ -244,7 +312,7 @@ SELECT DISTINCT query_id, name FROM kr JOIN e USING (doc_id)
 def graph_enrich(spark, d):
     docs = table(spark, d, "documents")
     entities = docs.groupBy(F.concat(F.lit("entity"), F.col("doc_id") % 50).alias("name")).agg(F.collect_list(F.struct("doc_id", F.lit(0).alias("chunk_index"))).alias("sources"))
-    return retrieval.graph_enrich(lexical.keyword_arm(docs, queries(spark, d)).withColumn("chunk_index", F.lit(0)), entities)
+    return retrieval.graph_enrich(keyword_index.keyword_arm(docs, queries(spark, d)).withColumn("chunk_index", F.lit(0)), entities)
 
 
 @query("full_search", f"""
@@ -277,7 +345,7 @@ def directive_match(spark, d):
 @query("citation_validation", f"WITH {_BM25_SQL} SELECT item_id AS query_id, item_id AS doc_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM kr WHERE kr.query_id = item_id AND kr.doc_id = item_id)")
 def citation_validation(spark, d):
     cited = queries(spark, d).select("query_id", F.col("query_id").alias("doc_id"))
-    return retrieval.invalid_citations(cited, lexical.keyword_arm(table(spark, d, "documents"), queries(spark, d)))
+    return retrieval.invalid_citations(cited, keyword_index.keyword_arm(table(spark, d, "documents"), queries(spark, d)))
 
 
 @query("memory_block", f"""
@@ -286,7 +354,7 @@ SELECT query_id, doc_id, CAST(chars AS BIGINT) AS block_chars FROM b WHERE chars
 """)
 def memory_block(spark, d):
     docs = table(spark, d, "documents")
-    rows = lexical.keyword_arm(docs, queries(spark, d)).join(docs.select("doc_id", "text"), "doc_id")
+    rows = keyword_index.keyword_arm(docs, queries(spark, d)).join(docs.select("doc_id", "text"), "doc_id")
     return retrieval.memory_block(rows, 6000, 200).select("query_id", "doc_id", "block_chars")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -106,6 +107,19 @@ def dense_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return local.join(sized(starts, 16), part).withColumn(name, F.col(start) + F.col(at).bitwiseAND(F.lit(2**33 - 1))).select(*rows.columns, name)
 
 
+#: Rows and bytes of an Arrow batch of texts; Spark's own bound of 10,000 rows alone would let long texts fill a worker.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches within BATCH_ROWS and BATCH_BYTES; smaller bounds of the user's stay. Plans are run after the call, so the bound stays."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= bound:
+            spark.conf.set(key, str(bound))
+
+
 #: Tables below this size, by the planner's estimate, are dealt over all cores by spread().
 SPREAD_BYTES = 256 * 1024 * 1024
 

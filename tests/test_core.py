@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataquery.functions import text as tx
 from strataquery.functions import vector
-from strataquery.operators import graph, knn, lexical, observations, queues, retain, retrieval, scope, versioning
+from strataquery.operators import graph, keyword_index, knn, observations, queues, retain, retrieval, scope, versioning
 from strataquery.sources import readers
 from strataquery.streaming import folds
 
@@ -47,7 +47,7 @@ def test_lexical_tokens_cut_ideographs(spark):
 def test_bm25_ranks_languages(spark):
     docs = spark.createDataFrame([(0, "Alice completed the coral survey"), (1, "Bob prepared the budget"), (2, "项目完成了知识库检索测试")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "coral survey"), (2, "知识库检索")], "query_id long, query string")
-    best = {r["query_id"]: r["doc_id"] for r in lexical.keyword_arm(docs, q).where("rank = 1").collect()}
+    best = {r["query_id"]: r["doc_id"] for r in keyword_index.keyword_arm(docs, q).where("rank = 1").collect()}
     assert best == {1: 0, 2: 2}
 
 
