@@ -6,8 +6,9 @@ one of them. Without a path the entries of the queries' tokens are made for one
 order, so that a query's tokens are found by row-group statistics.
 
 A query's overlap with a document of a block is at most the number of its tokens that the block holds, and at most the block's widest
-document. The blocks with the greatest bounds are opened first; then those whose bound reaches the overlap of the last kept candidate. Overlap is
-counted inside a block, and at most ``limit`` documents of a query leave it, so pairs of queries and documents are never shuffled.
+document. A first pass counts documents by overlap, which tells the overlap of each query's last candidate; a second gives the documents that reach it. Both leave
+blocks closed whose bound is below what is known to be needed, and blocks of long documents come first. Overlap is counted inside a block, and at most ``limit``
+documents of a query leave it, so pairs of queries and documents are never shuffled.
 
 Null texts have no tokens; queries without tokens get no rows; documents without an id are left out; repeated rows are documents of their own.
 """
@@ -15,6 +16,7 @@ Null texts have no tokens; queries without tokens get no rows; documents without
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,13 +28,13 @@ from pyspark.sql import Window as W
 
 from strataquery.functions.text import CJK, lexical_tokens
 from strataquery.operators.lexical import B, CANDIDATES, K1, token_counts
-from strataquery.operators.patterns import matches
-from strataquery.shared import bound_batches, fits, new_path, pin, sized
+from strataquery.operators.patterns import automaton
+from strataquery.shared import bound_batches, fits, new_path, pin, sized, spread
 
 #: Documents of a block.
 ROWS = 1024
-#: Queries that one task scores against a block.
-QUERIES = 512
+#: Queries that go over the index together.
+QUERIES = 2000
 ENTRY = "block long, token string, ids array<long>, at array<int>, tf array<int>, widest int"
 FOUND = "query_id long, doc_id long, overlap long, length int, tfs array<int>"
 
@@ -60,11 +62,12 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     spark, rows_of_block = docs.sparkSession, ROWS
     bound_batches(spark)
     known = None if vocabulary is None else spark.sparkContext.broadcast(vocabulary)
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.length(F.col(text_col)).alias("size"), low.cast("binary").alias("low"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.length(F.col(text_col)).alias("size"))
+    # more parts than tasks: those of the longest documents have most to do
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc("size"), F.asc("id")]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "low", F.spark_partition_id().cast("long").alias("part"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.select("id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("low"), F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else known.value
@@ -112,54 +115,59 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     return rows.mapInArrow(run, ENTRY)
 
 
-def count_overlap(limit: int):
-    """applyInArrow of a block's entries and the queries that open it: for each query its best documents by overlap, then id."""
-
-    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
-        own, asked = own.combine_chunks(), asked.combine_chunks()
-        out: dict[str, list] = {c: [] for c in ("query_id", "doc_id", "overlap", "length", "tfs")}
-        names = own.column("token").to_pylist()
-        if None in names and asked.num_rows:
-            head = names.index(None)
-            ids = np.array(own.column("ids")[head].as_py(), dtype=np.int64)
-            lengths = np.array(own.column("tf")[head].as_py(), dtype=np.int64)
-            lists = []
-            for column in ("at", "tf"):
-                array = own.column(column).chunk(0)
-                lists.append((array.values.to_numpy(zero_copy_only=False), array.offsets.to_numpy()))
-            (at, ends), (tf, tf_ends) = lists
-            row = {t: i for i, t in enumerate(names)}
-            for query_id, tokens, least in zip(*(asked.column(c).to_pylist() for c in ("query_id", "tokens", "least"))):
-                there = [(i, row[t]) for i, t in enumerate(tokens) if t in row]
-                overlap = np.zeros(len(ids), dtype=np.int64)
-                for _, r in there:
-                    overlap[at[ends[r] : ends[r + 1]]] += 1
-                best = np.flatnonzero(overlap >= max(least or 1, 1))
-                best = best[np.lexsort((ids[best], -overlap[best]))[:limit]]
-                if not len(best):
-                    continue
-                tfs = np.zeros((len(tokens), len(ids)), dtype=np.int32)
-                for i, r in there:
-                    tfs[i, at[ends[r] : ends[r + 1]]] = tf[tf_ends[r] : tf_ends[r + 1]]
-                out["query_id"] += [query_id] * len(best)
-                out["doc_id"].append(ids[best])
-                out["overlap"].append(overlap[best])
-                out["length"].append(lengths[best])
-                out["tfs"].append((len(tokens), tfs[:, best].T.ravel()))
-        flat = lambda c, kind: pa.array(np.concatenate(out[c]) if out[c] else [], type=kind)
-        sizes = [n for (n, _), ids in zip(out["tfs"], out["doc_id"]) for _ in range(len(ids))]
-        values = np.concatenate([v for _, v in out["tfs"]]) if out["tfs"] else np.zeros(0, dtype=np.int32)
-        tfs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values, type=pa.int32()))
-        return pa.table([pa.array(out["query_id"], type=pa.int64()), flat("doc_id", pa.int64()), flat("overlap", pa.int64()), flat("length", pa.int32()), tfs], names=["query_id", "doc_id", "overlap", "length", "tfs"])
-
-    return run
+class Block:
+    """One block's documents and the postings of the tokens that are asked for."""
+
+    def __init__(self, rows: pa.Table):
+        names = rows.column("token").to_pylist()
+        head, rows = names.index(None), rows.combine_chunks()
+        lists = {}
+        for column in ("ids", "at", "tf"):
+            array = rows.column(column).chunk(0)
+            lists[column] = (array.values.to_numpy(zero_copy_only=False), array.offsets.to_numpy())
+        self.lists, self.row = lists, {t: i for i, t in enumerate(names) if t is not None}
+        self.ids, self.lengths, self.widest = self.list("ids", head), self.list("tf", head), rows.column("widest")[head].as_py()
+
+    def list(self, column: str, i: int) -> np.ndarray:
+        values, ends = self.lists[column]
+        return values[ends[i] : ends[i + 1]]
+
+    def held(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """Places of the tokens that the block holds, and their rows."""
+        return [(i, self.row[t]) for i, t in enumerate(tokens) if t in self.row]
+
+    def overlap(self, held: list[tuple[int, int]]) -> np.ndarray:
+        counts = np.zeros(len(self.ids), dtype=np.int64)
+        for _, r in held:
+            counts[self.list("at", r)] += 1
+        return counts
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of rows that stand together by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            block = batch.column(0)
+            first = held[0].column(0)[0].as_py() if held else block[0].as_py()
+            other = np.flatnonzero(block.to_numpy() != first)
+            end = int(other[0]) if len(other) else batch.num_rows
+            if end:
+                held.append(batch.slice(0, end))
+            if len(other):
+                yield Block(pa.Table.from_batches(held))
+                held = []
+            batch = batch.slice(end)
+    if held:
+        yield Block(pa.Table.from_batches(held))
 
 
 class KeywordIndex:
     """An index to be queried: made for one set of queries, or written once and opened by path."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, arranged: bool = False):
+        """arranged: the rows of a block stand together in one task."""
+        self.rows, self.arranged = rows, arranged
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
@@ -180,42 +188,82 @@ class KeywordIndex:
         tokens = lists.select(F.explode("tokens").alias("token")).distinct()
         n = tokens.count()
         vocabulary = {r["token"].encode() for r in tokens.collect()} if fits(n, 100) else None
-        return cls(pin(entries(docs, id_col, text_col, vocabulary)))
-
-    def bounds(self, lists: DataFrame) -> DataFrame:
-        """(query_id, block, bound, n): the greatest overlap that a document of the block can have with the query, for blocks that hold one of its tokens; n documents."""
-        terms = lists.select("query_id", F.explode("tokens").alias("token"))
-        heads = self.rows.where("token IS NULL").select("block", "widest", F.size("ids").alias("n"))
-        own = self.rows.where("token IS NOT NULL").select("block", "token").join(sized(terms, 60), "token")
-        met = own.groupBy("query_id", "block").agg(F.count("*").alias("most"))
-        return met.join(sized(heads, 24), "block").select("query_id", "block", F.least("most", F.col("widest")).alias("bound"), "n")
-
-    def opened(self, chosen: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
-        """Candidates of the chosen (query_id, block, least): of each query and block at most limit documents with an overlap of least or more."""
-        groups = max(1, -(-lists.count() // QUERIES))
-        dealt = chosen.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-        tokens = lists.select("query_id", "tokens")
-        asked = dealt.join(sized(tokens, 1000), "query_id").select(F.col("block").alias("of_block"), F.col("deal").alias("of_deal"), "query_id", "tokens", "least")
-        tasks = pin(dealt.select("block", "deal").distinct())
+        return cls(pin(entries(docs, id_col, text_col, vocabulary)), arranged=True)
+
+    def _by_block(self, lists: DataFrame) -> DataFrame:
+        """The rows of the queries' tokens with their headers, the rows of a block together."""
+        if self.arranged:
+            return self.rows.coalesce(max(1, self.rows.sparkSession.sparkContext.defaultParallelism))
         needed = lists.select(F.explode("tokens").alias("token")).distinct()
         own = self.rows.where("token IS NULL").unionByName(self.rows.join(sized(needed, 60), "token", "left_semi").select(*self.rows.columns))
-        own = own.join(sized(tasks, 16), "block").select("block", "deal", "token", "ids", "at", "tf")
-        return own.groupBy("block", "deal").cogroup(asked.groupBy("of_block", "of_deal")).applyInArrow(count_overlap(limit), FOUND)
-
-    def candidates(self, lists: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-        """(query_id, doc_id, overlap, length, tfs): the limit documents of each query with most distinct shared tokens, then the smallest id."""
-        bounds = pin(self.bounds(lists))
-        best = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-        before = F.sum("n").over(best.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-        bounds = pin(bounds.withColumn("before", before))
+        return own.repartition("block").sortWithinPartitions("block")
+
+    def _least(self, rows: DataFrame, told, limit: int, opened) -> DataFrame:
+        """(query_id, least): the overlap that a query's limit-th document has, 1 if it has fewer. From counts of documents by overlap, a few rows a task and query."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = told.value
+            counts = {q: np.zeros(len(tokens) + 1, dtype=np.int64) for q, tokens, _ in asked}
+            for block in blocks_of(batches):
+                for q, tokens, _ in asked:
+                    held = block.held(tokens)
+                    # what the task's own best documents leave open
+                    over = np.cumsum(counts[q][::-1])[::-1]
+                    least = max(1, int(np.count_nonzero(over >= limit)) - 1) if over[0] >= limit else 1
+                    if min(len(held), block.widest) >= least and held:
+                        opened.add(1)
+                        counts[q] += np.bincount(block.overlap(held), minlength=len(tokens) + 1)
+                        counts[q][0] = 0
+            rows = [(q, o, int(n)) for q, c in counts.items() for o, n in enumerate(c) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3)], names=["query_id", "overlap", "n"])
+
+        per = rows.mapInArrow(run, "query_id long, overlap long, n long").groupBy("query_id", "overlap").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("overlap")))
+        return per.withColumn("upto", upto).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= limit, F.col("overlap"))), F.lit(1)).alias("least"))
+
+    def _found(self, rows: DataFrame, told, limit: int, opened) -> DataFrame:
+        """For every task the best documents of each query that reach its least overlap, limit at most."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = told.value
+            for block in blocks_of(batches):
+                for q, tokens, least in asked:
+                    held = block.held(tokens)
+                    if not held or min(len(held), block.widest) < least:
+                        continue
+                    opened.add(1)
+                    overlap = block.overlap(held)
+                    best = np.flatnonzero(overlap >= least)
+                    best = best[np.lexsort((block.ids[best], -overlap[best]))[:limit]]
+                    if not len(best):
+                        continue
+                    tfs = np.zeros((len(tokens), len(block.ids)), dtype=np.int32)
+                    for i, r in held:
+                        tfs[i, block.list("at", r)] = block.list("tf", r)
+                    flat = tfs[:, best].T.ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * len(tokens)), pa.array(flat))
+                    columns = [pa.array(np.full(len(best), q)), pa.array(block.ids[best]), pa.array(overlap[best]), pa.array(block.lengths[best]), lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "overlap", "length", "tfs"])
+
+        return rows.mapInArrow(run, FOUND)
+
+    def candidates(self, lists: DataFrame, limit: int = CANDIDATES, opened=None) -> DataFrame:
+        """(query_id, doc_id, overlap, length, tfs): the limit documents of each query with most distinct shared tokens, then the smallest id. opened: an accumulator of
+        the (query, block) pairs that are looked into, in both passes."""
+        spark = lists.sparkSession
+        opened = opened or spark.sparkContext.accumulator(0)
+        rows = pin(self._by_block(lists)) if not self.arranged else self._by_block(lists)
+        n = lists.count()
+        deals, out = max(1, -(-n // QUERIES)), None
         w = W.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
-        kept = lambda rows: rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
-        first = pin(kept(self.opened(bounds.where(F.col("before") < limit).select("query_id", "block", F.lit(1).cast("long").alias("least")), lists, limit)))
-        last = first.where(F.col("r") == limit).select("query_id", F.col("overlap").alias("least"))
-        rest = pin(bounds.where(F.col("before") >= limit).join(sized(last, 16), "query_id", "left").where("least IS NULL OR bound >= least").select("query_id", "block", F.coalesce("least", F.lit(1)).alias("least")))
-        if rest.isEmpty():
-            return first.drop("r")
-        return pin(kept(first.drop("r").unionByName(self.opened(rest, lists, limit))).drop("r"))
+        for deal in range(deals):
+            own = lists.where(F.pmod(F.xxhash64("query_id"), F.lit(deals)) == deal).select("query_id", "tokens").collect()  # about QUERIES rows
+            send = lambda least: spark.sparkContext.broadcast([(r["query_id"], r["tokens"], least.get(r["query_id"], 1)) for r in own])
+            least = {r["query_id"]: r["least"] for r in self._least(rows, send({}), limit, opened).collect()}
+            kept = self._found(rows, send(least), limit, opened).withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
+            kept = pin(kept)
+            out = kept if out is None else out.unionByName(kept)
+        return out
 
     def bm25(self, lists: DataFrame, limit: int = CANDIDATES) -> DataFrame:
         """(query_id, doc_id, score, matched): BM25 over each query's candidates; matched: distinct tokens shared."""
@@ -249,27 +297,77 @@ def keyword_arm(docs: DataFrame, queries: DataFrame, top: int = 30, limit: int =
     return ranked_scores(index.bm25(lists, limit), top)
 
 
+def substring_overlap(rows: DataFrame, asked: list[tuple[int, list[str]]], limit: int) -> DataFrame:
+    """(query_id, doc_id, overlap): for every task the limit rows (doc_id, low) that hold most of each query's tokens as substrings, by one automaton of all tokens."""
+    tokens = sorted({t for _, own in asked for t in own})
+    place = {t: i for i, t in enumerate(tokens)}
+    of = [[] for _ in tokens]
+    for i, (_, own) in enumerate(asked):
+        for t in own:
+            of[place[t]].append(i)
+    ids = np.array([q for q, _ in asked], dtype=np.int64)
+    told, name = rows.sparkSession.sparkContext.broadcast((list(enumerate(tokens)), [np.array(x) for x in of], ids)), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, holders, queries = told.value
+        own = automaton(name, listed)
+        best = [np.zeros(0, dtype=np.int64)] * 3
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, len(queries)), dtype=np.int64)
+            for i, low in enumerate(batch.column(1).to_pylist()):
+                for token in {t for _, t in own.iter(low)}:
+                    counts[i, holders[token]] += 1
+            row, query = np.nonzero(counts)
+            new = (query, batch.column(0).to_numpy()[row], counts[row, query])
+            query, doc, overlap = (np.concatenate(x) for x in zip(best, new))
+            order = np.lexsort((doc, -overlap, query))
+            query, doc, overlap = query[order], doc[order], overlap[order]
+            starts = np.flatnonzero(np.diff(query, prepend=-1))
+            place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+            best = [x[place < limit] for x in (query, doc, overlap)]
+        yield pa.RecordBatch.from_arrays([pa.array(queries[best[0]] if len(queries) else best[0]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "overlap"])
+
+    return rows.mapInArrow(run, "query_id long, doc_id long, overlap long")
+
+
 #: Tokens of a query that are looked for in file chunks.
 CHUNK_TOKENS = 64
 
 
 def chunk_keywords(chunks: DataFrame, queries: DataFrame, top: int = 30, limit: int = CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank) of file chunks: the ``limit`` chunks whose lower-cased text holds most of a query's first 64 distinct tokens as substrings
-    are its candidates, ranked by BM25 among themselves. Substrings are found by one automaton of all tokens; overlap is counted a part of the chunks at a time."""
-    asked = queries.select("query_id", F.slice(F.array_distinct(lexical_tokens(F.col("query"))), 1, CHUNK_TOKENS).alias("tokens"))
-    tokens = pin(asked.select("query_id", F.explode("tokens").alias("token")))
-    rows = chunks.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
-    hits = matches(rows, "low", tokens.select("token").distinct(), "token").select("doc_id", "token")
+    are its candidates, ranked by BM25 among themselves. Overlap is counted inside the tasks."""
+    asked = queries.select("query_id", F.slice(F.array_distinct(lexical_tokens(F.col("query"))), 1, CHUNK_TOKENS).alias("tokens")).where(F.size("tokens") > 0)
+    lists, out = pin(query_lists(queries)), None
+    deals = max(1, -(-asked.count() // QUERIES))
     w = W.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
-    # a chunk's hits stay in its task, so this is summed there before it is shuffled
-    found = hits.join(sized(tokens, 60), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"))
-    kept = pin(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("query_id", "doc_id"))
-    lists = pin(query_lists(queries))
-    named = chunks.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sized(kept.select("doc_id").distinct(), 16), "doc_id", "left_semi")
-    counted = named.select("doc_id", lexical_tokens(F.col("text")).alias("own")).select("doc_id", F.size("own").alias("length"), F.map_from_entries(token_counts(F.col("own"))).alias("counts"))
-    told = kept.join(lists, "query_id").join(counted, "doc_id")
-    tfs = F.transform("tokens", lambda t: F.coalesce(F.try_element_at("counts", t), F.lit(0)))
-    return ranked_scores(bm25_of(told.select("query_id", "doc_id", "length", tfs.alias("tfs")), lists), top)
+    rows = spread(chunks.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", F.lower("text").alias("low"))
+    for deal in range(deals):
+        of_deal = F.pmod(F.xxhash64("query_id"), F.lit(deals)) == deal
+        own = asked.where(of_deal).collect()  # about QUERIES rows of CHUNK_TOKENS tokens
+        found = substring_overlap(rows, [(r["query_id"], r["tokens"]) for r in own], limit)
+        found = pin(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).groupBy("doc_id").agg(F.collect_list("query_id").alias("asked")))
+        told = {r["query_id"]: [t.encode() for t in r["tokens"]] for r in lists.where(of_deal).collect()}
+        counted = token_frequencies(rows.join(sized(found, 200), "doc_id"), told)
+        out = counted if out is None else out.unionByName(counted)
+    return ranked_scores(bm25_of(pin(out), lists), top)
+
+
+def token_frequencies(rows: DataFrame, lists: dict[int, list[bytes]]) -> DataFrame:
+    """(query_id, doc_id, length, tfs) of rows (doc_id, low, asked): how often a text has each token of the queries that ask for it; a text is cut once."""
+    told = rows.sparkSession.sparkContext.broadcast(lists)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, low, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = tokens_of(low.encode())
+                counts = Counter(tokens)
+                out += [(q, doc_id, len(tokens), [counts[t] for t in told.value[q]]) for q in asked]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=kind) for i, kind in enumerate(kinds)], names=["query_id", "doc_id", "length", "tfs"])
+
+    return rows.select("doc_id", "low", "asked").mapInArrow(run, "query_id long, doc_id long, length int, tfs array<int>")
 
 
 def merged_keywords(memory: DataFrame, chunks: DataFrame, top: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import lexical_tokens
-from strataquery.shared import pin, sized
+from strataquery.shared import pin, sized, spread
 
 K1, B, CANDIDATES = 1.5, 0.75, 300
 
@@ -35,7 +35,7 @@ def with_coverage(rows: DataFrame, queries: DataFrame, docs: DataFrame, least: i
     q = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("query"))).alias("terms"))
     rows = pin(rows)
     named = pin(rows.select("doc_id").distinct())
-    d = docs.join(sized(named, 16), "doc_id", "left_semi").select("doc_id", F.array_distinct(lexical_tokens(F.concat_ws("\n", "title", "text"))).alias("tokens"))
+    d = spread(docs.join(sized(named, 16), "doc_id", "left_semi").select("doc_id", "title", "text")).select("doc_id", F.array_distinct(lexical_tokens(F.concat_ws("\n", "title", "text"))).alias("tokens"))
     joined = rows.join(sized(q, 2000), "query_id", "left").join(d, "doc_id", "left")
     hit, n = F.coalesce(F.size(F.array_intersect("terms", "tokens")), F.lit(0)), F.size("terms")
     counted = joined.select(*rows.columns, hit.alias("matched"), n.alias("n_terms"))

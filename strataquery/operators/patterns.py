@@ -26,7 +26,7 @@ def automaton(name: str, patterns: list[tuple[int, str]]):
         import ahocorasick
 
         built = ahocorasick.Automaton()
-        for i, pattern in patterns:
+        for i, pattern in patterns or [(-1, "\0no pattern\0")]:  # an automaton needs a word
             built.add_word(pattern, i)
         built.make_automaton()
         while len(_built) > 1:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from strataquery.functions import text as tx
 from strataquery.operators.intervals import ticks
 from strataquery.operators.set_join import similar_pairs
+from strataquery.shared import pin, sized, spread
 
 THRESHOLD = 0.70
 NEWEST = 200
@@ -61,15 +62,26 @@ def like_titles(new: DataFrame, stored: DataFrame, threshold: float, size: int =
     return found.select(F.col("left_id").alias("new_id"), F.col("right_id").alias("doc_id"), "similarity")
 
 
+def _sets(prefix: str):
+    """The content hash and the n-gram sets, as hashes, by which two documents are compared."""
+    hashed = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
+    title, text = F.col("title"), F.col("text")
+    return (
+        tx.content_hash(text).alias(f"{prefix}hash"), hashed(tx.shingles(title, 2)).alias(f"{prefix}title"), hashed(tx.shingles(tx.strip_version_markers(title), 2)).alias(f"{prefix}bare"),
+        hashed(tx.shingles(text, 3)).alias(f"{prefix}text"),
+    )
+
+
 def version_candidate(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """(new_id, doc_id, similarity, exact_content): an equal text first, else the most similar at or above the threshold; the first wins ties."""
-    pairs = length_candidates(new, stored, keys)
-    a = new.select(F.col("doc_id").alias("new_id"), F.col("title").alias("a_title"), F.col("text").alias("a_text"))
-    b = stored.select("doc_id", F.col("title").alias("b_title"), F.col("text").alias("b_text"))
-    rows = pairs.join(a, "new_id").join(b, "doc_id")
-    exact = tx.content_hash(F.col("a_text")) == tx.content_hash(F.col("b_text"))
-    similar = F.when(exact, F.lit(1.0)).otherwise(tx.combined_similarity(F.col("a_title"), F.col("a_text"), F.col("b_title"), F.col("b_text")))
-    scored = rows.select("new_id", "doc_id", "r", exact.alias("exact_content"), similar.alias("similarity")).where(F.col("exact_content") | (F.col("similarity") >= THRESHOLD))
+    pairs = pin(length_candidates(new, stored, keys))
+    # each document's sets are made once, however many pairs it stands in
+    a = pin(spread(new.join(sized(pairs.select(F.col("new_id").alias("doc_id")).distinct(), 16), "doc_id", "left_semi").select("doc_id", "title", "text")).select("doc_id", *_sets("a_")))
+    b = pin(spread(stored.join(sized(pin(pairs.select("doc_id").distinct()), 16), "doc_id", "left_semi").select("doc_id", "title", "text")).select("doc_id", *_sets("b_")))
+    rows = pairs.join(a.withColumnRenamed("doc_id", "new_id"), "new_id").join(b, "doc_id")
+    like = lambda name: tx.jaccard(F.col(f"a_{name}"), F.col(f"b_{name}"))
+    similar = F.when(F.col("a_hash") == F.col("b_hash"), F.lit(1.0)).otherwise(F.lit(0.3) * F.greatest(like("title"), like("bare")) + F.lit(0.7) * like("text"))
+    scored = rows.select("new_id", "doc_id", "r", (F.col("a_hash") == F.col("b_hash")).alias("exact_content"), similar.alias("similarity")).where(F.col("exact_content") | (F.col("similarity") >= THRESHOLD))
     w = W.partitionBy("new_id").orderBy(F.desc("exact_content"), F.desc(F.round("similarity", 9)), "r")
     return scored.withColumn("k", F.row_number().over(w)).where("k = 1").select("new_id", "doc_id", "similarity", "exact_content")
 

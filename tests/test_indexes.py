@@ -62,11 +62,14 @@ def test_keyword_index_opens_few_blocks(spark, monkeypatch):
     df, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(12)))], "query_id long, query string")
     lists = shared.pin(keyword_index.query_lists(q))
     index = keyword_index.KeywordIndex.of_queries(df, lists)
-    opened = []
-    plain = index.opened
-    monkeypatch.setattr(index, "opened", lambda chosen, *more: opened.append(chosen.count()) or plain(chosen, *more))
-    assert sorted(r["doc_id"] for r in index.candidates(lists, 20).collect()) == list(range(20))
-    assert sum(opened) <= 8 < index.rows.where("token IS NULL").count()
+    opened = spark.sparkContext.accumulator(0)
+    assert sorted(r["doc_id"] for r in index.candidates(lists, 20, opened).collect()) == list(range(20))
+    n_blocks = index.rows.where("token IS NULL").count()
+    # the second pass opens the blocks of long documents alone, the first what each task cannot rule out by its own documents
+    assert opened.value < 2 * n_blocks
+    second = spark.sparkContext.accumulator(0)
+    told = spark.sparkContext.broadcast([(1, lists.first()["tokens"], 12)])
+    assert index._found(index.rows, told, 20, second).count() >= 20 and second.value <= 8 < n_blocks
 
 
 def test_keyword_shuffles_no_pairs(spark):
@@ -75,8 +78,8 @@ def test_keyword_shuffles_no_pairs(spark):
     q = spark.createDataFrame([(i, "the w1") for i in range(4)], "query_id long, query string")
     lists = shared.pin(keyword_index.query_lists(q))
     index = keyword_index.KeywordIndex.of_queries(df, lists)
-    blocks = index.bounds(lists).withColumn("least", F.lit(1).cast("long"))
-    assert index.opened(blocks, lists, 7).count() <= 4 * 7 * index.rows.where("token IS NULL").count()
+    told = spark.sparkContext.broadcast([(r["query_id"], r["tokens"], 1) for r in lists.collect()])
+    assert index._found(index.rows, told, 7, spark.sparkContext.accumulator(0)).count() <= 4 * 7 * index.rows.where("token IS NULL").count()
     assert [r["doc_id"] for r in index.candidates(lists, 7).where("query_id = 2").orderBy("doc_id").collect()] == list(range(7))
 
 
