@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from strataquery.operators import graph, keyword_index, knn, lexical, retain, retrieval, versioning
+from strataquery.functions.text import recall_mode
+from strataquery.operators import evidence, graph, keyword_index, knn, lexical, reflect, retain, retrieval, versioning
 from strataquery.operators.scope import MemoryScope, TagFilter, TagGroup, visible
+from strataquery.shared import pin
+
+
+@dataclass(frozen=True)
+class MemoryTables:
+    """What deep recall reads besides documents: mentions (doc_id, entity_id), entities (entity_id, normalized_name), links (source_id, target_id, weight) between
+    documents, times (doc_id, occurred_start, occurred_end), and file chunks (doc_id, text), whose keywords are merged into the keyword arm."""
+
+    mentions: DataFrame | None = None
+    entities: DataFrame | None = None
+    links: DataFrame | None = None
+    times: DataFrame | None = None
+    chunks: DataFrame | None = None
 
 
 class KnowledgeBase:
@@ -17,11 +33,12 @@ class KnowledgeBase:
     Scope is applied before any ranking. ``embed`` maps query texts to vectors, ``scorer`` reranks; both are optional.
     """
 
-    def __init__(self, documents: DataFrame, scope: MemoryScope, vectors: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable | None = None, scorer: Callable | None = None):
+    def __init__(self, documents: DataFrame, scope: MemoryScope, vectors: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable | None = None, scorer: Callable | None = None, memory: "MemoryTables | None" = None, analyze: Callable | None = None):
         self.documents, self.scope, self.vectors, self.edges, self.embed, self.scorer = documents, scope, vectors, edges, embed, scorer
+        self.memory, self.analyze = memory or MemoryTables(), analyze
 
     def narrow(self, rule: TagFilter | TagGroup) -> "KnowledgeBase":
-        return KnowledgeBase(self.documents, self.scope.narrow(rule), self.vectors, self.edges, self.embed, self.scorer)
+        return KnowledgeBase(self.documents, self.scope.narrow(rule), self.vectors, self.edges, self.embed, self.scorer, self.memory, self.analyze)
 
     def _visible(self) -> DataFrame:
         return visible(self.documents, self.scope)
@@ -44,28 +61,74 @@ class KnowledgeBase:
     def chunks(self, size: int = 500, overlap: int = 50) -> DataFrame:
         return retain.chunk_documents(self._visible().where("is_current"), size, overlap)
 
-    def search(self, queries: DataFrame, top_k: int = 10, mode: str = "fast") -> DataFrame:
-        """queries (query_id, query): semantic arm where there are vectors and an embedder, keyword arm, fusion, rerank in deep mode, gate."""
+    def _deep_arms(self, queries: DataFrame, docs: DataFrame, k: int) -> list[DataFrame]:
+        """The graph and temporal arms: ``analyze`` maps query texts to JSON with entities, start and end."""
+        if self.analyze is None:
+            return []
+        replies = queries.select("query_id", reflect.called(self.analyze, F.col("query")).alias("reply"))
+        told, arms, inside, m = pin(evidence.parse_query_analysis(replies)), [], docs.select("doc_id"), self.memory
+        if m.mentions is not None and m.entities is not None and m.links is not None:
+            names = told.select("query_id", F.explode("entities").alias("name"))
+            mentions = m.mentions.join(inside, "doc_id", "left_semi")
+            links = m.links.join(inside.withColumnRenamed("doc_id", "source_id"), "source_id", "left_semi").join(inside.withColumnRenamed("doc_id", "target_id"), "target_id", "left_semi")
+            arms.append(retrieval.ranked(retrieval.graph_arms(mentions, retrieval.wanted_entities(m.entities, names), links, k), "graph"))
+        if m.times is not None:
+            ranges = told.where("start IS NOT NULL AND end IS NOT NULL").select("query_id", "start", "end")
+            arms.append(retrieval.ranked(retrieval.temporal_arms(m.times.join(inside, "doc_id", "left_semi"), ranges, k), "temporal"))
+        return arms
+
+    def search(self, queries: DataFrame, top_k: int = 10, mode: str = "fast", include_chunks: bool = False, memory_types: tuple = ()) -> DataFrame:
+        """queries (query_id, query): semantic arm where there are vectors and an embedder, keyword arm, in deep mode graph and temporal arms and a rerank, fusion, gate.
+        include_chunks: keywords of file chunks stand for their documents, unless the asked memory types leave out facts of the world."""
         docs = self._visible().where("is_current").select("doc_id", "title", "text")
         k = retrieval.arm_limit(top_k)
-        arms = [retrieval.ranked(keyword_index.keyword_arm(docs, queries, k), "keyword")]
+        keywords = keyword_index.keyword_arm(docs, queries, k)
+        if self.memory.chunks is not None and evidence.uses_chunks(include_chunks, memory_types):
+            chunks = self.memory.chunks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("chunk_id", F.monotonically_increasing_id())
+            chunks = pin(chunks.select("chunk_id", "doc_id", "text"))
+            hits = keyword_index.chunk_keywords(chunks, queries, k, id_col="chunk_id").select("query_id", F.col("doc_id").alias("chunk_id"), "score").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+            merged = keyword_index.merged_keywords(keywords, hits, k)
+            keywords = merged.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        arms = [retrieval.ranked(keywords, "keyword")]
         if self.vectors is not None and self.embed is not None:
             rows = self.vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
             asked = retrieval.embedded(queries, self.embed).select(F.col("query_id").alias("id"), F.lit("").alias("group_id"), "embedding")
             stored = rows.select(F.col("doc_id").alias("id"), F.lit("").alias("group_id"), "embedding")
             near = knn.nearest(asked, stored, k, any_group=True).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), "score")
             arms.append(retrieval.ranked(near, "semantic"))
+        if mode == "deep":
+            arms += self._deep_arms(queries, docs, k)
         rows = retrieval.fuse(arms).join(docs, "doc_id").join(queries.select("query_id", "query"), "query_id")
         rows = lexical.with_coverage(rows, queries, docs)
         if mode == "deep":
             rows = retrieval.rerank(retrieval.rerank_bound(rows, "text"), self.scorer)
             rows = rows.withColumn("final_score", retrieval.capped_final(F.col("keyword_score"), F.col("reranker_score"), F.col("semantic_score")))
         kept = retrieval.gate(rows, mode)
-        order = "fused_rank" if mode == "fast" else "final_score"
-        from pyspark.sql import Window as W
-
-        w = W.partitionBy("query_id").orderBy(F.col(order) if mode == "fast" else F.desc(order), "doc_id")
-        return kept.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_k).select("query_id", "doc_id", "position", "rrf", "keyword_score", "semantic_score")
+        order = F.col("fused_rank") if mode == "fast" else F.desc("final_score")
+        w = W.partitionBy("query_id").orderBy(order, "doc_id")
+        scores = [f"{s}_score" for s in retrieval.SCORES]
+        return kept.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_k).select("query_id", "doc_id", "position", "rrf", *scores)
+
+    def reflect(self, queries: DataFrame, planner: Callable, options: reflect.ReflectOptions = reflect.ReflectOptions(), top_k: int = 10, mode: str = "fast") -> tuple[DataFrame, DataFrame]:
+        """Reflection in rounds over this scope's documents: (state, evidence)."""
+        docs = self._visible().where("is_current").select("doc_id", "text")
+        recall = lambda asked: self.search(asked, top_k, mode).join(docs, "doc_id").select("query_id", "doc_id", "text", F.col("position").alias("rank"))
+        return reflect.reflect(queries, recall, planner, options, docs.select("doc_id"))
+
+    def query(self, queries: DataFrame, kind: str = "recall", planner: Callable | None = None, **options) -> DataFrame:
+        """One entry for both: kind recall gives search(), with mode auto resolved from each query's text; kind reflect the state of reflect()."""
+        if kind == "reflect":
+            if planner is None:
+                raise ValueError("reflection needs a planner")
+            return self.reflect(queries, planner, **options)[0]
+        if kind != "recall":
+            raise ValueError(f"unknown kind {kind}")
+        if options.get("mode", "auto") != "auto":
+            return self.search(queries, **options)
+        options.pop("mode", None)
+        told = pin(queries.withColumn("__mode", recall_mode(F.col("query"), F.lit("auto"), F.lit(False))))
+        deep, fast = (told.where(F.col("__mode") == m).drop("__mode") for m in ("deep", "fast"))
+        return self.search(deep, mode="deep", **options).unionByName(self.search(fast, mode="fast", **options))
 
     def neighbours(self, seeds: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
         """Nodes and links within hops of the seeds (node)."""

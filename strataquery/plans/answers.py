@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataquery.operators import evidence, graph, keyword_index, retrieval
+from strataquery.operators import evidence, graph, keyword_index, reflect, retrieval
 from strataquery.plans.model import DOCS_SQL, VECTORS_SQL, documents, queries, vectors
 from strataquery.plans.registry import query
 from strataquery.plans.retrieval import _BM25_SQL, _COS, _COVER_SQL, _SEM_SQL, OPTIONS, covered, semantic_ranks
@@ -106,6 +108,24 @@ def reflect_evidence(spark, d):
     return evidence.grouped(gated(spark, d)).select("query_id", "memory_type", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
+def _planner(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: recalls until there is evidence, then cites the first of it."""
+    first = [re.search(r"EVIDENCE:\n\[(-?\d+)\]", p) for p in prompts]
+    return [f'{{"tool": "done", "answer": "see it", "citations": [{m[1]}]}}' if m else '{"tool": "recall"}' for m in first]
+
+
+@query("reflect_rounds", f"""
+WITH {_BM25_SQL} SELECT item_id AS query_id, CASE WHEN doc_id IS NULL THEN 'insufficient' ELSE 'done' END AS status, coalesce(CAST(doc_id AS VARCHAR), '') AS cited, CAST(CASE WHEN doc_id IS NULL THEN 3 ELSE 2 END AS INTEGER) AS rounds
+FROM benchmark LEFT JOIN (SELECT query_id, doc_id FROM kr WHERE rank = 1) ON query_id = item_id
+""")
+def reflect_rounds(spark, d):
+    """Reflection over every item: a round of keyword recall, then an answer that cites its best document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    recall = lambda asked: keyword_index.keyword_arm(docs, asked, 3).join(docs, "doc_id").select("query_id", "doc_id", "text", "rank")
+    state, _ = reflect.reflect(queries(spark, d), recall, _planner, reflect.ReflectOptions(max_rounds=3), docs.select("doc_id"))
+    return state.select("query_id", "status", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",").alias("cited"), "rounds")
+
+
 @query("expand_memory", """
 WITH p AS (SELECT doc_id AS memory_id, 0 AS part, CAST(0 AS BIGINT) AS ordinal, 'memory' AS kind, length(coalesce(text, '')) AS n FROM documents
   UNION ALL SELECT doc_id, 1, 0, 'chunk', length(source) FROM documents UNION ALL SELECT user_id, 2, event_id, 'fact', length(event_type) FROM events)
