@@ -148,12 +148,12 @@ def title_similarity(spark, d):
 @query("title_search", f"""
 WITH {DOCS_SQL}, t AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(p), 3) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT doc_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS p FROM d)),
 s AS (SELECT a.doc_id AS new_id, b.doc_id, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))) AS similarity FROM t a JOIN t b ON a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id)
-SELECT new_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.6
+SELECT new_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.4
 """)
 def title_search(spark, d):
     """Titles of like trigrams, by the prefix-filtered set join."""
     titles = documents(spark, d).select("doc_id", "title")
-    found = versioning.like_titles(titles.where("doc_id % 50 = 0"), titles, 0.6)
+    found = versioning.like_titles(titles.where("doc_id % 50 = 0"), titles, 0.4)
     return found.select("new_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
