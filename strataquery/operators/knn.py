@@ -58,13 +58,14 @@ def _beside(rows: DataFrame, asked: tuple, k: int, other_groups: bool | None) ->
             own, names, m = _ordered(batch.column(0).to_numpy(), batch.column(1).to_pylist(), matrix(batch.column(2)))
             for at in range(0, len(own), ROWS):
                 part = slice(at, at + ROWS)
-                s = np.round(q @ m[part].T, DIGITS)
+                raw = q @ m[part].T
+                s = np.round(raw, DIGITS)
                 ok = np.ones(s.shape, dtype=bool) if other_groups is None else (groups[:, None] == names[None, part]) != other_groups
                 i, j = best_of(s, ok, k)
-                new = [i, own[part][j], s[i, j]]
+                new = [i, own[part][j], raw[i, j]]
                 if best is not None:
                     i, right, score = (np.concatenate(x) for x in zip(best, new))
-                    order = np.lexsort((right, -score, i))
+                    order = np.lexsort((right, -np.round(score, DIGITS), i))
                     i, right, score = i[order], right[order], score[order]
                     starts = np.flatnonzero(np.diff(i, prepend=-1))
                     place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
@@ -86,7 +87,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id",
     held = asked.collect()  # within the broadcast bound
     q = (np.array([r["id"] for r in held], dtype=np.int64), np.array([r["grp"] for r in held], dtype=object), np.array([np.frombuffer(r["v"]) for r in held]))
     found = _beside(unit_rows(spread(vectors), id_col, group_col, vec_col), q, k, other_groups) if n else vectors.sparkSession.createDataFrame([], PAIR)
-    w = W.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    w = W.partitionBy("left_id").orderBy(F.desc(F.round("score", DIGITS)), "right_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -95,7 +96,7 @@ def _pairs(a: tuple, b: tuple, threshold: float, same: bool) -> pa.Table:
     (a_ids, a_m), (b_ids, b_m) = a, b
     out: list[list] = [[], [], []]
     for at in range(0, len(a_ids), ROWS):
-        s = np.round(a_m[at : at + ROWS] @ b_m.T, DIGITS)
+        s = a_m[at : at + ROWS] @ b_m.T
         ok = s >= threshold
         if same:
             ok &= a_ids[at : at + ROWS, None] < b_ids[None, :]

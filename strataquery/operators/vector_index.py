@@ -32,7 +32,7 @@ DEAL = 16_384
 ROUNDS = 8
 #: Slack of bounds against rounding.
 EPS = 1e-9
-#: Products are rounded, so that equal vectors tie whatever block they stand in.
+#: Products are put in order by so many digits, so that equal vectors tie whatever block they stand in.
 DIGITS = 12
 ROW = "id long, grp string, v binary"
 FOUND = "left_id long, right_id long, score double, opened long"
@@ -170,7 +170,8 @@ def score_shelf(k: int, other_groups: bool | None):
                     continue
                 for at in range(a, b, 1024):  # rows of a cell in blocks, in order of id
                     part = slice(at, min(at + 1024, b))
-                    s = np.round(q[who] @ m[part].T, DIGITS)
+                    raw = q[who] @ m[part].T
+                    s = np.round(raw, DIGITS)
                     ok = s >= least[who, None]
                     if other_groups is not None:
                         ok &= (q_names[who, None] == names[None, part]) != other_groups
@@ -180,13 +181,13 @@ def score_shelf(k: int, other_groups: bool | None):
                     j = best.ravel()
                     keep = ok[i, j]
                     i, j = i[keep], j[keep]
-                    out.append((q_ids[who[i]], ids[part][j], s[i, j], np.full(len(i), 1)))
+                    out.append((q_ids[who[i]], ids[part][j], raw[i, j], np.full(len(i), 1)))
         columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(4)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
         table = pa.table([pa.array(c.astype(t.to_pandas_dtype()), type=t) for c, t in zip(columns, kinds)], names=["left_id", "right_id", "score", "opened"])
         if table.num_rows:  # the best k of the shelf
             left, right, score = (table[c].to_numpy() for c in ("left_id", "right_id", "score"))
-            order = np.lexsort((right, -score, left))
+            order = np.lexsort((right, -np.round(score, DIGITS), left))
             new = np.diff(left[order], prepend=left[order][0] - 1) != 0
             place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             table = table.take(pa.array(order[place < k]))
@@ -274,7 +275,7 @@ class VectorIndex:
         probes: only that many cells are opened, so rows may be missed."""
         asked = pin(unit_rows(queries, id_col, group_col, vec_col).withColumnRenamed("id", "query_id").withColumn("least", F.lit(-2.0)))
         deals = max(1, -(-asked.count() // DEAL))
-        w = W.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+        w = W.partitionBy("left_id").orderBy(F.desc(F.round("score", DIGITS)), "right_id")
         best = lambda rows: rows.drop("opened").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         found = best(self._scored(self._opens(asked, k, True, probes), deals, k, other_groups))
         if probes:
