@@ -50,6 +50,36 @@ class KnowledgeBase:
         """A slice of a visible document's text."""
         return self._visible().where(F.col("doc_id") == F.lit(doc_id)).select("doc_id", F.substring("text", start + 1, length).alias("part"), (F.length("text") > start + length).alias("has_more"))
 
+    def get_document(self, doc_id) -> DataFrame:
+        """A visible document's row, or none."""
+        return self._visible().where(F.col("doc_id") == F.lit(doc_id))
+
+    def _with(self, documents: DataFrame, vectors: DataFrame | None) -> "KnowledgeBase":
+        return KnowledgeBase(documents, self.scope, vectors, self.edges, self.embed, self.scorer, self.memory, self.analyze)
+
+    def edit(self, changes: DataFrame) -> "KnowledgeBase":
+        """changes: doc_id (of a visible current document, each once), new_id, text, created_at. Each becomes the next version of its group and the only current one; changes
+        of other documents, and those with an unchanged text, do nothing."""
+        told = changes.select("doc_id", F.col("new_id").alias("__id"), F.col("text").alias("__text"), F.col("created_at").alias("__at"))
+        rows = self._visible().where("is_current").join(told, "doc_id").where(~F.col("text").eqNullSafe(F.col("__text")))
+        taken = {"doc_id": "__id", "text": "__text", "created_at": "__at"}
+        fresh = pin(rows.select(*(F.col(taken.get(c, c)).alias(c) for c in self.documents.columns)))
+        return self._with(versioning.close_and_open(self.documents, fresh), self.vectors)
+
+    def remove(self, doc_ids: DataFrame) -> "KnowledgeBase":
+        """Without the visible documents among doc_ids and their vectors. Of a group that loses its current version the latest one left becomes current."""
+        gone = pin(self._visible().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "version_group", "is_current"))
+        left = self.documents.join(gone.select("doc_id"), "doc_id", "left_anti")
+        open_groups = gone.where("is_current").select("version_group").distinct()
+        heads = left.join(open_groups, "version_group", "left_semi").groupBy("version_group").agg(F.max_by("doc_id", F.struct("version", "doc_id")).alias("__head"))
+        rows = left.join(heads, "version_group", "left").withColumn("is_current", F.col("is_current") | F.coalesce(F.col("doc_id") == F.col("__head"), F.lit(False)))
+        vectors = None if self.vectors is None else self.vectors.join(gone.select("doc_id"), "doc_id", "left_anti")
+        return self._with(rows.select(*self.documents.columns), vectors)
+
+    def propose_edits(self, requests: DataFrame, editor: Callable, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+        """requests (edit_id, doc_id, request): proposals for visible current documents, with the chunks they touch and related documents; edit() writes a confirmed one."""
+        return evidence.propose_edits(requests, self._visible().where("is_current"), chunks, mentions, self.embed, editor)
+
     def list_versions(self, doc_id) -> DataFrame:
         group = self._visible().where(F.col("doc_id") == F.lit(doc_id)).select("version_group")
         return self._visible().join(group, "version_group", "left_semi").orderBy("version")

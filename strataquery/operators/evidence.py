@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from strataquery.functions import text as tx
 from strataquery.functions import vector
-from strataquery.operators.retrieval import SCORES
+from strataquery.operators import graph
+from strataquery.operators.reflect import called
+from strataquery.operators.retrieval import SCORES, embedded
 from strataquery.operators.scope import tag_set
+from strataquery.shared import pin, sized
 
 RELATED = 10
 
@@ -154,6 +157,27 @@ def parse_proposal(replies: DataFrame, column: str = "reply") -> DataFrame:
     return p.select("edit_id", ok.alias("ok"), F.when(ok, F.col("p.new_text")).alias("new_text"), F.coalesce("p.reason", F.lit("")).alias("reason"))
 
 
+def propose_edits(requests: DataFrame, docs: DataFrame, chunks: DataFrame, mentions: DataFrame, embed, editor, related: int = 5, shown: int = 300) -> DataFrame:
+    """One row a request: (edit_id, doc_id, title, affected, related, status, new_text, reason). Nothing is written; a confirmed text goes in as a new version.
+
+    requests: edit_id, doc_id, request; docs: the visible documents (doc_id, title, text); chunks: chunk_id, doc_id, text, embedding; mentions: doc_id, name, type.
+    affected: the three nearest chunks of the document with the first ``shown`` characters and the relevance; related: visible documents by entities
+    shared with it. status: ``proposed``, ``no_proposal`` (a reply without new text) or ``not_found`` (no such visible document; no model is asked).
+    """
+    found = pin(requests.join(docs.select("doc_id", "title", "text"), "doc_id"))
+    asked = embedded(found.select("edit_id", "doc_id", "request"), embed, "request").select("edit_id", F.col("doc_id").alias("document_id"), "embedding").where("embedding IS NOT NULL")
+    of_edits = chunks.join(sized(found.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+    near = affected_chunks(asked, of_edits.select("chunk_id", F.col("doc_id").alias("document_id"), "embedding")).join(of_edits.select("chunk_id", F.substring("text", 1, shown).alias("chunk")), "chunk_id")
+    near = near.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "chunk", F.round("score", 3).alias("relevance")))).alias("affected"))
+    others = graph.related_by_entities(mentions.join(docs.select("doc_id"), "doc_id", "left_semi"), found.select("doc_id").distinct(), related)
+    others = others.groupBy("seed_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "shared"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["shared"].alias("shared"))).alias("related"))
+    prompt = F.to_json(F.struct("title", "request", F.coalesce("text", F.lit("")).alias("text")))
+    replies = pin(found.select("edit_id", called(editor, prompt).alias("reply")))
+    rows = requests.join(found.select("edit_id", "title"), "edit_id", "left").join(parse_proposal(replies), "edit_id", "left").join(near, "edit_id", "left").join(others.withColumnRenamed("seed_id", "doc_id"), "doc_id", "left")
+    status = F.when(F.col("ok").isNull(), "not_found").when(F.col("ok"), "proposed").otherwise("no_proposal")
+    return rows.select("edit_id", "doc_id", "title", "affected", F.when(F.col("ok").isNotNull(), F.col("related")).alias("related"), status.alias("status"), "new_text", "reason")
+
+
 def parse_query_analysis(replies: DataFrame, column: str = "reply") -> DataFrame:
     """(query_id, entities, start, end, subqueries): normalised distinct entities, times that can be read and are in order, subqueries with text."""
     shape = "entities array<string>, start string, `end` string, subqueries array<string>"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from strataquery.shared import pin, sized
 
-from strataquery.shared import pin
 
 def group_entities(rows: DataFrame) -> DataFrame:
     """(name, type): the longest description (the first of equals) and the ordered distinct sources. rows: name, type, description, source, ordinal."""
@@ -72,6 +74,18 @@ def shared_entity_documents(mentions: DataFrame, seeds: DataFrame, top: int = 5)
     return other.select("doc_id", "name", "type").distinct().groupBy("doc_id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "doc_id").limit(top)
 
 
+def related_by_entities(mentions: DataFrame, seeds: DataFrame, top: int = 5) -> DataFrame:
+    """(seed_id, doc_id, shared, rank): for each seed (doc_id) the documents that share most distinct (name, type) entities with it, ties to the smaller doc_id.
+
+    Only mentions of the seeds' own entities are joined; counts are partly summed before the shuffle, so a common entity costs a row for each pair that it makes.
+    """
+    named = mentions.select("doc_id", "name", "type").distinct()
+    own = named.join(sized(seeds.select("doc_id").distinct(), 16), "doc_id", "left_semi").withColumnRenamed("doc_id", "seed_id")
+    pairs = named.join(own, ["name", "type"]).where("doc_id <> seed_id").groupBy("seed_id", "doc_id").agg(F.count("*").alias("shared"))
+    w = W.partitionBy("seed_id").orderBy(F.desc("shared"), "doc_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
 def entity_details(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """The entity of the smallest type with its relations in both directions, one row each, (type, direction, other) once."""
     node = nodes.where(F.col("name") == name).groupBy("name").agg(F.min("type").alias("type"))

@@ -15,19 +15,30 @@ def _priority(column: str):
     return F.element_at(F.create_map(*(F.lit(x) for kv in CHANGE_PRIORITY.items() for x in kv)), F.col(column))
 
 
-def plan_violations(actions: DataFrame, facts: DataFrame, observations: DataFrame, scope: list[str]) -> DataFrame:
-    """(plan_id, reason): a plan with any row here is rejected whole. The sources of an update's target count as its own."""
-    tags = F.array(*map(F.lit, sorted(set(scope)))).cast("array<string>")
+def plan_violations(actions: DataFrame, facts: DataFrame, observations: DataFrame, scope: list[str], bank: str | None = None, max_actions: int | None = None, allowed: list[list[str]] | None = None) -> DataFrame:
+    """(plan_id, reason): a plan with any row here is rejected whole. The sources of an update's target count as its own.
+
+    bank: facts and observations, with bank_id, must be of it. max_actions: plans with more are rejected (``limit``). allowed: the tag sets that may be written;
+    every plan is rejected (``scope``) if the write scope is none of them.
+    """
+    scope = sorted(set(scope))
+    tags = F.array(*map(F.lit, scope)).cast("array<string>")
+    own_bank = F.lit(True) if bank is None else F.col("bank_id").eqNullSafe(F.lit(bank))
     own = actions.select("plan_id", F.explode("source_fact_ids").alias("fact_id"))
     kept = actions.where("action = 'update' AND observation_id IS NOT NULL").select("plan_id", "observation_id").join(observations.select("observation_id", F.explode("source_fact_ids").alias("fact_id")), "observation_id")
     sources = own.unionByName(kept.select("plan_id", "fact_id")).distinct()
-    usable = facts.where((F.col("state") == "active") & (F.size(F.array_except(tags, "scope_tags")) == 0)).select("fact_id")
+    usable = facts.where((F.col("state") == "active") & (F.size(F.array_except(tags, "scope_tags")) == 0) & own_bank).select("fact_id")
     bad_source = sources.join(usable, "fact_id", "left_anti").select("plan_id", F.lit("source").alias("reason"))
-    writable = observations.where(F.col("state").isin("active", "stale") & (F.sort_array(F.array_distinct("scope_tags")) == tags)).select("observation_id")
+    writable = observations.where(F.col("state").isin("active", "stale") & (F.sort_array(F.array_distinct("scope_tags")) == tags) & own_bank).select("observation_id")
     bad_target = actions.where("observation_id IS NOT NULL").join(writable, "observation_id", "left_anti").select("plan_id", F.lit("target").alias("reason"))
     key = F.coalesce(F.concat(F.lit("t:"), F.col("observation_id").cast("string")), F.concat(F.lit("c:"), "text_key"))
     conflict = actions.groupBy("plan_id", key.alias("k")).agg(F.countDistinct("action").alias("n")).where("n > 1").select("plan_id", F.lit("conflict").alias("reason"))
-    return bad_source.unionByName(bad_target).unionByName(conflict).distinct()
+    bad = bad_source.unionByName(bad_target).unionByName(conflict)
+    if max_actions is not None:
+        bad = bad.unionByName(actions.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > max_actions).select("plan_id", F.lit("limit").alias("reason")))
+    if allowed is not None and scope not in [sorted(set(a)) for a in allowed]:
+        bad = bad.unionByName(actions.select("plan_id", F.lit("scope").alias("reason")))
+    return bad.distinct()
 
 
 def coalesce_plan(actions: DataFrame, violations: DataFrame, observations: DataFrame) -> DataFrame:
@@ -155,6 +166,48 @@ def rebuild_problems(before: DataFrame, after: DataFrame, retired: DataFrame, un
     return told.unionByName(edges.select(F.lit("links of other documents changed").alias("rule"), "n"))
 
 
+#: Stages of a target that a rebuild has finished with.
+DONE_STAGES = ("retained", "consolidated", "verified", "empty")
+
+
+def verify_rebuilds(runs: DataFrame, units: DataFrame, evidence: DataFrame, outbox: DataFrame, jobs: DataFrame, protected: tuple[DataFrame, DataFrame], columns: list[str]) -> DataFrame:
+    """(run_id, legacy_active, legacy_evidence, graph_pending, jobs_pending, unfinished, unproven, protected_changed, status) of many rebuild runs at once.
+
+    runs: run_id, kind, id, stage, summary_key, with kind ``fact`` or ``observation`` (retired memories), ``document`` (targets, with stage and summary key) and ``scope``
+    (consolidation scopes). units: memory_id, document_id, state, memory_type, is_source_chunk, summary_key; evidence: observation_id, fact_id, active; outbox:
+    document_id, status; jobs: scope_key, status; ids are text. protected: before and after (run_id, memory_id and ``columns``), rows that no run may change.
+
+    The first rule that holds names the status: ``legacy_active`` (retired memories or their evidence still count), ``awaiting`` (projections or consolidation pending),
+    ``incomplete`` (a target at another stage), ``no_provenance`` (active facts of a target without its summary key), ``protected_changed``, ``verified``.
+    Every rule is a semi-join or a join on ids with a count, so a run's memories are never gathered.
+    """
+    of = lambda kind, name: runs.where(F.col("kind") == kind).select("run_id", F.col("id").alias(name)).distinct()
+    retired = runs.where("kind IN ('fact', 'observation')").select("run_id", F.col("id").alias("memory_id")).distinct()
+    targets = runs.where("kind = 'document'").select("run_id", F.col("id").alias("document_id"), "stage", F.col("summary_key").alias("wanted_key"))
+    fresh = units.where("state = 'active' AND memory_type IN ('world', 'experience') AND NOT coalesce(is_source_chunk, false)")
+    before, after = (rows.groupBy("run_id", "memory_id").agg(F.sort_array(F.collect_list(F.xxhash64(*columns))).alias(name)) for rows, name in zip(protected, ("was", "now")))
+    found = {
+        "legacy_active": retired.join(units.where("state IN ('active', 'stale')"), "memory_id"),
+        "legacy_evidence": of("fact", "fact_id").join(evidence.where("active"), "fact_id"),
+        "graph_pending": targets.select("run_id", "document_id").distinct().join(outbox.where("status <> 'completed'"), "document_id"),
+        "jobs_pending": of("scope", "scope_key").join(jobs.where("status <> 'completed'"), "scope_key"),
+        "unfinished": targets.where(~F.coalesce(F.col("stage").isin(*DONE_STAGES), F.lit(False))),
+        "unproven": targets.join(fresh, "document_id").where(~F.col("summary_key").eqNullSafe(F.col("wanted_key"))),
+        "protected_changed": before.join(after, ["run_id", "memory_id"], "full").where(~F.col("was").eqNullSafe(F.col("now"))),
+    }
+    counted = None
+    for rule, rows in found.items():
+        n = rows.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", F.lit(rule).alias("rule"), "n")
+        counted = n if counted is None else counted.unionByName(n)
+    wide = counted.groupBy("run_id").agg(*(F.coalesce(F.max(F.when(F.col("rule") == r, F.col("n"))), F.lit(0)).alias(r) for r in found))
+    rows = runs.select("run_id").distinct().join(wide, "run_id", "left").fillna(0, list(found))
+    status = (
+        F.when((F.col("legacy_active") > 0) | (F.col("legacy_evidence") > 0), "legacy_active").when((F.col("graph_pending") > 0) | (F.col("jobs_pending") > 0), "awaiting")
+        .when(F.col("unfinished") > 0, "incomplete").when(F.col("unproven") > 0, "no_provenance").when(F.col("protected_changed") > 0, "protected_changed").otherwise("verified")
+    )
+    return rows.select("run_id", *found, status.alias("status"))
+
+
 def edit_summary(summary: str, operations: list[dict]) -> str:
     """A summary after replace, append and delete; what is replaced or deleted must occur exactly once, and something must be left."""
     for op in operations:

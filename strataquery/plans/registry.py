@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("text_scope", "retrieval", "relational", "graph_versions", "memory", "lifecycle", "answers", "streams")
+MODULES = ("text_scope", "retrieval", "relational", "graph_versions", "memory", "lifecycle", "answers", "decisions", "streams")
 
 
 def query(name: str, oracle: str | None = None):
