@@ -93,3 +93,27 @@ def test_kept_rows_ties_nulls_and_clashing_columns(spark):
     kept = [(r.doc_id, r.text) for r in got.collect()]
     assert sorted(kept, key=str) == sorted([(3, text), (9, "alone here"), (None, None)], key=str)
     assert near.drop_similar(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 150])
+def test_a_class_is_checked_whole(spark, monkeypatch, bound):
+    monkeypatch.setattr(near, "CLASS_SHINGLES", bound)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(f"x{i}" for i in range(100)), " ".join(f"x{i}" for i in range(101)), "alone " * 9]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    printed = near.pin(docs.select(near.F.xxhash64("text").alias("text_key"), near.fingerprint_udf(near.F.col("text").cast("binary")).alias("fp")))
+    prints = [near.fingerprint(t.encode()) for t in texts]
+    # a forest of candidates none of whose own edges is a pair of similar texts
+    links = spark.createDataFrame([(bytearray(prints[i]), bytearray(prints[j])) for i, j in ((0, 2), (2, 1), (1, 3), (3, 4))], "a binary, b binary")
+    found = {frozenset((prints.index(bytes(r.a)), prints.index(bytes(r.b)))) for r in near.similar_links(links, printed, docs, 0.8).collect()}
+    assert found == {frozenset((0, 1)), frozenset((2, 3))}
+
+
+def test_a_key_gives_a_forest(spark):
+    rng = np.random.default_rng(7)
+    near_ones = np.unpackbits(rng.integers(0, 256, (1, 32), dtype=np.uint8), axis=1).repeat(200, axis=0)
+    near_ones[np.arange(200), rng.integers(0, 256, 200)] ^= 1
+    prints = sorted({np.packbits(x).tobytes() for x in near_ones})
+    rows = spark.createDataFrame([(1, 1, 0, bytearray(p)) for p in prints], "tab long, key long, part long, fp binary")
+    got = near.find_in_keys(rows, 10).collect()
+    assert len(got) == len(prints) - 1
