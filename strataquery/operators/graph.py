@@ -42,15 +42,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, depth): nodes within 1..8 hops by their least depth. One join a hop; visited nodes leave the frontier."""
+    """(seed, node, depth): nodes within 1..8 hops by their least depth. One join a hop; visited nodes leave the frontier. The frontier
+    meets the edges as they are, by either end, so only what it reaches is made distinct."""
     if not 1 <= hops <= 8:
         raise ValueError("hops must be 1..8")
-    both = undirected(edges)
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
-    front = seen.select("seed", "node")
+    front = pin(seen.select("seed", "node"))
     for depth in range(1, hops + 1):
         # written hop by hop, so that no plan holds all hops before it
-        front = pin(front.join(both, front["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
+        told = sized(front, 32)  # small in most graphs; then no edge travels
+        step = lambda here, there: edges.select(F.col(here).alias("node"), F.col(there).alias("next")).join(told, "node").select("seed", F.col("next").alias("node"))
+        front = pin(step("src", "dst").unionByName(step("dst", "src")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
 
@@ -64,7 +66,9 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFr
 
 def related_documents(relations: DataFrame, seeds: DataFrame) -> DataFrame:
     """Documents one undirected relation away, seeds left out. relations: src, dst."""
-    return undirected(relations).join(seeds.select(F.col("doc_id").alias("src")), "src").select(F.col("dst").alias("doc_id")).distinct().join(seeds.select("doc_id"), "doc_id", "left_anti")
+    own = sized(pin(seeds.select("doc_id").distinct()), 16)
+    reached = lambda here, there: relations.join(own.withColumnRenamed("doc_id", here), here, "left_semi").select(F.col(there).alias("doc_id"))
+    return reached("src", "dst").unionByName(reached("dst", "src")).distinct().join(own, "doc_id", "left_anti")
 
 
 def shared_entity_documents(mentions: DataFrame, seeds: DataFrame, top: int = 5) -> DataFrame:

@@ -74,7 +74,8 @@ SELECT seed, node, 1 AS depth FROM h1 UNION ALL SELECT seed, node, 2 FROM h2
 """)
 def k_hop_neighbors(spark, d):
     seeds = table(spark, d, "supplier").where("s_suppkey IN (1, 2)").select((-F.col("s_suppkey")).alias("node"))
-    return graph.k_hop(supply_edges(spark, d), seeds, 2)
+    edges = table(spark, d, "lineitem").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+    return graph.k_hop(edges, seeds, 2)
 
 
 @query("related_docs", "WITH r AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders), u AS (SELECT src, dst FROM r UNION SELECT dst, src FROM r) SELECT DISTINCT dst AS doc_id FROM u WHERE src <= 20 AND dst > 20")
