@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataquery.shared import pin, sized
+
 #: A coalesced action keeps the strongest mark.
 CHANGE_PRIORITY = {"synthesis": 0, "change": 1, "conflict": 2}
 
@@ -24,18 +26,23 @@ def plan_violations(actions: DataFrame, facts: DataFrame, observations: DataFram
     scope = sorted(set(scope))
     tags = F.array(*map(F.lit, scope)).cast("array<string>")
     own_bank = F.lit(True) if bank is None else F.col("bank_id").eqNullSafe(F.lit(bank))
-    own = actions.select("plan_id", F.explode("source_fact_ids").alias("fact_id"))
-    kept = actions.where("action = 'update' AND observation_id IS NOT NULL").select("plan_id", "observation_id").join(observations.select("observation_id", F.explode("source_fact_ids").alias("fact_id")), "observation_id")
-    sources = own.unionByName(kept.select("plan_id", "fact_id")).distinct()
-    usable = facts.where((F.col("state") == "active") & (F.size(F.array_except(tags, "scope_tags")) == 0) & own_bank).select("fact_id")
-    bad_source = sources.join(usable, "fact_id", "left_anti").select("plan_id", F.lit("source").alias("reason"))
+    usable = sized(pin(facts.where((F.col("state") == "active") & (F.size(F.array_except(tags, "scope_tags")) == 0) & own_bank).select("fact_id").distinct()), 16)
+    # of sources only those that may not be used travel
+    unusable = lambda rows, key: rows.select(key, F.explode("source_fact_ids").alias("fact_id")).join(usable, "fact_id", "left_anti").select(key)
+    bad_source = unusable(actions, "plan_id")
+    bad_observation = unusable(observations, "observation_id")
+    by_target = actions.where("action = 'update'").select("plan_id", "observation_id").join(sized(pin(bad_observation.distinct()), 16), "observation_id", "left_semi").select("plan_id")
     writable = observations.where(F.col("state").isin("active", "stale") & (F.sort_array(F.array_distinct("scope_tags")) == tags) & own_bank).select("observation_id")
-    bad_target = actions.where("observation_id IS NOT NULL").join(writable, "observation_id", "left_anti").select("plan_id", F.lit("target").alias("reason"))
-    key = F.coalesce(F.concat(F.lit("t:"), F.col("observation_id").cast("string")), F.concat(F.lit("c:"), "text_key"))
-    conflict = actions.groupBy("plan_id", key.alias("k")).agg(F.countDistinct("action").alias("n")).where("n > 1").select("plan_id", F.lit("conflict").alias("reason"))
-    bad = bad_source.unionByName(bad_target).unionByName(conflict)
+    bad_target = actions.where("observation_id IS NOT NULL").select("plan_id", "observation_id").join(writable, "observation_id", "left_anti").select("plan_id", F.lit("target").alias("reason"))
+    # a plan of one kind of action has no conflict; keys are looked at in the others alone
+    odd = (F.col("least") != F.col("most")) | (F.lit(False) if max_actions is None else F.col("n") > max_actions)
+    plans = pin(actions.groupBy("plan_id").agg(F.count("*").alias("n"), F.min("action").alias("least"), F.max("action").alias("most")).where(odd))
+    mixed = actions.join(sized(pin(plans.where("least <> most").select("plan_id")), 16), "plan_id", "left_semi")
+    text_key = F.when(F.col("observation_id").isNull(), F.col("text_key").cast("string"))
+    conflict = mixed.groupBy("plan_id", "observation_id", text_key.alias("k")).agg(F.countDistinct("action").alias("actions")).where("actions > 1").select("plan_id", F.lit("conflict").alias("reason"))
+    bad = bad_source.unionByName(by_target).select("plan_id", F.lit("source").alias("reason")).unionByName(bad_target).unionByName(conflict)
     if max_actions is not None:
-        bad = bad.unionByName(actions.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > max_actions).select("plan_id", F.lit("limit").alias("reason")))
+        bad = bad.unionByName(plans.where(F.col("n") > max_actions).select("plan_id", F.lit("limit").alias("reason")))
     if allowed is not None and scope not in [sorted(set(a)) for a in allowed]:
         bad = bad.unionByName(actions.select("plan_id", F.lit("scope").alias("reason")))
     return bad.distinct()

@@ -130,7 +130,7 @@ SELECT plan_id, 'limit' AS reason FROM a GROUP BY plan_id HAVING count(*) > 5 UN
 def plan_limits(spark, d):
     """Plans with more than five actions, with sources of another bank, or with targets of another bank."""
     actions = lines(spark, d, plan_id="l_orderkey", observation_id="l_orderkey * 10 + l_linenumber", action="'update'", text_key="'t'", source_fact_ids="array(l_suppkey)")
-    heads = lines(spark, d, observation_id="l_orderkey * 10 + l_linenumber", state="'active'", scope_tags="array('t')", source_fact_ids="array(l_suppkey)").distinct().withColumn("bank_id", F.when(F.col("observation_id") % 17 == 0, "b").otherwise("a"))
+    heads = lines(spark, d, observation_id="l_orderkey * 10 + l_linenumber", state="'active'", scope_tags="array('t')", source_fact_ids="array(l_suppkey)").withColumn("bank_id", F.when(F.col("observation_id") % 17 == 0, "b").otherwise("a"))
     known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fact_id"), F.lit("active").alias("state"), F.array(F.lit("t")).alias("scope_tags"), F.when(F.col("s_nationkey") % 9 == 0, "b").otherwise("a").alias("bank_id"))
     return obs.plan_violations(actions, known, heads, ["t"], bank="a", max_actions=5, allowed=[["t"]])
 
