@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from strataquery.functions import text as tx
 from strataquery.operators import knn
+from strataquery.shared import pin, sized
 
 SEMANTIC_LINK = 0.78
 MAX_DAYS = 365
@@ -213,10 +214,13 @@ def entity_candidates(mentions: DataFrame, limit: int, evidence: int = 3) -> Dat
 
 def resolve_entities(entities: DataFrame, known: DataFrame) -> DataFrame:
     """(entity, entity_id, verdict): match for one known entity with a shared name or alias, distinct for none, unknown for several."""
+    # the least and greatest id of a name tell whether it means one entity, several or none; so a common name is one row, however many entities have it
+    held = known.where("entity_id IS NOT NULL").select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("name"))
+    held = pin(held.groupBy("name").agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most")))
     names = entities.select("entity", F.explode(F.array_distinct(F.concat(F.array("entity"), "aliases"))).alias("name"))
-    hits = names.join(known.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("name")), "name").groupBy("entity").agg(F.sort_array(F.collect_set("entity_id")).alias("ids"))
-    n = F.coalesce(F.size("ids"), F.lit(0))
-    return entities.join(hits, "entity", "left").select("entity", F.when(n == 1, F.element_at("ids", 1)).alias("entity_id"), F.when(n == 1, "match").when(n > 1, "unknown").otherwise("distinct").alias("verdict"))
+    hits = names.join(sized(held, 60), "name").groupBy("entity").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    one, any_ = F.col("least") == F.col("most"), F.col("least").isNotNull()
+    return entities.join(hits, "entity", "left").select("entity", F.when(one, F.col("least")).alias("entity_id"), F.when(one, "match").when(any_, "unknown").otherwise("distinct").alias("verdict"))
 
 
 def correct_entity(mentions: DataFrame, wrong, right, memories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
