@@ -275,6 +275,6 @@ def nearest_same(observations: DataFrame, floor: float = 0.9) -> DataFrame:
     """Pairs of one scope that a judge should compare: nearest within the scope at or above floor."""
     from strataquery.operators import knn
 
-    pairs = knn.within_groups(observations, floor)
+    pairs = knn.within_groups(observations, floor, nearest=True)
     w = W.partitionBy("left_id").orderBy(F.desc(F.round("score", 9)), "right_id")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
