@@ -9,6 +9,7 @@ from strataquery.operators.scope import MemoryScope, TagFilter, TagGroup, recall
 from strataquery.plans.model import DOCS_SQL, documents
 from strataquery.plans.registry import query
 from strataquery.session import table
+from strataquery.shared import bound_batches
 
 _HAVE = "list_distinct(coalesce(tags, CAST([] AS VARCHAR[])))"
 _TAG_SQL = {
@@ -108,9 +109,11 @@ SELECT d.doc_id, round(CASE WHEN a.n IS NULL AND b.n IS NULL THEN 1.0 WHEN a.n I
 FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN n a ON a.doc_id = d.doc_id LEFT JOIN n b ON b.doc_id = e.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
 """)
 def shingle_jaccard(spark, d):
-    s = table(spark, d, "documents").select("doc_id", tx.shingles(F.col("text"), 3).alias("s"))
+    """The texts travel, not their sets, which are many times as large."""
+    bound_batches(spark)
+    s = table(spark, d, "documents").select("doc_id", tx.packed(F.col("text")).alias("s"))
     after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(after, "doc_id").select("doc_id", F.round(tx.jaccard(F.col("s"), F.col("t")), 6).alias("similarity"))
+    return s.join(after, "doc_id").select("doc_id", F.round(tx.trigram_jaccard("s", "t"), 6).alias("similarity"))
 
 
 @query("recall_mode", """
