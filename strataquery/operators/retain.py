@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from strataquery.functions import text as tx
 from strataquery.operators import knn
-from strataquery.shared import pin, sized
+from strataquery.shared import bound_batches, pin, sized
 
 SEMANTIC_LINK = 0.78
 MAX_DAYS = 365
@@ -46,7 +46,9 @@ def pack_paragraphs(text: str | None, size: int = 500, overlap: int = 50) -> lis
 
 
 def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_index, text, token_count). Packing carries a tail from block to block, so it is a Python function over Arrow batches."""
+    """(doc_id, chunk_index, text, token_count). Packing carries a tail from block to block, so it is a Python function over Arrow batches
+    of bounded size."""
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf(CHUNKS)
     def pack(texts: pd.Series) -> pd.Series:
@@ -76,6 +78,7 @@ def replace_blocks(content: str, stored: list[str], size: int = 500, overlap: in
 
 def replace_snapshot(docs: DataFrame, stored: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, text, kept) after new contents replace stored chunks; one document a row, so nothing beyond it is gathered."""
+    bound_batches(docs.sparkSession)
     old = stored.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]).alias("old"))
 
     @F.pandas_udf("array<struct<chunk_index:int,text:string,kept:boolean>>")
