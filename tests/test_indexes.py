@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataquery import shared
 from strataquery.operators import intervals, keyword_index, knn, patterns, retrieval, set_join, vector_index, versioning
 from strataquery.shared import new_path
+from tests.rows import most_rows, pinned_rows
 
 WORDS = [f"w{i}" for i in range(40)] + ["the"] * 20 + ["a_b", "知识库", "é", "x9"]
 
@@ -242,6 +243,17 @@ def test_set_join_equals_brute_force(spark, threshold):
     assert cross == {(a, b) for a in own for b in own if a % 2 == 0 and like(a, b) >= threshold - 1e-12}
 
 
+def test_set_join_makes_only_similar_pairs(spark, monkeypatch):
+    """Sets that share a token of their prefixes meet, but pairs below the threshold leave no join. A frequent token is dealt over tasks without losing or repeating a pair."""
+    seen = pinned_rows(monkeypatch, set_join)
+    rows = spark.range(1010).select("id", F.array(*(F.concat(F.lit(n), F.floor(F.col("id") % 1000 / 10**i) % 10) for i, n in enumerate("abc"))).alias("tokens"))
+    monkeypatch.setattr(set_join, "ROWS", 50)
+    found = set_join.similar_pairs(rows, rows, 0.9)
+    assert sorted((r["left_id"], r["right_id"], r["similarity"]) for r in found.collect()) == [(i, i + 1000, 1.0) for i in range(10)]
+    # each set has three tokens; pairs that share one number 50,000 and more
+    assert max([*seen, most_rows(found)]) <= 3 * 1010
+
+
 @pytest.mark.parametrize("newest", [200, 4])
 def test_length_candidates_equal_brute_force(spark, newest):
     rng = random.Random(10)
