@@ -87,7 +87,9 @@ def reflect(queries: DataFrame, recall: Callable[[DataFrame], DataFrame], planne
         failed = told.where(~good).withColumn("status", F.lit("failed")).select(*columns)
 
         lookups = told.where(good & (F.col("call.tool") != "done"))
-        parts = [recall(lookups.where("call.tool = 'recall'").select("query_id", F.coalesce("call.query", "query").alias("query")))]
+        asked = lookups.where("call.tool = 'recall'").select("query_id", F.coalesce("call.query", "query").alias("query"))
+        # a recall reads the whole memory, so it is not made for no question
+        parts = [spark.createDataFrame([], "query_id long, doc_id long, text string") if asked.isEmpty() else recall(asked)]
         if expand is not None:
             parts.append(expand(lookups.where("call.tool = 'expand' AND call.id IS NOT NULL").select("query_id", F.col("call.id").alias("doc_id"))))
         found = parts[0].select("query_id", "doc_id", "text", *(c for c in ("rank",) if c in parts[0].columns))

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataquery.functions import text as tx
-from strataquery.operators import control, reflect
+from strataquery.operators import control, keyword_index, reflect, retrieval
+from strataquery.plans import registry
 from strataquery.sources import http
 from strataquery.streaming import folds
 
@@ -63,6 +64,41 @@ def test_reflection_with_a_scripted_model(spark):
     assert held == {(names.index("good"), 1, 1), (names.index("good"), 4, 1), (names.index("repaired"), 3, 1), (names.index("stale"), 2, 1), (names.index("endless"), 1, 1), (names.index("endless"), 4, 1)}
 
 
+def test_reflection_recalls_for_open_questions_only(spark):
+    asked = []
+
+    def counted(open_):
+        asked.append(sorted(r["query_id"] for r in open_.collect()))
+        return recall(open_)
+
+    queries = spark.createDataFrame([(1, "good"), (2, "repaired"), (3, "broken")], "query_id long, query string")
+    state, _ = reflect.reflect(queries, counted, scripted)
+    assert {r["query_id"]: r["status"] for r in state.collect()} == {1: "done", 2: "done", 3: "failed"}
+    assert asked == [[1, 2]]
+
+
+def test_reflect_rounds_makes_one_index_and_moves_few_texts(spark, data, monkeypatch):
+    made, moved = [], []
+    entries, texts = keyword_index.entries, retrieval.with_texts
+    monkeypatch.setattr(keyword_index, "entries", lambda *a: made.append(a) or entries(*a))
+    monkeypatch.setattr(retrieval, "with_texts", lambda *a: moved.append(a) or texts(*a))
+    # no wall clock ends the rounds of the query: each round seems to take an hour
+    clock = iter(range(0, 10**6, 3600))
+    monkeypatch.setattr(reflect.time, "monotonic", lambda: next(clock))
+    state = registry.queries()["reflect_rounds"](spark, data).collect()
+    assert {r["status"] for r in state} == {"done"} and {r["rounds"] for r in state} == {2}
+    assert len(made) == 1 and len(moved) == 1
+
+
+def test_index_of_other_queries_is_not_used(spark):
+    docs = spark.createDataFrame([(1, "coral reef"), (2, "budget"), (3, "coral budget")], "doc_id long, text string")
+    ask = lambda text: spark.createDataFrame([(7, text)], "query_id long, query string")
+    rows = lambda found: sorted((r["query_id"], r["doc_id"], r["rank"], round(r["score"], 9)) for r in found.collect())
+    index = keyword_index.KeywordIndex.of_queries(docs, keyword_index.query_lists(ask("coral reef")))
+    for text in ("coral", "reef coral", "budget coral", "none", ""):
+        assert rows(keyword_index.keyword_arm(docs, ask(text), index=index)) == rows(keyword_index.keyword_arm(docs, ask(text)))
+
+
 def test_reflection_stops_at_its_budget(spark):
     queries = spark.createDataFrame([(1, "endless"), (2, "good")], "query_id long, query string")
     state, _ = reflect.reflect(queries, recall, scripted, reflect.ReflectOptions(max_tokens=70))
