@@ -223,6 +223,19 @@ def test_knn_beyond_the_broadcast_bound(spark, monkeypatch):
         assert {(r["left_id"], r["right_id"]) for r in knn.within_groups(df, 0.6).collect()} == pairs
 
 
+def test_blocks_of_long_documents_are_bounded(spark, monkeypatch):
+    """A block ends at its bound of postings, however long its documents are; the candidates stay those of whole blocks."""
+    docs = spark.createDataFrame(list(enumerate(texts(300, most=200))), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3 the"), (2, "知识 a_b w7"), (3, "none")], "query_id long, query string")
+    lists = keyword_index.query_lists(asked)
+    rows = lambda: sorted(tuple(map(str, r)) for r in keyword_index.KeywordIndex.of_queries(docs, lists).candidates(lists, 20).collect())
+    whole = rows()
+    monkeypatch.setattr(keyword_index, "POSTS", 100)
+    blocks = [r["n"] for r in keyword_index.entries(docs).where("token IS NOT NULL").groupBy("block").agg(F.sum(F.size("at")).alias("n")).collect()]
+    assert max(blocks) < 100 + len(WORDS) and sum(blocks) == sum(len(set(plain_tokens(r["text"]))) for r in docs.collect())
+    assert rows() == whole
+
+
 # set joins and versions
 
 
